@@ -14,6 +14,9 @@ input are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,27 +33,41 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 LINKS = "child long, parent long, shift long, filled long"
 
 
+#: Full stops and commas that end a word: a boundary for the tokenizer too, if a letter or digit stands before.
+_TAIL = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n\t\r]|\Z)")
+
+
+def words_of(text: str) -> list[str]:
+    """Parts of a text whose ids, put together in order, are the text's ids.
+
+    The tokenizer composes (NFC), lower-cases each character and then splits at
+    white space and between letters and marks. Lower-casing here first, so that
+    fewer different words are met, is done only where it can't make a difference.
+    """
+    if text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+        text = text.lower()
+    return _TAIL.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class WordIds(dict):
-    """Little-endian uint32 ids of space-separated words, in two generations.
+    """Little-endian uint32 ids of the words met so far, in two generations.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in order. When the young generation is full it becomes
-    the old one, which bounds memory and keeps frequent words.
+    When the young generation is full it becomes the old one, which bounds the
+    memory and keeps the frequent words.
     """
 
-    def __init__(self, tokenizer, most: int = 300_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.most, self.old = tokenizer, most, {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Encode the words that are new, in one call."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        new = set(words)
+        new = set().union(*texts)
         new.difference_update(self)
-        old = self.old
-        miss = []
+        old, miss = self.old, []
         for w in new:
             ids = old.get(w)
             if ids is None:
@@ -60,10 +77,29 @@ class WordIds(dict):
         for w, e in zip(miss, self.tokenizer.encode_batch_fast(miss, add_special_tokens=False), strict=True):
             self[w] = np.asarray(e.ids, "<u4").tobytes()
 
-    def text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        words = [words_of(t) for t in texts]
         self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        get = self.__getitem__
+        return (b"".join(map(get, w)) for w in words)
+
+
+#: The words of the last tokenizer that this worker used; kept between its tasks.
+_WORKER: dict[int, WordIds] = {}
+
+
+def word_ids(model: bytes) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    key = zlib.crc32(model)
+    if key not in _WORKER:
+        tokenizer = Tokenizer.from_str(model.decode())
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        _WORKER.clear()
+        _WORKER[key] = WordIds(tokenizer)
+    return _WORKER[key]
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,16 +139,9 @@ def _first_bin(level: int) -> int:
     return (level << 58) | (TaskContext.get().partitionId() << 34)
 
 
-def _local(tokenizer_json, capacity: int, window: int, keep_tokens: bool):
+def _local(model, capacity: int, window: int, keep_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json.value.decode())
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        ids, next_bin, width = WordIds(tokenizer), _first_bin(0), 4 * capacity
+        ids, next_bin, width = word_ids(model.value), _first_bin(0), 4 * capacity
 
         def emit(rows: list[tuple], b, off, fill) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -133,8 +162,8 @@ def _local(tokenizer_json, capacity: int, window: int, keep_tokens: bool):
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids.text(text) + b"\0\0\0\0"
+            for doc_id, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), strict=True):
+                data += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_tokens else None)
