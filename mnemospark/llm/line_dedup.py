@@ -29,7 +29,7 @@ def line_key(line: Column) -> Column:
 
 def _hashed(docs: DataFrame, text: str, key: list[str], min_chars: int) -> DataFrame:
     """One row per line with a key: document key, position and two hashes."""
-    lines = docs.select(*key, F.posexplode(F.split(text_of(docs, text), "\n")).alias("pos", "line"))
+    lines = docs.select(*key, F.posexplode_outer(F.split(text_of(docs, text), "\n")).alias("pos", "line"))  # outer: no filter that splits twice
     lines = lines.select(*key, "pos", line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
     return lines.select(*key, "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), F.col("k")).alias("h2"))
 

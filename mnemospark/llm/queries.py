@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import line_dedup, packing
+from mnemospark.llm import decontaminate, licenses, line_dedup, packing, secrets
 from mnemospark.llm.common import read, text_of
 
 
@@ -29,7 +29,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < 3)
+
+    def count(kind: int, name: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(name)
+
+    return spans.select("doc_id", count(0, "n_assign"), count(1, "n_access"), count(2, "n_hex"), F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
+    "op3_licenses": op3_licenses,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_secrets": op6_secrets,
 }
