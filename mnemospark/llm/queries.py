@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, licenses, line_dedup, packing, secrets
+from mnemospark.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets
 from mnemospark.llm.common import read, text_of
 
 
@@ -47,10 +47,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", count(0, "n_assign"), count(1, "n_access"), count(2, "n_hex"), F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
     "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
+    "op7_near_dedup": op7_near_dedup,
 }
