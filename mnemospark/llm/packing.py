@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 LINKS = "child long, parent long, shift long, filled long"
 
 
+#: Byte-level vocabularies show a byte as a character: printable ones as themselves, the others from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(b if b in _SHOWN else 256 + i) for i, b in enumerate(sorted(range(256), key=lambda b: (b in _SHOWN, b)))}
 #: Full stops and commas that end a word: a boundary for the tokenizer too, if a letter or digit stands before.
 _TAIL = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n\t\r]|\Z)")
 
@@ -74,8 +78,20 @@ class WordIds(dict):
                 miss.append(w)
             else:
                 self[w] = ids
-        for w, e in zip(miss, self.tokenizer.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
+        # A word of letters alone is one part for the tokenizer, so its merges can be asked for directly.
+        merge, rest = self.tokenizer.model.tokenize, []
+        for w in miss:
+            if w.isascii():
+                if w.isalpha() and w.islower():
+                    self[w] = array("I", [t.id for t in merge(w)]).tobytes()
+                else:
+                    rest.append(w)
+            elif w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):
+                self[w] = array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
