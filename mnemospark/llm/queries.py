@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets
+from mnemospark.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality, secrets
 from mnemospark.llm.common import read, text_of
 
 
@@ -51,6 +51,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
@@ -58,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
+    "op10_quality": op10_quality,
 }
