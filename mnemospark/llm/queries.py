@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality, secrets
+from mnemospark.llm import decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets
 from mnemospark.llm.common import read, text_of
 
 
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
@@ -62,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
+    "op8_extract": op8_extract,
     "op10_quality": op10_quality,
 }
