@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets
+from mnemospark.llm import chat, decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets
 from mnemospark.llm.common import read, text_of
 
 
@@ -51,6 +51,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(read(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    ranks = tokenizers.path("byte_bpe_50k.tiktoken")
+    formatted = chat.format_conversations(rows.unionByName(extra), ranks, tokenizers.PATTERN)
+    return chat.read_back(formatted, ranks, tokenizers.PATTERN)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -67,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_extract": op8_extract,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }

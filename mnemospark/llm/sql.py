@@ -19,6 +19,24 @@ ld_done AS (
 SELECT {columns} FROM ld_done JOIN ld_docs USING (doc_id)"""
 
 
+#: What the formatted conversations say; their length in characters follows from the template and its escapes.
+CHAT = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+c AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+        3 + sum(17 + length(role) + length(text)
+            + len(regexp_extract_all(text, '[<\\[]~*(s>|/s>|INST\\]|/INST\\])'))
+            + len(regexp_extract_all(role, '[<\\[]~*(s>|/s>|INST\\]|/INST\\])'))) AS formatted_chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM c"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup("documents", "doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256"),
+    "op9_chat": CHAT,
 }
