@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat, decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets
+from mnemospark.llm import chat, decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets, toxicity
 from mnemospark.llm.common import read, text_of
 
 
@@ -37,6 +37,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < 3)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_extract": op8_extract,
