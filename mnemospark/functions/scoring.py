@@ -15,7 +15,8 @@ def lit(x: float) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(lit(low), F.least(lit(high), c))
+    """Within bounds; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(lit(low), F.least(lit(high), c)))
 
 
 def recency(days: Column, strength: Column, half_life: float = 365.0) -> Column:
@@ -30,7 +31,7 @@ def thalamus_weight(mode: str | None, novelty: Column, surprise: Column, task_re
     none = reduce(lambda a, b: a & b, (c.isNull() for c in by_name.values()))
     mean = reduce(lambda a, b: a + b, (F.coalesce(c, lit(0)) for c in by_name.values())) / 4
     boosted = BOOSTED.get(mode) if mode else None
-    value = mean if boosted is None else F.coalesce(F.least(lit(1), by_name[boosted] * 1.5), mean)
+    value = mean if boosted is None else F.when(by_name[boosted].isNull(), mean).otherwise(F.least(lit(1), by_name[boosted] * 1.5))
     return F.when(none, lit(0.5)).otherwise(value)
 
 
