@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import linking, search
+from mnemospark.plans import life, linking, search
 
 FLAGSHIP = "recall"
-_AREAS = (search, linking)
+_AREAS = (search, linking, life)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _AREAS for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _AREAS for k, s in m.ORACLE_SQL.items()}
