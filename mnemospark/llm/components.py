@@ -19,10 +19,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        nearer = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("before"))
-        nearer = cut(nearer)
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = cut(nearer.join(jump, "component").select("node", F.col("further").alias("component"), (F.col("further") != F.col("before")).alias("moved")))
-        labels = moved.select("node", "component")
-        if moved.filter("moved").isEmpty():
+        nearer = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("near"), F.col("component").alias("before"))
+        # The label of the label as it stood before this round: an older one can only be larger.
+        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("further"))
+        labels = cut(nearer.join(jump, "near").select("node", F.least("near", "further").alias("component"), (F.least("near", "further") != F.col("before")).alias("moved")))
+        settled = labels.filter("moved").isEmpty()
+        labels = labels.select("node", "component")
+        if settled:
             return labels

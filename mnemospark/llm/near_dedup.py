@@ -1,18 +1,19 @@
 """Near-duplicate documents by banded MinHash and odd sketches.
 
 1. One pass over the texts gives, per document, the size and a 128-bit digest
-   of its shingle set, 128 MinHash samples as 32 band hashes of 4, and the odd
-   sketch of the samples: a bitmap in which every sample flips one bit. Two
-   sketches' XOR population count estimates the samples that differ.
+   of its shingle set, 256 MinHash samples, of which 128 are 32 band hashes of
+   4, and the odd sketch of all samples: a bitmap in which every sample flips
+   one bit. Two sketches' XOR population count estimates the samples that differ.
 2. Documents with equal sets are one class; only classes go on.
 3. In each band bucket all classes are compared with the bucket's pivot, the
-   class that shares most with others. Sketches drop hopeless pairs, the rest
-   is confirmed on the full sets. Linked classes become components.
+   class that shares most with others (of large buckets, each part has a pivot
+   and the parts' pivots have one). Sketches drop hopeless pairs, the rest is
+   confirmed on the full sets. Linked classes become components.
 4. Buckets that still hold several components choose other pivots while that
    pays; then all their pairs across components are compared by sketch inside
-   the join, and what passes is confirmed. So no link that shares a bucket is
-   missed, and no group's pairs are all written out: within a component no
-   further pair needs looking at.
+   the join, each in its first shared band only, and what passes is confirmed.
+   So no link that shares a bucket is missed, and no group's pairs are all
+   written out: within a component no further pair needs looking at.
 
 At a similarity of 0.75 a pair shares no band with a probability below 1e-5.
 
@@ -31,22 +32,23 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import cut, fresh, small, text_of, tune
 from mnemospark.llm.components import components
 from mnemospark.llm.words import mix, shingle_set
 
-SAMPLES, ROWS = 128, 4
-BANDS = SAMPLES // ROWS
-SKETCH_BITS = 256
-#: Most bits in which two sketches may differ. At 0.75, 32 of 128 samples differ and flip
-#: 64 bits at most; 100 is over five deviations above what such a pair shows.
-MOST_FLIPS = 100
+SAMPLES, BANDS, ROWS = 256, 32, 4
+SKETCH_BITS = 1024
+#: Most bits in which two sketches may differ. At 0.75 a quarter of the samples differs, which flips
+#: 113 bits with a deviation of 12; 168 is four and a half deviations above that.
+MOST_FLIPS = 168
+#: Rows of a bucket that share one pivot.
+PART = 4096
 #: The residual comparison starts when it has at most so many pairs for each row of the buckets.
-PAIRS_PER_ROW = 16
-MOST_PIVOTS = 6
+PAIRS_PER_ROW = 64
+MOST_PIVOTS = 3
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 SIGNATURES = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
 
@@ -73,7 +75,7 @@ def _signatures(width: int):
                 for j in range(SAMPLES):
                     bit = tagged[j] % np.uint64(SKETCH_BITS)
                     sketch[full, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-                grouped = tagged.reshape(BANDS, ROWS, -1)
+                grouped = tagged[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
                 key = grouped[:, 0].copy()
                 for r in range(1, ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, r])
@@ -110,7 +112,22 @@ def _confirm(width: int, percent: int):
 
 def _flips(left: str, right: str) -> Column:
     """The bits in which two sketches differ."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH))
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(left + s).bitwiseXOR(F.col(right + s))) for s in SKETCH))
+
+
+def _with_pivots(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a class and its part's pivot, and of the parts' pivots and their bucket's, that sketches allow.
+
+    The pivot comes with its sketch from a window, so no join makes the pairs;
+    a part has about ``PART`` rows at most, however large its bucket is.
+    """
+    score = F.col("degree") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    top = F.struct(score.alias("o"), (-F.col("rep")).alias("i"), "component", *SKETCH)
+    parts = F.ceil(F.col("size") / PART)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(-1)), parts)).withColumn("p", F.max(top).over(Window.partitionBy("bucket", "part")))
+    heads = dealt.filter((F.col("size") > PART) & (F.col("rep") == -F.col("p.i"))).withColumn("p", F.max("p").over(Window.partitionBy("bucket")))
+    rows = dealt.select("rep", "component", *SKETCH, "p").unionByName(heads.select("rep", "component", *SKETCH, "p"))
+    return rows.filter((F.col("component") != F.col("p.component")) & (_flips("", "p.") <= MOST_FLIPS)).select(F.col("rep").alias("a"), (-F.col("p.i")).alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -134,41 +151,28 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(rows.join(shared, "bucket").select("bucket", "rep", "size"))
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    # What the residual comparison and the choice of pivots need, once per row of a bucket.
-    members = cut(members.join(degree, "rep").join(sketches, "rep").select("bucket", "rep", "degree", *SKETCH))
-    links, tested, found = None, None, None
-    active = members
+    # What the pivots and the residual comparison need, once per row of a bucket.
+    members = cut(members.join(sketches.join(degree, "rep"), "rep").withColumn("component", F.col("rep")))
+    links, active = None, members
     for turn in range(MOST_PIVOTS):
-        rank = F.struct("degree", (-F.col("rep")).alias("id")) if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("degree"), (-F.col("rep")).alias("id"))
-        pivots = active.groupBy("bucket").agg(F.max(rank).alias("top")).select("bucket", (-F.col("top.id")).alias("pivot"))
-        of = ["rep", *SKETCH] if turn == 0 else ["rep", "component", *SKETCH]
-        pairs = active.join(pivots, "bucket").filter(F.col("rep") != F.col("pivot")).select(*of, "pivot").distinct()
-        pivot_of = active.select(*(F.col(c).alias(f"p_{c}") for c in of)).join(pivots.select(F.col("pivot").alias("p_rep")).distinct(), "p_rep", "left_semi").distinct()
-        near = pairs.join(pivot_of, F.col("pivot") == F.col("p_rep"))
-        if turn:
-            near = near.filter(F.col("component") != F.col("p_component"))
-        flips = reduce(lambda x, y: x + y, (F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in SKETCH))
-        near = near.filter(flips <= MOST_FLIPS).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = cut(near)
-        tested = near if tested is None else tested.union(near)
-        new = _confirmed(near, source, width, percent)
+        new = _confirmed(cut(_with_pivots(active, turn)), source, width, percent)
         links = new if links is None else links.union(new)
         found = components(links)
-        named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = members.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count(F.lit(1)).alias("parts"))
-        split = parts.filter("parts > 1")
-        active = cut(named.join(split.select("bucket"), "bucket", "left_semi"))
+        split = cut(parts.filter("parts > 1"))
         left = split.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("rows")).first()
+        active = named.join(split.select("bucket"), "bucket", "left_semi")
         if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
             break
     if left["pairs"]:
+        bands = classes.filter("rep is not null").select("rep", "bands")
+        active = cut(active.join(bands, "rep").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")).select("bucket", "rep", "component", *SKETCH, "bands", "band"))
         x, y = active.alias("x"), active.alias("y")
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (_flips("x", "y") <= MOST_FLIPS))
-        across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        known = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        across = cut(across.join(known, ["a", "b"], "left_anti"))
+        # Two classes that met in an earlier band are compared there.
+        earlier = F.exists(F.zip_with(F.slice("x.bands", 1, F.col("x.band") - 1), F.slice("y.bands", 1, F.col("x.band") - 1), lambda s, t: s == t), lambda same: same)
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (_flips("x.", "y.") <= MOST_FLIPS) & ~earlier
+        across = cut(x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
         links = links.union(_confirmed(across, source, width, percent))
         found = components(links)
     by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -107,10 +107,10 @@ SELECT layer, bucket, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean F
 def bank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and type, by user, and in all: grouping sets in one pass."""
     table(spark, sf_dir, "events").createOrReplaceTempView("stats_events")
-    return spark.sql("SELECT coalesce(user_id, -1) AS user_id, coalesce(event_type, '') AS event_type, count(*) AS n, round(avg(value), 6) AS mean, cast(grouping_id(user_id, event_type) AS int) AS level FROM stats_events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), ())")
+    return spark.sql("SELECT coalesce(user_id, -1) AS user_id, coalesce(event_type, '') AS event_type, count(*) AS n, round(sum(value), 2) AS total, cast(grouping_id(user_id, event_type) AS int) AS level FROM stats_events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), ())")
 
 
-BANK_STATS = "SELECT coalesce(user_id, -1) AS user_id, coalesce(event_type, '') AS event_type, count(*) AS n, round(avg(value), 6) AS mean, grouping(user_id, event_type)::INTEGER AS level FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), ())"
+BANK_STATS = "SELECT coalesce(user_id, -1) AS user_id, coalesce(event_type, '') AS event_type, count(*) AS n, round(sum(value), 2) AS total, grouping(user_id, event_type)::INTEGER AS level FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), ())"
 
 
 def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
