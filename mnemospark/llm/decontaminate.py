@@ -7,8 +7,8 @@ seed at several places. Around each hit the two token sequences are laid beside
 each other on the hit's diagonal and the best stretch is scored: one for an
 equal token, minus two for a substituted one.
 
-A seed hit needs an item of nine tokens; shorter items are compared as a whole
-with nothing and never match.
+Whatever its place in a document, a stretch of ten equal tokens meets a seed;
+shorter items are too short to tell and never match.
 
 Defined cases: null and empty texts and items match nothing; a row is a
 document and repeated rows give one row per (doc_id, item_id); ties between
@@ -28,9 +28,10 @@ MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8))
 SPAN = 9
 #: Document positions between two seeds.
 STEP = 2
-#: A stretch of this score is an overlap; a short item needs this share of its tokens instead.
+#: A stretch of this score is an overlap; a short item needs this share of its tokens instead, and this at least.
 MIN_SCORE = 12
 MIN_SHARE = 0.6
+LEAST_SCORE = 8
 SUBSTITUTED = -2
 
 
@@ -99,8 +100,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     beside = beside.join(small(items, 1024), F.col("item_id").eqNullSafe(F.col("own_id"))).drop("own_id", "hit_id", "hit_key", "key")
     beside = beside.withColumn("doc_tokens", tokens(F.col("text"))).drop("text")
     scored = beside.withColumn("s", _stretch(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")))
-    enough = F.least(F.lit(float(MIN_SCORE)), MIN_SHARE * F.size("item_tokens"))
-    best = scored.filter(F.col("s.best") >= enough).select("doc_id", "item_id", F.struct(F.col("s.best").alias("score"), (-(F.col("s.from") + F.col("shift"))).alias("early"), "s", "shift").alias("b"))
+    enough = F.least(F.lit(float(MIN_SCORE)), F.greatest(F.lit(float(LEAST_SCORE)), MIN_SHARE * F.size("item_tokens")))
+    long = F.size("item_tokens") >= SPAN + STEP - 1
+    best = scored.filter(long & (F.col("s.best") >= enough)).select("doc_id", "item_id", F.struct(F.col("s.best").alias("score"), (-(F.col("s.from") + F.col("shift"))).alias("early"), "s", "shift").alias("b"))
     best = best.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return best.select(
         "doc_id",

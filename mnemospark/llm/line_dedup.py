@@ -9,9 +9,10 @@ returns is not text but a bitmap per document: words of 64 lines, only those in
 which a line is dropped.
 
 Defined cases: a null or empty text is one empty line, which has no key and
-stays; a row is a document, so repeated rows count as often as they occur and
-get the same bitmap; ties in document id are ordered by position; extra columns
-pass through unchanged; an empty table gives an empty result.
+stays; rows of equal id and text are one document and get the same bitmap, rows
+of one id (or none) with other texts are documents of their own; ties in
+document id are ordered by the text's hash and position; extra columns pass
+through unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
