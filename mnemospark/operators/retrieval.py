@@ -105,11 +105,14 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
     return top_per(found, ["query_id"], [F.col("hits").desc(), F.col("doc_id")], k).select("query_id", "doc_id", (F.col("hits") / 10).alias("score"), "rank")
 
 
-def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str) -> DataFrame:
+def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str, most_queries: int = 10_000) -> DataFrame:
     """The ``k`` latest units that meet each query's window (query_id, low, high), with their proximity.
 
-    Windows are a bounded set (a row per query) and go to every task.
+    Windows are a set of bounded size (``most_queries`` is checked) that goes to
+    every task; a unit's ranges have no bound that a join could deal them by.
     """
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"more than {most_queries} queries; split them")
     best = F.coalesce(F.col(start), F.col(mentioned), F.col(end))
     met = units.join(F.broadcast(queries.select("query_id", "low", "high")), time.overlaps(F.col(start), F.col(end), F.col(mentioned), F.col("low"), F.col("high")))
     proximity = scoring.window_proximity(scoring.seconds(best), scoring.seconds(F.col("low")), scoring.seconds(F.col("high")))

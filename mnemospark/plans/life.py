@@ -273,9 +273,9 @@ SELECT bank_id, tag, count, rank::INTEGER AS rank FROM r WHERE rank <= 5"""
 def promotion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a part may or may not be shared, and whether it is dead: by orders, months and idle days."""
     l = table(spark, sf_dir, "lineitem")
-    last = l.agg(F.max("l_shipdate").alias("now"))
+    now = scoring.seconds(F.lit(l.agg(F.max("l_shipdate")).first()[0]))
     p = l.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("evidence"), F.count_distinct(F.date_trunc("month", "l_shipdate")).alias("cycles"), F.max("l_shipdate").alias("seen"))
-    p = p.join(F.broadcast(last)).withColumn("idle_days", F.floor((scoring.seconds(F.col("now")) - scoring.seconds(F.col("seen"))) / 86400))
+    p = p.withColumn("idle_days", F.floor((now - scoring.seconds(F.col("seen"))) / 86400))
     return lifecycle.archive_dead(lifecycle.promotion_reason(p)).select("l_partkey", "evidence", "cycles", "idle_days", "reason", "dead")
 
 
