@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,17 @@ def local_session(name: str = "mnemospark", cpus: int | None = None, partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package, once a context, where their path does not have it."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    here = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if getattr(sc, "_mnemospark_shipped", False) or str(package.parent) in here:
+        return
+    path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._mnemospark_shipped = True

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.session import ship
+
 _L, _S, _D, _TS, _I = T.LongType(), T.StringType(), T.DoubleType(), T.TimestampType(), T.IntegerType()
 
 
@@ -65,6 +67,7 @@ class Store:
     """Tables of one root folder. Every write makes the next version."""
 
     def __init__(self, spark: SparkSession, root: str):
+        ship(spark)
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self, path: str):

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; zone-less timestamps are taken as UTC."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*(F.col(f"`{c}`").cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(f"`{c}`") for c, t in df.dtypes))
 
