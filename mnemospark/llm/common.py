@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.session import ship
+
 #: The white space that separates words: fixed values of the word contract.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -20,11 +22,12 @@ BROADCAST_BYTES = 24 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Prepare a session: a checkpoint folder and small Arrow batches.
+    """Prepare a session: the package on the workers, a checkpoint folder and small Arrow batches.
 
     The folder that the cluster names in ``spark.checkpoint.dir`` is used as
     it is; only where none is set (tests) a folder of our own is made.
     """
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", "")

@@ -36,7 +36,66 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
     CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM c"""
 
+#: Sets of five-word shingles, links by shared shingles, and the smallest id reachable.
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT a AS doc_id, a AS reached FROM (SELECT DISTINCT a FROM e) UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def licenses() -> str:
+    """Digests of whole texts and of lines, among those of the fixed list."""
+    from mnemospark.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_WORD, SPELLINGS
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        c = f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
+        c = f"' ' || trim(regexp_replace({c}, {quote(NOT_WORD)}, ' ', 'g')) || ' '"
+        for a, b in SPELLINGS:
+            c = f"replace({c}, ' {a} ', ' {b} ')"
+        return f"md5(trim({c}))"
+
+    known = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in KNOWN)
+    return f"""
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {canonical('known')} AS digest FROM (VALUES {known}) v(license, known)) GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+h AS (SELECT doc_id, license FROM (SELECT doc_id, {canonical('line')} AS digest FROM l WHERE line <> '') JOIN k USING (digest)),
+g AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM h GROUP BY 1),
+w AS (SELECT doc_id, {canonical('text')} AS digest FROM d)
+SELECT w.doc_id, w.digest, k.license, coalesce(g.notices, '') AS notices, coalesce(g.n, 0) AS n_notices FROM w LEFT JOIN k USING (digest) LEFT JOIN g ON g.doc_id = w.doc_id"""
+
+
+#: Base measures and the verdict of all rules, whose order does not matter to it.
+QUALITY = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+c AS (SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS bangs, length(regexp_replace(text, '[^\p{Lu}\p{Lt}]', '', 'g')) AS uppers,
+    len(list_distinct(w)) AS different, len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS wordless,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g WHERE g IS NOT NULL) WHERE k > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t) GROUP BY 1),
+m AS (SELECT c.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup, coalesce(n_repeat, 0) AS n_repeat FROM c LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n < 50 OR 100 * n_repeat > 50 * n AS failed FROM m)
+SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup AS n_dup_lines, n_repeat AS n_repeat_words, failed AS base_failed,
+    NOT (failed OR n_symbols > 0.1 * n OR word_chars / n NOT BETWEEN 2.5 AND 12 OR n_dup > 0.5 * n_lines OR bangs > 0.3 * n
+        OR uppers / word_chars > 0.6 OR wordless / n > 0.3 OR different / sqrt(n) < 1.5) AS kept
+FROM b"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup("documents", "doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256"),
+    "op3_licenses": licenses(),
+    "op7_near_dedup": NEAR,
     "op9_chat": CHAT,
+    "op10_quality": QUALITY,
 }
