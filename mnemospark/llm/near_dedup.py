@@ -10,8 +10,8 @@
    and the parts' pivots have one). Sketches drop hopeless pairs, the rest is
    confirmed on the full sets. Linked classes become components.
 4. Buckets that still hold several components choose other pivots while that
-   pays; then all their pairs across components are compared by sketch inside
-   the join, each in its first shared band only, and what passes is confirmed.
+   pays; then all their pairs across components are compared inside the join,
+   by sketch and then by set, each in its first shared band only.
    So no link that shares a bucket is missed, and no group's pairs are all
    written out: within a component no further pair needs looking at.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import cut, fresh, small, text_of, tune
 from mnemospark.llm.components import components
-from mnemospark.llm.words import mix, shingle_set
+from mnemospark.llm.words import claim, mix, shingle_set
 
 SAMPLES, BANDS, ROWS = 256, 32, 4
 SKETCH_BITS = 1024
@@ -47,14 +47,15 @@ MOST_FLIPS = 168
 #: Rows of a bucket that share one pivot.
 PART = 4096
 #: The residual comparison starts when it has at most so many pairs for each row of the buckets.
-PAIRS_PER_ROW = 64
-MOST_PIVOTS = 3
+PAIRS_PER_ROW = 2048
+MOST_PIVOTS = 4
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 SIGNATURES = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
 
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         rng = np.random.default_rng(20240607)
         mult = rng.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
         add = rng.integers(0, 2**32, SAMPLES, np.uint32)
@@ -89,6 +90,7 @@ def _signatures(width: int):
 
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         kept: dict[int, np.ndarray] = {}
 
         def of(doc: int, text: str) -> np.ndarray:
@@ -130,14 +132,36 @@ def _with_pivots(members: DataFrame, turn: int) -> DataFrame:
     return rows.filter((F.col("component") != F.col("p.component")) & (_flips("", "p.") <= MOST_FLIPS)).select(F.col("rep").alias("a"), (-F.col("p.i")).alias("b")).distinct()
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of some documents; the others are dropped before any shuffle while the ids are few enough."""
+    ids = cut(ids.select(F.col("doc_id").alias("_id")).distinct())
+    return texts.join(small(ids, 32), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a and b of the pairs whose full sets are similar."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """a and b of the (checkpointed) pairs whose full sets are similar."""
+    needed = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts)
+    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     beside = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return cut(beside.mapInArrow(_confirm(width, percent), "a long, b long, linked boolean")).filter("linked").select("a", "b")
 
 
+def _short_sets(width: int):
+    """Sets of 32 bits of each shingle's hash, and the full sets' sizes; shingles that fall together leave a set smaller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
+        for batch in batches:
+            full = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(s.astype(np.uint32)).view(np.int32) for s in full]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([len(s) for s in full], pa.int32())], ["rep", "set", "n"])
+
+    return run
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     tune(docs.sparkSession)
@@ -168,11 +192,16 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     if left["pairs"]:
         bands = classes.filter("rep is not null").select("rep", "bands")
         active = cut(active.join(bands, "rep").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")).select("bucket", "rep", "component", *SKETCH, "bands", "band"))
+        sets = cut(_texts_of(active.select(F.col("rep").alias("doc_id")), source).mapInArrow(_short_sets(width), "rep long, set array<int>, n int"))
+        active = active.join(sets, "rep")
         x, y = active.alias("x"), active.alias("y")
         # Two classes that met in an earlier band are compared there.
         earlier = F.exists(F.zip_with(F.slice("x.bands", 1, F.col("x.band") - 1), F.slice("y.bands", 1, F.col("x.band") - 1), lambda s, t: s == t), lambda same: same)
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (_flips("x.", "y.") <= MOST_FLIPS) & ~earlier
-        across = cut(x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (_flips("x.", "y.") <= MOST_FLIPS) & ~earlier
+        # 100 i >= p (n + m - i), put so that the intersection is taken once; what fell together in x counts as shared.
+        shared = F.size(F.array_intersect("x.set", "y.set")) + F.col("x.n") - F.size("x.set")
+        alike = shared * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+        across = cut(x.join(y, met & alike).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
         links = links.union(_confirmed(across, source, width, percent))
         found = components(links)
     by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))

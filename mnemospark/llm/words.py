@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -13,10 +15,25 @@ import xxhash
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+#: How to empty the caches that each operator keeps in a worker between its tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str) -> None:
+    """Called as an operator's task starts: the caches of all others are emptied.
+
+    A worker serves one operator after another, and together their caches would
+    be several times what one needs.
+    """
+    for name, empty in CACHES.items():
+        if name != owner:
+            empty()
+
+
 class WordHashes(dict):
     """64-bit hashes of words; emptied when full, which bounds its memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -31,6 +48,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+CACHES["words"] = HASHES.clear
 
 
 def mix(h: np.ndarray) -> np.ndarray:
