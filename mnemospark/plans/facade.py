@@ -11,7 +11,7 @@ from mnemospark.functions import scoring, text, vector
 from mnemospark.functions.constants import DIMENSIONS, GATE, MAX_RESULTS, MAX_TOKENS, RERANK_FLOOR, SIMILARITY_THRESHOLD, STRENGTH_FLOOR
 from mnemospark.functions.providers import DateAnalyzer, Embedder, HashingEmbedder, Hooks, OverlapReranker, Registry, Reranker, rerank_text
 from mnemospark.operators import consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
-from mnemospark.sources.store import Store, tracked_documents
+from mnemospark.sources.store import Store, trace, tracked_documents
 
 
 class Memory:
@@ -220,6 +220,44 @@ class Memory:
         banks = self.store.read("banks")
         return self.store.replace({"banks": banks.withColumn("session_count", F.col("session_count") + (F.col("bank_id") == bank).cast("int"))})
 
+    def get(self, table: str, **keys: str) -> DataFrame:
+        """The rows of a table with the given key values: a document, chunk, entity, schema, profile or trace."""
+        rows = self.store.read(table)
+        for column, value in keys.items():
+            rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
+        return rows
+
+    def put(self, table: str, rows: DataFrame) -> int:
+        """Insert or replace rows by key: banks and profiles, model settings, working memory, operations."""
+        return self.store.upsert(table, rows)
+
+    def operations(self, bank: str, status: str | None = None) -> DataFrame:
+        """Jobs of a bank, by kind and id; a cancelled one is removed with ``cancel``."""
+        rows = self.store.read("operations", bank)
+        return (rows if status is None else rows.filter(F.col("status") == status)).orderBy("type", "operation_id")
+
+    def cancel(self, bank: str, operation: str) -> int:
+        rows = self.store.read("operations")
+        return self.store.replace({"operations": rows.filter(~((F.col("bank_id") == bank) & (F.col("operation_id") == operation)))})
+
+    def record(self, kind: str, rows: DataFrame, bank: str = "bank_id") -> int:
+        """Append trace rows (of a retain or consolidation run) as JSON."""
+        return self.store.append({"traces": trace(rows, kind, bank)})
+
+    def traces(self, bank: str, kind: str, limit: int = 100) -> DataFrame:
+        """The latest traces of a bank and the length of their bodies."""
+        rows = self.store.read("traces", bank).filter(F.col("kind") == kind)
+        return rows.orderBy(F.desc("at"), "trace_id").limit(limit).select("trace_id", "at", F.length("body").alias("length"), "body")
+
+    def entity(self, bank: str, entity: str, limit: int = 50) -> DataFrame:
+        """The latest facts that name an entity."""
+        units = self.store.read("unit_entities", bank).filter(F.col("entity_id") == entity).select("unit_id")
+        return self.store.read("units", bank).join(units, "unit_id", "left_semi").orderBy(F.desc_nulls_last("event_date"), "unit_id").limit(limit)
+
+    def layers(self) -> DataFrame:
+        """Engrams and mean strength by bank and layer."""
+        return self.store.read("dictionary").groupBy("bank_id", F.coalesce("layer", F.lit("working")).alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.avg("strength").alias("strength"))
+
     def similar_schemas(self, bank: str, least: float = 0.7) -> DataFrame:
         """Pairs of a bank's schemas that may become hyper-schemas."""
         rows = self.store.read("schemas", bank).withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))

@@ -65,6 +65,19 @@ def test_consolidate_and_versions(memory, spark, tmp_path):
     assert other.read("units").count() == counts["units"] == 5
 
 
+def test_records(memory, spark):
+    memory.put("operations", spark.createDataFrame([("o1", "b1", "retain", "open"), ("o2", "b1", "retain", "done")], "operation_id string, bank_id string, type string, status string"))
+    memory.put("operations", spark.createDataFrame([("o1", "b1", "retain", "failed")], "operation_id string, bank_id string, type string, status string"))
+    assert [(r.operation_id, r.status) for r in memory.operations("b1").collect()] == [("o1", "failed"), ("o2", "done")]
+    memory.cancel("b1", "o1")
+    assert memory.operations("b1", "failed").count() == 0
+    memory.record("retain", spark.createDataFrame([("b1", 3)], "bank_id string, facts int"))
+    assert memory.traces("b1", "retain").first().body == '{"facts":3}'
+    anna = memory.get("entities", bank_id="b1", name_key="anna").first()
+    assert anna.mention_count == 2 and memory.entity("b1", anna.entity_id).count() == 2
+    assert {(r.bank_id, r.n) for r in memory.layers().groupBy("bank_id").agg(F.sum("n").alias("n")).collect()} == {("b1", 4), ("b2", 1)}
+
+
 def test_delete_takes_dependents_along(memory):
     gone = memory.store.delete(bank="b1", document="d2")
     assert gone["units"] == 2 and gone["documents"] == 1
