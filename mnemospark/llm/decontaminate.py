@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import cut, small, text_of
+from mnemospark.llm.common import cut, fresh, small, text_of
 
 #: Token offsets that a mask selects; fixed values.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8))
@@ -88,6 +88,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
     Only documents that overlap an item are returned, one row per item.
     """
+    found = _overlaps(docs, benchmark, doc_id, text, item_id, item_text)
+    best = found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return best.select(
+        "doc_id",
+        "item_id",
+        F.col("b.score").alias("score"),
+        F.col("b.s.equal").alias("n_equal"),
+        (F.col("b.s.from") + F.col("b.shift")).alias("doc_start"),
+        (F.col("b.s.to") + F.col("b.shift")).alias("doc_end"),
+        F.col("b.s.from").alias("item_start"),
+        F.col("b.s.to").alias("item_end"),
+    )
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, key (the text's hash), item_id and the stretch on each diagonal that is an overlap."""
     whole = text_of(docs, text)
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
     b = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), text_of(benchmark, item_text).alias("text"))
@@ -97,26 +113,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     found = small(hits.withColumnsRenamed({"doc_id": "hit_id", "key": "hit_key"}), 64)
     beside = d.join(found, (d["key"] == found["hit_key"]) & d["doc_id"].eqNullSafe(found["hit_id"]))
     items = cut(b.select(F.col("item_id").alias("own_id"), tokens(F.col("text")).alias("item_tokens")))
-    beside = beside.join(small(items, 1024), F.col("item_id").eqNullSafe(F.col("own_id"))).drop("own_id", "hit_id", "hit_key", "key")
+    beside = beside.join(small(items, 1024), F.col("item_id").eqNullSafe(F.col("own_id"))).drop("own_id", "hit_id", "hit_key")
     beside = beside.withColumn("doc_tokens", tokens(F.col("text"))).drop("text")
     scored = beside.withColumn("s", _stretch(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")))
     enough = F.least(F.lit(float(MIN_SCORE)), F.greatest(F.lit(float(LEAST_SCORE)), MIN_SHARE * F.size("item_tokens")))
     long = F.size("item_tokens") >= SPAN + STEP - 1
-    best = scored.filter(long & (F.col("s.best") >= enough)).select("doc_id", "item_id", F.struct(F.col("s.best").alias("score"), (-(F.col("s.from") + F.col("shift"))).alias("early"), "s", "shift").alias("b"))
-    best = best.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
-    return best.select(
-        "doc_id",
-        "item_id",
-        F.col("b.score").alias("score"),
-        F.col("b.s.equal").alias("n_equal"),
-        (F.col("b.s.from") + F.col("b.shift")).alias("doc_start"),
-        (F.col("b.s.to") + F.col("b.shift")).alias("doc_end"),
-        F.col("b.s.from").alias("item_start"),
-        F.col("b.s.to").alias("item_end"),
-    )
+    return scored.filter(long & (F.col("s.best") >= enough)).select("doc_id", "key", "item_id", F.struct(F.col("s.best").alias("score"), (-(F.col("s.from") + F.col("shift"))).alias("early"), "s", "shift").alias("b"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that overlap no item; columns as they were. A null id is kept apart by the text's hash."""
-    hits = cut(overlaps(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(small(hits, 24), F.col(f"`{doc_id}`").eqNullSafe(F.col("__leaked")), "left_anti")
+    """The documents that overlap no item; columns as they were. Rows that share an id, or have none, are told apart by their text."""
+    names = [fresh("id", docs.columns), fresh("key", docs.columns)]
+    hits = cut(_overlaps(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(names[0]), F.col("key").alias(names[1])).distinct())
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(text_of(docs, text)) == F.col(names[1]))
+    return docs.join(small(hits, 40), same, "left_anti")

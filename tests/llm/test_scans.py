@@ -122,3 +122,10 @@ def test_decontamination_keeps_columns_and_clean_documents(spark, tables):
     out = decontaminate.decontaminate(df, b)
     assert out.columns == df.columns and {998, 999, 1000} <= {r.doc_id for r in out.collect()}
     assert decontaminate.decontaminate(df.limit(0), b).count() == 0 and decontaminate.decontaminate(df, b.limit(0)).count() == len(docs)
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    df = rows_of(spark, [(None, "x " + item), (None, "clean"), (1, item), (1, "other text")])
+    out = decontaminate.decontaminate(df, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r.text for r in out.collect()) == ["clean", "other text"]
