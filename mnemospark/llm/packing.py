@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import cut, text_of, tune
+from mnemospark.llm.words import CACHES, claim
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, filled long, token_bytes binary"
@@ -60,7 +61,7 @@ class WordIds(dict):
     memory and keeps the frequent words.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 250_000):
         super().__init__()
         self.tokenizer, self.most, self.old = tokenizer, most, {}
 
@@ -103,12 +104,14 @@ class WordIds(dict):
 
 #: The words of the last tokenizer that this worker used; kept between its tasks.
 _WORKER: dict[int, WordIds] = {}
+CACHES["packing"] = _WORKER.clear
 
 
 def word_ids(model: bytes) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    claim("packing")
     key = zlib.crc32(model)
     if key not in _WORKER:
         tokenizer = Tokenizer.from_str(model.decode())

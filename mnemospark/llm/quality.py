@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import text_of, tune
-from mnemospark.llm.words import FACTORS, HASHES, mix
+from mnemospark.llm.words import FACTORS, HASHES, claim, mix
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -120,6 +120,7 @@ def plan(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[d
 
 def _judge(order: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         rules = [RULES[k] for k in order]
         names = [f.strip().split(" ")[0] for f in SCHEMA.split(",")]
         kinds = [pa.int64()] * 6 + [pa.bool_(), pa.bool_(), pa.string(), pa.int32()]
