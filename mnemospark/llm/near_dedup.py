@@ -50,7 +50,7 @@ PART = 4096
 PAIRS_PER_ROW = 2048
 MOST_PIVOTS = 4
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
-SIGNATURES = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
+SIGNATURES = "doc_id long, key long, n int, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
 
 
 def _signatures(width: int):
@@ -82,8 +82,8 @@ def _signatures(width: int):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, r])
                 bands[full] = key.T
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            columns = [batch.column(0), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(pa.array(sketch[:, k].view(np.int64)) for k in range(len(SKETCH))), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", *SKETCH, "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(pa.array(sketch[:, k].view(np.int64)) for k in range(len(SKETCH))), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "d1", "d2", *SKETCH, "bands"])
 
     return run
 
@@ -164,9 +164,14 @@ def _short_sets(width: int):
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    return _find(docs, doc_id, text, width, percent).drop("key")
+
+
+def _find(docs: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 75) -> DataFrame:
+    """The same with ``key``, the hash of the row's text."""
     tune(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    signed = cut(source.mapInArrow(_signatures(width), SIGNATURES))
+    signed = cut(source.withColumn("key", F.xxhash64("text")).mapInArrow(_signatures(width), SIGNATURES))
     # The sketch and the bands follow from the set, so as grouping keys they need no aggregate of their own.
     classes = signed.filter("n > 0").groupBy("d1", "d2", "n", *SKETCH, "bands").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes)
@@ -205,14 +210,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         links = links.union(_confirmed(across, source, width, percent))
         found = components(links)
     by_class = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
+    out = signed.select("doc_id", "key", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    out = out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; columns as they were."""
-    gone = fresh("gone", docs.columns)
-    dropped = cut(find(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(small(dropped, 24), F.col(f"`{doc_id}`").eqNullSafe(F.col(gone)), "left_anti")
+    names = [fresh("id", docs.columns), fresh("key", docs.columns)]
+    dropped = _find(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(names[0]), F.col("key").alias(names[1])).distinct()
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(text_of(docs, text)) == F.col(names[1]))
+    return docs.join(small(cut(dropped), 40), same, "left_anti")

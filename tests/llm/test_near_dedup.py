@@ -61,6 +61,11 @@ def test_keep_one_keeps_columns(spark):
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
 
 
+def test_keep_one_without_ids(spark):
+    df = rows_of(spark, [(5, "a b c d e f"), (None, "a b c d e f"), (None, "alone here today with no one"), (None, None)])
+    assert sorted(str(r.text) for r in near_dedup.keep_one(df).collect()) == ["None", "a b c d e f", "alone here today with no one"]
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 90), (90, 95)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
