@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; the texts keep their other lines."""
-    return line_dedup.dedup_lines(docs)
+    """Lines found in ten documents or more go; copies of a text stay whole, for the next stage to keep one of them."""
+    return line_dedup.dedup_lines(docs, spare_copies=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

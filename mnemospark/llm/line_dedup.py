@@ -82,9 +82,17 @@ def kept_text(text: Column, bitmap: Column) -> Column:
     return F.when(bitmap.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), keep), "\n"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """The documents with their repeated lines cut out of the text; columns as they were."""
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:
+    """The documents with their repeated lines cut out of the text; columns as they were.
+
+    ``spare_copies``: a text that would lose half of its characters or more is
+    a copy of others rather than a text with repeated lines, and stays whole.
+    """
     bitmap = fresh("dropped", docs.columns)
     marked = with_bitmaps(docs, text, doc_id, min_docs, min_chars, keep_first, bitmap)
-    cleaned = kept_text(text_of(marked, text), F.col(bitmap))
-    return marked.withColumn(text, F.when(F.col(bitmap).isNull(), F.col(f"`{text}`")).otherwise(cleaned)).drop(bitmap)
+    cleaned = fresh("cleaned", marked.columns)
+    marked = marked.withColumn(cleaned, kept_text(text_of(marked, text), F.col(bitmap)))
+    as_it_was = F.col(bitmap).isNull()
+    if spare_copies:
+        as_it_was = as_it_was | (2 * F.length(cleaned) <= F.length(f"`{text}`"))
+    return marked.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned)

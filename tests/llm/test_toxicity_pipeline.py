@@ -112,6 +112,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "best_fit_packing"]
 
 
+def test_large_groups_of_copies_keep_one(spark, tmp_path):
+    """Of ten copies or more, exact or near ones, line dedup empties none and near dedup keeps one whole."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"z{rng.randrange(3000)}" for _ in range(n))
+    exact, near = "\n".join(say(30) for _ in range(4)), [say(30) for _ in range(9)]
+    docs = [(k, exact) for k in range(25)] + [(100 + k, "\n".join([*near, f"copy {k}"])) for k in range(15)]
+    docs += [(200 + k, "Shared Footer\n" + say(40)) for k in range(12)]
+    stage, df = dict(corpus_pipeline.STAGES), spark.createDataFrame(docs, DOCS)
+    lines = stage["line_dedup"](spark, df, str(tmp_path))
+    assert not any(r.text == "" or "Shared Footer" in r.text for r in lines.collect())
+    left = {r.doc_id: r.text for r in stage["near_dedup"](spark, lines, str(tmp_path)).collect()}
+    assert [t for d, t in left.items() if d < 100] == [exact]
+    assert [t.split("\n")[:9] for d, t in left.items() if 100 <= d < 200] == [near] and len(left) == 14
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, sf, name):
     c = duckdb.connect()
