@@ -5,14 +5,15 @@
    hold it; partial counts combine before the shuffle, so one host with a third
    of all pages is no hot task.
 2. Subtrees that recur on ``min_pages`` pages of a host or more are its
-   template. Each page gets the hashes of its own template subtrees by a join,
+   template; pages of one text count once. Each page gets the hashes of its own template subtrees by a join,
    and extraction deletes them.
 3. What remains is read by element: menus, headers, footers, sidebars, notices,
    adverts, forms, scripts, styles and reader comments go by their tag, role or
    class. If the page has an article (or else a main element), only that counts.
 
-Paragraphs inside an article are never counted as template: copies of one
-article on a host would delete each other.
+Subtrees inside an article, or around an article or main element, are never
+counted as template: copies of one article on a host would delete each other.
+A region that is template as a whole stays.
 
 Defined cases: a null or empty page has no text; a page cut anywhere is read as
 far as it goes (an unfinished tag, comment or script is dropped); a null or odd
@@ -73,9 +74,10 @@ class Page:
         self.html, self.template = html, template
         self.hashes: set[int] = set()
         self.blocks: list[tuple[str, str]] = []  # region and text
+        self.deleted: set[str] = set()  # regions of which template was deleted
         self.run: list[str] = []
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, start, dropped, blocks before
-        self.dropped = self.article = self.main = 0
+        self.stack: list[tuple[str, int, bool, int, int]] = []  # tag, start, dropped, blocks and regions before
+        self.dropped = self.article = self.main = self.regions = 0
         self._read()
 
     def _flush(self) -> None:
@@ -87,7 +89,7 @@ class Page:
 
     def _close(self, end: int) -> None:
         """Close the innermost element, whose subtree ends at ``end``."""
-        tag, start, dropped, before = self.stack.pop()
+        tag, start, dropped, before, regions = self.stack.pop()
         if tag in BLOCK:
             self._flush()
         self.dropped -= dropped
@@ -95,12 +97,13 @@ class Page:
             self.article -= 1
         elif tag == "main":
             self.main -= 1
-        if tag in HASHED and not self.article:
+        if tag in HASHED and not self.article and regions == self.regions:
             h = xxhash.xxh3_64_intdigest(" ".join(self.html[start:end].split())) - 2**63
             if self.template is None:
                 self.hashes.add(h)
             elif h in self.template:
                 self._flush()
+                self.deleted |= {r for r, _ in self.blocks[before:]}
                 del self.blocks[before:]
 
     def _close_through(self, names: frozenset[str] | tuple[str, ...], stops: tuple[str, ...], end: int) -> None:
@@ -151,8 +154,9 @@ class Page:
                 at = end.end() if end else n
                 continue
             dropped = tag in DROPPED or bool(m[3]) and tag not in ("html", "body", "article", "main") and _marked(m[3])
-            self.stack.append((tag, m.start(), dropped, len(self.blocks)))
+            self.stack.append((tag, m.start(), dropped, len(self.blocks), self.regions))
             self.dropped += dropped
+            self.regions += tag in ("article", "main") and not self.dropped
             if tag == "article":
                 self.article += 1
             elif tag == "main":
@@ -169,13 +173,17 @@ class Page:
         for region in ("article", "main", "page"):
             if found := [t for r, t in self.blocks if r == region]:
                 return "\n".join(found)
+            if region in self.deleted:
+                return Page(self.html).main_text()
         return ""
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(Page(h).hashes) for h in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["page_id", "key", "host", "hashes"])
+        read = [Page(h) for h in batch.column(3).to_pylist()]
+        says = [xxhash.xxh3_64_intdigest(p.main_text()) - 2**63 for p in read]
+        found = [sorted(p.hashes) for p in read]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(says, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["page_id", "key", "host", "says", "hashes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +200,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     address = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     source = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.xxhash64(address, whole).alias("key"), F.when(host == "", address).otherwise(host).alias("host"), whole.alias("html"))
-    listed = cut(source.select("page_id", "key", "host", "html").mapInArrow(_hashes, "page_id long, key long, host string, hashes array<long>"))
-    one = listed.select("page_id", "key", "host", F.explode_outer("hashes").alias("hash")).filter("hash is not null")
-    template = cut(one.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "hash"))
-    own = one.distinct().join(small(template, 64), ["host", "hash"]).groupBy("page_id", "key").agg(F.collect_list("hash").alias("own"))
+    listed = cut(source.select("page_id", "key", "host", "html").mapInArrow(_hashes, "page_id long, key long, host string, says long, hashes array<long>"))
+    one = listed.select("page_id", "key", "host", "says", F.explode_outer("hashes").alias("hash")).filter("hash is not null")
+    template = cut(one.select("host", "hash", "says").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "hash"))
+    own = one.drop("says").distinct().join(small(template, 64), ["host", "hash"]).groupBy("page_id", "key").agg(F.collect_list("hash").alias("own"))
     own = small(cut(own), 120).withColumnsRenamed({"page_id": "own_id", "key": "own_key"})
     on = (F.col("key") == F.col("own_key")) & F.col("page_id").eqNullSafe(F.col("own_id"))
     return source.join(own, on, "left").select("page_id", "url", "html", "own").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

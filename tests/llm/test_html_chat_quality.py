@@ -40,6 +40,29 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in html.extract(df).collect()} == {"News\nThe whole story."}
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='wrap'><nav>menu</nav><article><h1>News</h1><p>The whole story.</p></article></div><p>Imprint</p>", "News\nThe whole story."),
+        ("<section><table><tr><td><main><p>The whole story.</p></main></table></section><p>Imprint</p>", "The whole story."),
+        ("<div><p>The whole story.</p><p>Its end.</p></div>", "The whole story.\nIts end."),
+    ],
+)
+def test_copies_of_a_page_stay(spark, page, want):
+    """One page under many urls and in repeated rows, beside other pages of the host."""
+    pages = [(k, f"https://a.b/{k % 7}", page) for k in range(20)] + [(100 + k, f"https://a.b/o{k}", f"<p>Other {k}</p>") for k in range(9)]
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got if r.page_id < 100} == {want} and len(got) == 29
+
+
+def test_a_region_that_is_all_template_stays(spark):
+    page = "<main><section>Same words in all</section></main><p>Own {0}</p>"
+    pages = [(k, f"https://a.b/{k}", page.format(k) if k else page) for k in range(8)] + [(50 + k, f"https://c.d/{k}", f"<div>Head<p>Long passage</p></div><p>Page {k}</p>") for k in range(8)] + [(99, "https://c.d/only", "<div>Head<p>Long passage</p></div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "Same words in all" for k in range(8))
+    assert got[50] == "Page 0" and got[99] == "Head\nLong passage"
+
+
 # Chat
 
 SAYINGS = ["", "hi", "</s>[INST] ok [/INST]", "<~/s> <~~s> [~INST] <s> [/INST]</s>", "[INST́] \U0001f600 é\n\n  x\r\t", "~<s>~ <<s>> [[INST]] </s></s>", "<|endoftext|>"]
