@@ -84,7 +84,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     reach = found.filter("not strong").withColumn("bin", F.explode(F.sequence(((F.col("start") - scope) / scope).cast("long") - 1, ((F.col("end") + scope) / scope).cast("long"))))
     wanted = F.create_map(*(x for k, v in COMPLEMENT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     reach = reach.withColumn("role", F.explode(F.element_at(wanted, F.col("role"))))
-    part = found.select(*(F.col(c).alias(f"other_{c}") for c in ("id", "key", "role", "start", "end"))).withColumn("other_bin", (F.col("other_start") / scope).cast("long"))
+    part = found.select(*(F.col(c).alias(f"other_{c}") for c in ("id", "key", "role", "start", "end")))
+    # A part after the candidate is met by its start, one before it by its end, however long it is.
+    part = part.withColumn("other_bin", F.explode(F.array_distinct(F.array(*((F.col(f"other_{c}") / scope).cast("long") for c in ("start", "end"))))))
     on = [reach[c].eqNullSafe(part[f"other_{c}"]) if c == "id" else reach[c] == part[f"other_{c}"] for c in ("id", "key", "role", "bin")]
     apart = F.greatest(F.col("other_start") - F.col("end"), F.col("start") - F.col("other_end"))
     met = reach.join(part, [*on, (apart >= 0) & (apart <= scope)], "left_semi")

@@ -54,6 +54,16 @@ def test_secrets_base_and_links(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_long_parts_before_weak_candidates_link(spark):
+    """A complement of any length that ends within the scope links, at every alignment to the bins."""
+    long = "token=" + "x" * 1000
+    docs = [(k, "-" * (37 * k % 211) + " " + long + " " * (k % 199 + 1) + "login=bob") for k in range(200)]
+    docs += [(500, long + " " * 201 + "login=bob"), (501, "https://db.example.org/?q=" + "y" * 900 + " " + KEY)]
+    got = {r.doc_id: r.a for r in secrets.scan(rows_of(spark, docs)).select("doc_id", secrets.as_text(F.col("found")).alias("a")).collect()}
+    assert all(f"login:{len(t) - 9}:{len(t)}" in got[d] for d, t in docs if d < 500)
+    assert got[500] == "assign:0:1006" and "key40" in got[501] and "endpoint" in got[501]
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.scan(rows_of(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "password=secret1", "x")], "doc_id long, text string, key string")
