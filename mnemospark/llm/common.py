@@ -25,12 +25,15 @@ def tune(spark: SparkSession) -> None:
     """Prepare a session: the package on the workers, a checkpoint folder and small Arrow batches.
 
     The folder that the cluster names in ``spark.checkpoint.dir`` is used as
-    it is; only where none is set (tests) a folder of our own is made.
+    it is. Where none is set, a local session gets a temporary one; on a
+    cluster that would be lost with its node, so there it is an error.
     """
     ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith(("local[", "local-")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemospark-checkpoint-"))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -48,13 +51,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a checkpointed frame for broadcast if its counted rows fit ``limit``.
+def fits(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> bool:
+    """Whether the rows of a checkpointed frame take ``limit`` bytes at most.
+
+    ``row_bytes``: the bytes of a row, or a column that says them; then they
+    are added up, so rows of any length are counted as what they are.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    if isinstance(row_bytes, int):
+        return df.count() * row_bytes <= limit
+    return (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> DataFrame:
+    """Mark a checkpointed frame for broadcast if its rows fit ``limit``.
 
     Beyond the limit the frame is returned as it is and Spark shuffles it, so
     a plan built on this works at every size.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
 def ascii_lower(c: Column) -> Column:

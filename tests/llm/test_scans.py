@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, licenses, secrets
+from mnemospark.llm import common, decontaminate, licenses, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -97,7 +97,7 @@ def overlap(doc, item):
         for p in range(len(i)):
             cur = max(0, cur + (1 if 0 <= p + shift < len(d) and d[p + shift] == i[p] else -2))
             best = max(best, cur)
-    return best >= min(12, max(8, 0.6 * len(i))) if len(i) >= 10 else False
+    return best if i and best >= (len(i) if len(i) < 9 else min(12, max(8, 0.6 * len(i)))) else 0
 
 
 @pytest.fixture(scope="module")
@@ -115,14 +115,27 @@ def tables():
     return [*docs, (998, None), (999, ""), (1000, "short")], [*((k, " ".join(x)) for k, x in items), (90, None), (91, "")]
 
 
-def test_decontamination_against_all_diagonals(spark, tables):
+@pytest.mark.parametrize("limit", [24 << 20, 0])
+def test_decontamination_against_all_diagonals(spark, tables, monkeypatch, limit):
+    """Also where nothing may be broadcast by its size."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     docs, items = tables
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(rows_of(spark, docs), b).collect()}
-    want = {(d, k) for d, t in docs for k, i in items if overlap(t, i)}
-    assert got <= want and len(want - got) <= 0.02 * len(want) and len(want) > 40
-    whole = {(d, k) for d, t in docs for k, i in items if i and len(i.split()) >= 10 and i in (t or "").replace("W1, ", "w1 ")}
-    assert whole <= got
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.overlaps(rows_of(spark, docs), b).collect()}
+    want = {(d, k): s for d, t in docs for k, i in items if (s := overlap(t, i))}
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.02 * len(want) and len(want) > 40
+    assert all(s <= want[x] for x, s in got.items()) and sum(s == want[x] for x, s in got.items()) >= 0.98 * len(got)
+    whole = {(d, k) for d, t in docs for k, i in items if i and i in (t or "").replace("W1, ", "w1 ")}
+    assert whole <= set(got)
+
+
+def test_short_long_and_odd_items(spark):
+    long = " ".join(f"n{k}" for k in range(60_000))
+    docs = [(1, "so he said good morning world to all"), (2, "good, Morning"), (3, long + " the last words of this very long text are found too"), (4, long), (4, long), (5, "これは小さな試験の問題です。答えは一つ"), (6, "q" * 200_000)]
+    items = [(10, "Good morning world"), (11, "the last words of this very long text are found"), (None, "n59990 n59991 n59992 n59993 n59994 n59995 n59996 n59997 n59998 n59999 xx"), (12, "小さな試験の問題です"), (13, "nothing like it"), (13, "morning")]
+    got = [(r.doc_id, r.item_id, r.score, r.doc_start) for r in decontaminate.overlaps(rows_of(spark, docs), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))).collect()]
+    want = [(1, 10, 3, 3), (1, 13, 1, 4), (2, 13, 1, 1), (3, 11, 10, 60_000), (3, None, 10, 59_990), (4, None, 10, 59_990), (5, 12, 10, 3)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_decontamination_keeps_columns_and_clean_documents(spark, tables):
