@@ -1,29 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two bigram models, of toxic and of ordinary labelled texts, share the counts
-they back off to. A word's class probability is its discounted share of the
-class's continuation counts (the different words it follows) plus the rest of
-the mass times its share of both classes' continuation counts together, so
-expressions that are rare in either class say nothing. Bigrams that lean to the
-toxic class are kept with their own discounted probabilities, and the mass of
-their contexts is brought to one again; all others back off, which is the usual
-pruning of such models.
-
-The class's discount is larger than is usual (``DISCOUNT``): in each class a
-word needs more than three different contexts before it says anything.
-
-Counting: each task counts pairs of words, Spark adds the pairs up in one
-shuffle dealt by the second word, and one aggregate per word gives continuation
-counts and kept pairs. All words below the discount in both classes are alike,
-so one row stands for them. What reaches the driver is bounded by
-``MOST_WORDS`` and ``MOST_PAIRS``: the least count is raised until the rows
-fit. What is shuffled grows with the labelled rows.
-
-Scoring: the difference of the two models' log-likelihoods per known word, and the
-same over the words that lean to the toxic class, are brought to a probability
-by a logistic regression. It is fitted on labelled rows that the models have
-not seen: of the learning rows, a fold of crc32(doc_id) mod 5 is left out of
-the counts. ``FIT_ROWS`` bounds its rows; beyond it a hash of the id chooses.
+Two models, of toxic and of ordinary labelled texts, share the counts that they
+back off to. A word's probability in a class is its discounted share of the
+class's continuation counts (the different words that it follows there) plus
+the rest of the mass times its share of both classes' continuation counts
+together, so expressions that are rare in either class say nothing. The
+discount is larger than is usual (``DISCOUNT``): in each class a word needs more
+than three different contexts before it says anything.
+
+Continuation counts are taken of word pairs; the pairs' own frequencies are not
+a level of the models. They were tried: what copies and templates repeat makes
+ordinary pairs look toxic, and fewer held-out rows come out right (figures in
+the README).
+
+Counting: each task counts pairs of words by full 64-bit hashes, Spark adds
+them up in a shuffle dealt by the whole pair, so no word is a hot key, and then
+counts contexts by word. All words below the discount in both classes are
+alike, so one row stands for them. What is shuffled, and the model with it,
+grows with the labelled rows; no word is left out.
+
+Scoring: the difference of the two models' log-likelihoods, normalised by
+length, and the same over the words that lean to the toxic class, are brought to
+a probability by a logistic regression. It is fitted on labelled rows that the
+models have not seen: at most ``FIT_ROWS`` rows, chosen by a hash of the id from
+one fold of crc32(doc_id) mod 5. All others but the held-out fold are counted.
+
+The most frequent ``HOT_WORDS`` words of the model are broadcast. Where there
+are more, the rest stays a table: the documents' other words are joined with it
+and each document gets what was found, which gives the same scores.
 
 Defined cases: a null or empty text scores as the regression does without
 evidence; several labels of one doc_id count by majority, ties as toxic; a null
@@ -43,25 +47,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import cut, small, text_of, tune
-from mnemospark.llm.words import CACHES, claim
-
-#: Bits of a word's hash, and of them those that stand for the word as a context.
-WORD_BITS, CONTEXT_BITS = 40, 20
-WORDS, CONTEXTS = 1 << WORD_BITS, 1 << CONTEXT_BITS
-#: Words and kept bigrams at most, and the least toxic count and rate ratio of a kept bigram.
-MOST_WORDS = 1_000_000
-MOST_PAIRS = 300_000
-LEAST_PAIR = 4
-LEAST_RATIO = 4.0
-#: Kneser-Ney discounts of words in a class and of kept bigrams.
+from mnemospark.llm.common import cut, fresh, small, text_of, tune
+from mnemospark.llm.words import CACHES, claim, mix
+
+#: Discount of continuation counts in a class.
 DISCOUNT = 3.0
-PAIR_DISCOUNT = 0.75
+#: Words of the model that are broadcast, the most frequent ones; 12 bytes each. The others are joined.
+HOT_WORDS = 2_000_000
 #: A word leans to the toxic class from this difference of log probabilities on.
 LEANS = 1.0
 #: Words of the usual difference that every text is taken to have besides its own.
 USUAL_WORDS = 20
 FOLDS, HELD_OUT, CALIBRATES = 5, 0, 1
+#: Labelled rows that the regression is fitted on, at most.
 FIT_ROWS = 40_000
 #: Pairs that a counting task holds before it hands them on.
 HELD_PAIRS = 1_000_000
@@ -69,19 +67,19 @@ _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else b
 
 
 class _Hashes(dict):
-    """Word to the low bits of its hash; emptied when full, which bounds its memory."""
+    """Word to its hash, as a signed number; emptied when full, which bounds its memory."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
-        b = self[word] = xxhash.xxh3_64_intdigest(word) & (WORDS - 1)
+        b = self[word] = xxhash.xxh3_64_intdigest(word) - 2**63
         return b
 
 
 _WORDS = _Hashes()
 CACHES["toxicity"] = _WORDS.clear
 #: The context that stands before a text's first word.
-START = xxhash.xxh3_64_intdigest(b"\0start") & (CONTEXTS - 1)
+START = xxhash.xxh3_64_intdigest(b"\0start") - 2**63
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -90,120 +88,89 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
 
 
-def pairs_of(w: np.ndarray) -> np.ndarray:
-    """Each word behind the one before it: word in the high bits, context in the low."""
-    before = np.empty_like(w)
-    before[:1] = START
-    before[1:] = w[:-1] & (CONTEXTS - 1)
-    return (w << CONTEXT_BITS) | before
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("toxicity")
-    held: list[list[np.ndarray]] = [[], []]
-    n = 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def emit() -> pa.RecordBatch:
-        nonlocal n
-        tables = [np.unique(np.concatenate(h) if h else np.empty(0, np.int64), return_counts=True) for h in held]
-        keys = np.concatenate([tables[0][0], tables[1][0]])
-        toxic = np.concatenate([np.zeros(len(tables[0][0]), np.int64), tables[1][1]])
-        plain = np.concatenate([tables[0][1], np.zeros(len(tables[1][0]), np.int64)])
-        held[0].clear(), held[1].clear()
-        n = 0
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic.astype(np.int32)), pa.array(plain.astype(np.int32))], ["pair", "toxic", "plain"])
+        word, before, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        pair = mix(word.view(np.uint64) * np.uint64(3) + mix(before.astype(np.uint64)))
+        order = np.argsort(pair)
+        firsts = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0])
+        n = np.diff(np.r_[firsts, len(order)])
+        bad = np.add.reduceat(toxic[order].astype(np.int32), firsts)
+        at = order[firsts]
+        return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(before[at]), pa.array(bad.astype(np.int32)), pa.array((n - bad).astype(np.int32))], ["word", "before", "toxic", "plain"])
 
+    n = 0
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p = pairs_of(word_hashes(text))
-            held[label].append(p)
-            n += len(p)
+            w = word_hashes(text)
+            if len(w):
+                held.append((w, np.r_[START, w[:-1]], np.full(len(w), label, bool)))
+                n += len(w)
         if n >= HELD_PAIRS:
             yield emit()
+            n = 0
     if n:
         yield emit()
 
 
 class Models:
-    """Differences of log probabilities, toxic minus ordinary: per word, per kept pair and per context."""
-
-    def __init__(self, words: np.ndarray, word: np.ndarray, unseen: float, usual: float, context: np.ndarray, keys: np.ndarray, pairs: np.ndarray):
-        self.words, self.word, self.unseen, self.usual, self.context, self.keys, self.pairs = words, word, unseen, usual, context, keys, pairs
-
-    @classmethod
-    def of(cls, table: pa.Table, kept: np.ndarray) -> Models:
-        """``table``: a row per word and one of word -1 for all others; ``kept``: pair, toxic and plain counts."""
-        column = {c: table.column(c).to_numpy().astype(float) for c in ("n_toxic", "n_plain", "c_toxic", "c_plain", "c_both")}
-        words = table.column("word").to_numpy()
-        shared = column["c_both"] / max(1.0, column["c_both"].sum())
-        real = words >= 0
-        p, rest = {}, {}
-        for c in ("toxic", "plain"):
-            n = column[f"c_{c}"]
-            over = np.where(real, np.maximum(n - DISCOUNT, 0.0), 0.0) / max(1.0, n.sum())
-            rest[c] = 1 - over.sum()
-            p[c] = over + rest[c] * shared
-        order = np.flatnonzero(real)[np.argsort(words[real])]
-        words, word = words[order], (np.log(p["toxic"]) - np.log(p["plain"]))[order]
-        unseen = float(np.log(rest["toxic"]) - np.log(rest["plain"]))
-        spoken = column["n_plain"][order]
-        usual = float((word * spoken).sum() / max(1.0, spoken.sum()))
-        left = {c: np.zeros(CONTEXTS) for c in p}
-        q = {}
-        w, v = kept[:, 0] >> CONTEXT_BITS, kept[:, 0] & (CONTEXTS - 1)
-        at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-        have = words[at] == w if len(words) else np.zeros(len(w), bool)
-        for k, c in ((1, "toxic"), (2, "plain")):
-            n = np.zeros(CONTEXTS)
-            np.add.at(n, words & (CONTEXTS - 1), column[f"n_{c}"][order])
-            own = np.zeros(CONTEXTS)
-            np.add.at(own, v, kept[:, k].astype(float))
-            mass = np.maximum(kept[:, k] - PAIR_DISCOUNT, 0.0) / np.maximum(1.0, np.maximum(n, own)[v])
-            np.add.at(left[c], v, mass)
-            left[c] = np.clip(1 - left[c], 0.05, 1)
-            lower = p[c][order][at] if len(words) else np.zeros(len(w))
-            q[c] = mass + left[c][v] * np.where(have, lower, 1e-12)
-        pair = np.log(q["toxic"]) - np.log(q["plain"])
-        context = np.log(left["toxic"]) - np.log(left["plain"])
-        by_key = np.argsort(kept[:, 0])
-        by_key = by_key[have[by_key]]
-        return cls(words, word.astype(np.float32), unseen, usual, context.astype(np.float32), kept[by_key, 0], pair[by_key].astype(np.float32))
-
-    def features(self, text: str) -> tuple[float, ...]:
+    """Differences of log probabilities, toxic minus ordinary, of words; of an unknown one; and the mean in ordinary texts."""
+
+    def __init__(self, words: np.ndarray, word: np.ndarray, unseen: float, usual: float):
+        order = np.argsort(words)
+        self.words, self.word, self.unseen, self.usual = words[order], word[order].astype(np.float32), unseen, usual
+
+    def known(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words the model has, and where."""
+        if not len(self.words):
+            return np.zeros(len(w), bool), np.zeros(len(w), np.int64)
+        k = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        return self.words[k] == w, k
+
+    def features(self, text: str, more: list[dict] | None = None) -> tuple[float, ...]:
         """Mean difference per known word; toxic-leaning evidence by length and in all (log), and its words by length.
 
         Words that neither model knows leave the mean where it usually is, so
-        a text in another language is not taken for a toxic one.
+        a text in another language is not taken for a toxic one. ``more`` has
+        what the rest of the model says of this text's words.
         """
         w = word_hashes(text)
-        d, seen = np.full(len(w), self.unseen, np.float32), np.zeros(len(w), bool)
-        if len(self.words) and len(w):
-            k = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-            seen = self.words[k] == w
+        seen, k = self.known(w)
+        d = np.full(len(w), self.unseen, np.float32)
+        if len(self.words):
             d[seen] = self.word[k[seen]]
-        key = pairs_of(w)
-        d += self.context[key & (CONTEXTS - 1)]
-        if len(self.keys) and len(w):
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[k] == key
-            d[known] = self.pairs[k[known]]
-        mean = (float(d[seen].sum()) + USUAL_WORDS * self.usual) / (int(seen.sum()) + USUAL_WORDS)
+        if more:
+            rest = Models(np.array([m["word"] for m in more], np.int64), np.array([m["d"] for m in more]), 0.0, 0.0)
+            also, k = rest.known(w)
+            d[also], seen = rest.word[k[also]], seen | also
+        mean = (float(d[seen].sum(dtype=float)) + USUAL_WORDS * self.usual) / (int(seen.sum()) + USUAL_WORDS)
         leaning = d[d > LEANS]
-        lean, long = float(leaning.sum()), max(1, len(w)) ** 0.5
+        lean, long = float(leaning.sum(dtype=float)), max(1, len(w)) ** 0.5
         return mean, lean / long, float(np.log1p(lean)), len(leaning) / long
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton's method; mean and scale of the features, and weights with the bias first."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Newton's method with halved steps; mean and scale of the features, and weights with the bias first."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    w = np.zeros(z.shape[1])
+    w, pull = np.zeros(z.shape[1]), np.r_[1e-6, np.full(x.shape[1], ridge)]
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 0.5 * pull @ (w * w))
+
+    at = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * w)
+        while (new := loss(w + step)) > at and np.abs(step).max() > 1e-9:
+            step /= 2
+        if at - new < 1e-9:
             break
+        w, at = w + step, new
     return mean, scale, w
 
 
@@ -216,7 +183,8 @@ def _features(models):
         claim("toxicity")
         m = models.value
         for batch in batches:
-            f = np.array([m.features(t) for t in batch.column(0).to_pylist()], float).reshape(-1, 4)
+            more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            f = np.array([m.features(t, x) for t, x in zip(batch.column(0).to_pylist(), more, strict=True)], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(4)), batch.column(1)], ["a", "b", "c", "d", "label"])
 
     return run
@@ -225,32 +193,66 @@ def _features(models):
 class Scorer:
     """Fitted models: what brings a text to a probability, shipped to the workers."""
 
-    def __init__(self, constant: float, models=None, fitted=None):
-        self.constant, self.models, self.fitted = constant, models, fitted
+    def __init__(self, constant: float, models=None, fitted=None, rest: DataFrame | None = None):
+        self.constant, self.models, self.fitted, self.rest = constant, models, fitted, rest
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}  # a table of the session, which workers do not have
 
-    def of(self, texts: list[str | None]) -> np.ndarray:
+    def of(self, texts: list[str | None], more: list[list | None]) -> np.ndarray:
         if self.models is None:
             return np.full(len(texts), self.constant)
         m, (mean, scale, w) = self.models.value, self.fitted
-        f = np.array([m.features(t or "") for t in texts], float).reshape(-1, 4)
+        f = np.array([m.features(t or "", x) for t, x in zip(texts, more, strict=True)], float).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(w[0] + ((f - mean) / scale) @ w[1:], -30, 30)))
 
 
+def _rare(models):
+    """The words of each text that are not among the broadcast ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
+        m = models.value
+        for batch in batches:
+            found = []
+            for t in batch.column(2).to_pylist():
+                w = np.unique(word_hashes(t))
+                found.append(w[~m.known(w)[0]].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["own_id", "own_key", "words"])
+
+    return run
+
+
+def _with_rest(docs: DataFrame, models, rest: DataFrame | None, doc_id: str, text: str, more: str) -> DataFrame:
+    """The documents with a column ``more``: what the joined part of the model says of their words."""
+    if rest is None:
+        return docs
+    key = F.xxhash64(text_of(docs, text))
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("own_id"), key.alias("own_key"), text_of(docs, text).alias("t"))
+    words = own.mapInArrow(_rare(models), "own_id long, own_key long, words array<long>").select("own_id", "own_key", F.explode("words").alias("word")).distinct()
+    found = cut(words.join(rest, "word").groupBy("own_id", "own_key").agg(F.collect_list(F.struct("word", "d")).alias(more)))
+    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("own_id")) & (key == F.col("own_key"))
+    return docs.join(small(found, 32 + 16 * F.size(more)), on, "left").select(*(F.col(f"`{c}`") for c in docs.columns), more)
+
+
 def _score(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
         for batch in batches:
-            p = scorer.of(batch.column(2).to_pylist())
+            more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            p = scorer.of(batch.column(2).to_pylist(), more)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
-def _keep(scorer: Scorer, column: int):
+def _keep(scorer: Scorer, column: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
         for batch in batches:
-            yield batch.filter(pa.array(scorer.of(batch.column(column).to_pylist()) < 0.5))
+            more = batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
+            p = scorer.of(batch.column(column).to_pylist(), more)
+            yield batch.select(list(range(width))).filter(pa.array(p < 0.5))
 
     return run
 
@@ -261,13 +263,43 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     key = F.col(f"`{doc_id}`").cast("long")
     held = F.coalesce(fold(key) == HELD_OUT, F.lit(False))
     source = docs.select(key.alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("text"))
+    source = _with_rest(source, scorer.models, scorer.rest, "doc_id", "text", "more")
     return source.mapInArrow(_score(scorer), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The documents that score below 0.5; columns as they were."""
     scorer = fit(docs, labels, doc_id, text, label)
-    return docs.mapInArrow(_keep(scorer, docs.columns.index(text)), docs.schema)
+    with_rest = _with_rest(docs, scorer.models, scorer.rest, doc_id, text, fresh("more", docs.columns))
+    return with_rest.mapInArrow(_keep(scorer, docs.columns.index(text), len(docs.columns)), docs.schema)
+
+
+def _models(words: DataFrame, hot_words: int) -> tuple[Models, DataFrame | None]:
+    """The models of a (checkpointed) table of counts by word: the broadcast part and the rest, if there is one.
+
+    ``words``: word, n (tokens), n_plain, and continuation counts c_toxic, c_plain and c_both.
+    """
+    total = words.agg(*(F.sum(c).cast("double").alias(c) for c in ("c_toxic", "c_plain", "c_both")), *(F.sum(F.greatest(F.col(f"c_{c}") - DISCOUNT, F.lit(0.0))).alias(f"over_{c}") for c in ("toxic", "plain"))).first()
+    rest = {c: 1 - total[f"over_{c}"] / total[f"c_{c}"] for c in ("toxic", "plain")}
+
+    def p(c: str) -> Column:
+        return F.greatest(F.col(f"c_{c}") - DISCOUNT, F.lit(0.0)) / total[f"c_{c}"] + rest[c] * F.col("c_both") / total["c_both"]
+
+    seen = words.filter(F.greatest("c_toxic", "c_plain") > DISCOUNT).select("word", "n", "n_plain", F.log(p("toxic") / p("plain")).alias("d"))
+    said = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("n_plain").alias("plain"), F.sum(F.col("n_plain") * F.col("d")).alias("d")).first()
+    hot, others = seen, None
+    if said["n"] > hot_words:
+        # The least frequency of which at most hot_words words are; frequencies by powers of two, so a few dozen rows.
+        ranks = sorted(((r["k"], r["m"]) for r in seen.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+        least, have = ranks[0][0] + 1, 0
+        for k, m in ranks:
+            if have + m > hot_words:
+                break
+            least, have = k, have + m
+        hot, others = seen.filter(F.floor(F.log2("n")) >= least), cut(seen.filter(F.floor(F.log2("n")) < least).select("word", F.col("d").cast("float").alias("d")))
+    table = hot.select("word", F.col("d").cast("float").alias("d")).toArrow()
+    usual = (said["d"] or 0.0) / max(1, said["plain"] or 0)
+    return Models(table.column("word").to_numpy(), table.column("d").to_numpy(), float(np.log(rest["toxic"] / rest["plain"])), float(usual)), others
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
@@ -280,47 +312,37 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     teach = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     marks = labels.select(F.col(f"`{doc_id}`").cast("long").alias("marked"), F.col(f"`{label}`").alias("label")).filter("marked is not null and label is not null")
     marks = cut(marks.groupBy("marked").agg((F.avg("label") >= 0.5).cast("int").alias("label")).withColumn("fold", fold(F.col("marked"))).filter(F.col("fold") != HELD_OUT))
-    sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, plain = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {(r["fold"], r["label"]): r["n"] for r in marks.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, all_ = sum(n for (_, y), n in sizes.items() if y), sum(sizes.values())
+    constant = toxic / max(1, all_)
+    share = min(1.0, FIT_ROWS / max(1, sum(n for (f, _), n in sizes.items() if f == CALIBRATES)))
+    fits_on = (F.col("fold") == CALIBRATES) & (F.pmod(F.xxhash64("marked"), F.lit(1 << 20)) < int(share * (1 << 20)))
     with_label = teach.join(small(marks, 32), F.col("doc_id") == F.col("marked"))
-    constant = toxic / max(1, toxic + plain)
-    if not toxic or not plain:
+    if not 0 < toxic < all_:
+        return Scorer(float(constant))
+    counted = with_label.filter(~fits_on).select("text", "label").mapInArrow(_count, "word long, before long, toxic int, plain int")
+    pairs = counted.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    words = cut(
+        pairs.groupBy("word").agg(
+            F.sum(F.col("toxic") + F.col("plain")).alias("n"),
+            F.sum("plain").alias("n_plain"),
+            F.sum((F.col("toxic") > 0).cast("long")).alias("c_toxic"),
+            F.sum((F.col("plain") > 0).cast("long")).alias("c_plain"),
+            F.count(F.lit(1)).alias("c_both"),
+        )
+    )
+    have = words.agg(F.max("c_toxic").alias("toxic"), F.max("c_plain").alias("plain")).first()
+    if not have["toxic"] or not have["plain"]:  # no words of one class
         return Scorer(float(constant))
-    counted = with_label.filter(F.col("fold") != CALIBRATES).select("text", "label").mapInArrow(_count, "pair long, toxic int, plain int")
-    dealt = counted.repartition(F.shiftright("pair", CONTEXT_BITS)).withColumn("word", F.shiftright("pair", CONTEXT_BITS))
-    pairs = dealt.groupBy("word", "pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    keep = (F.col("toxic") >= LEAST_PAIR) & (F.col("toxic") >= LEAST_RATIO * toxic / plain * F.col("plain"))
-    counts = [
-        F.sum("toxic").alias("n_toxic"),
-        F.sum("plain").alias("n_plain"),
-        F.sum((F.col("toxic") > 0).cast("long")).alias("c_toxic"),
-        F.sum((F.col("plain") > 0).cast("long")).alias("c_plain"),
-        F.count(F.lit(1)).alias("c_both"),
-    ]
-    words = cut(pairs.groupBy("word").agg(*counts, F.collect_list(F.when(keep, F.struct("pair", "toxic", "plain"))).alias("kept")))
-    most = F.greatest("c_toxic", "c_plain")
-    least = DISCOUNT
-    while words.filter(most > least).count() > MOST_WORDS:
-        least *= 1.5
-    seen = words.filter(most > least)
-    others = words.filter(most <= least).agg(F.lit(-1).cast("long").alias("word"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_toxic", "n_plain", "c_toxic", "c_plain", "c_both")))
-    table = seen.select(others.columns).unionByName(others).toArrow()
-    pair = seen.select(F.explode_outer("kept").alias("p")).filter("p is not null").select("p.*")
-    least = LEAST_PAIR
-    while pair.filter(F.col("toxic") >= least).count() > MOST_PAIRS:
-        least *= 2
-    rows = pair.filter(F.col("toxic") >= least).toArrow()
-    kept = np.column_stack([rows.column(c).to_numpy() for c in ("pair", "toxic", "plain")]).astype(np.int64)
-    models = spark.sparkContext.broadcast(Models.of(table, kept))
-    own = with_label.filter(F.col("fold") == CALIBRATES)
-    share = FIT_ROWS / max(1, (toxic + plain) // (FOLDS - 1))
-    if share < 1:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = own.select("text", "label").mapInArrow(_features(models), "a double, b double, c double, d double, label int").toArrow()
+    model, rest = _models(words, HOT_WORDS)
+    models = spark.sparkContext.broadcast(model)
+    own = with_label.filter(fits_on).select("doc_id", "text", "label")
+    own = _with_rest(own, models, rest, "doc_id", "text", "more").drop("doc_id")
+    seen = own.mapInArrow(_features(models), "a double, b double, c double, d double, label int").toArrow()
     x = np.column_stack([seen.column(c).to_numpy() for c in "abcd"]) if seen.num_rows else np.empty((0, 4))
     y = seen.column("label").to_numpy().astype(float) if seen.num_rows else np.empty(0)
     if len(set(y.tolist())) < 2:  # too few rows to fit on: evidence per word against an even chance
         fitted = (np.zeros(4), np.ones(4), np.array([np.log((constant + 1e-6) / (1 - constant + 1e-6)), 0.0, 1.0, 0.0, 0.0]))
     else:
         fitted = fit_logistic(x, y)
-    return Scorer(float(constant), models, fitted)
+    return Scorer(float(constant), models, fitted, rest)

@@ -73,6 +73,40 @@ def test_model_against_plain_counts(scored):
         assert have.get(int(h), m.unseen) == pytest.approx(want[w], abs=1e-4)
 
 
+def test_a_joined_model_gives_the_same_scores(spark, scored, monkeypatch):
+    """Where only some or no words may be broadcast, and where documents share an id."""
+    rows, docs, labels, got = scored
+    for most in (0, 150):
+        monkeypatch.setattr(toxicity, "HOT_WORDS", most)
+        again = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+        assert again == pytest.approx({d: r.score for d, r in got.items()}, abs=1e-6)
+    twins = docs.unionByName(spark.createDataFrame([(0, "Rotter! rotter, scoundrel blighter rotter"), (0, "v1 v2 v3"), (None, "v1")], DOCS))
+    kept = {(r.doc_id, r.text) for r in toxicity.keep_ordinary(twins, labels).collect()}
+    assert (0, "v1 v2 v3") in kept and (None, "v1") in kept and not any("Rotter!" in t for d, t in kept if d == 0)
+
+
+def test_scores_against_plain_code(scored):
+    """The whole way from counts to scores, by loops over words."""
+    rows, docs, labels, got = scored
+    s = toxicity.fit(docs, labels)
+    d = dict(zip(s.models.value.words.tolist(), s.models.value.word.tolist(), strict=True))
+    mean, scale, w = s.fitted
+    for k, t, _ in rows[:60]:
+        hashes = [int(toxicity.word_hashes(x)[0]) for x in t.lower().replace(",", " ").replace("!", " ").split()]
+        says = [d.get(h, s.models.value.unseen) for h in hashes]
+        seen = [d[h] for h in hashes if h in d]
+        lean = [x for x in says if x > toxicity.LEANS]
+        f = [(sum(seen) + 20 * s.models.value.usual) / (len(seen) + 20), sum(lean) / len(hashes) ** 0.5, np.log1p(sum(lean)), len(lean) / len(hashes) ** 0.5]
+        z = w[0] + sum(b * (x - m) / c for b, x, m, c in zip(w[1:], f, mean, scale, strict=True))
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_ties_of_labels_count_as_toxic(spark, scored):
+    rows, docs, labels, got = scored
+    tied = labels.unionByName(labels.filter("toxic = 1").withColumn("toxic", F.lit(0)))
+    assert {r.doc_id: r.score for r in toxicity.score(docs, tied).collect()} == pytest.approx({d: r.score for d, r in got.items()})
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, ""), (3, "w " * 100_000)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
