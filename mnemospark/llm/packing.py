@@ -6,17 +6,20 @@ become items themselves: groups of ``fan_in`` partitions are merged into one,
 packed again, and so on up the tree. What moves between rounds is a bin's id
 and length, never tokens. A task holds at most ``window`` items at once.
 
+Ids are those of the tokenizer as it is loaded, so its special strings in a text
+have their own ids.
+
 Defined cases: a null or empty text is one document of the single separator
-id; repeated rows are packed as often as they occur; an empty table gives an
+id; a null doc_id stays null; repeated rows are packed as often as they occur; an empty table gives an
 empty result; ties in length are taken in input order; extra columns of the
 input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,20 +41,42 @@ LINKS = "child long, parent long, shift long, filled long"
 #: Byte-level vocabularies show a byte as a character: printable ones as themselves, the others from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: chr(b if b in _SHOWN else 256 + i) for i, b in enumerate(sorted(range(256), key=lambda b: (b in _SHOWN, b)))}
+#: The definition of a tokenizer whose texts may be encoded word by word, without its vocabulary.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False},
+}
 #: Full stops and commas that end a word: a boundary for the tokenizer too, if a letter or digit stands before.
-_TAIL = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n\t\r]|\Z)")
+_TAIL = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,]+)(?=[ \n\t\r]|\Z)")
+#: Whether a text has characters beyond Latin letters and common marks; the others are as they are in NFC and have one small letter each.
+_BEYOND = re.compile("[^\0-\u012f\u0131-\u024f\u2010-\u2027\u20ac]")
+
+
+def by_word(definition: dict) -> bool:
+    """Whether a tokenizer encodes each word on its own, as ``words_of`` takes for granted."""
+    model = {k: definition["model"].get(k) for k in BY_WORD["model"]}
+    return {k: model if k == "model" else definition.get(k) for k in BY_WORD} == BY_WORD
 
 
 def words_of(text: str) -> list[str]:
     """Parts of a text whose ids, put together in order, are the text's ids.
 
     The tokenizer composes (NFC), lower-cases each character and then splits at
-    white space and between letters and marks. Lower-casing here first, so that
-    fewer different words are met, is done only where it can't make a difference.
+    white space and between letters and marks. Lower-casing and cutting marks off
+    here first, so that fewer different words are met, is done only where no
+    character can make a difference.
     """
-    if text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
-        text = text.lower()
-    return _TAIL.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    if text.isascii() or not _BEYOND.search(text):
+        text = _TAIL.sub(r" \1", text.lower())
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class WordIds(dict):
@@ -63,7 +88,10 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, most: int = 250_000):
         super().__init__()
+        definition = json.loads(tokenizer.to_str())
         self.tokenizer, self.most, self.old = tokenizer, most, {}
+        self.by_word, self.added = by_word(definition), [t["content"].lower() for t in definition["added_tokens"]]
+        self.starts = {a[:2] for a in self.added} | {a[:2].upper() for a in self.added}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the words that are new, in one call."""
@@ -87,7 +115,7 @@ class WordIds(dict):
                     self[w] = array("I", [t.id for t in merge(w)]).tobytes()
                 else:
                     rest.append(w)
-            elif w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):
+            elif w.isalpha() and not _BEYOND.search(w) and w == w.lower():
                 self[w] = array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
             else:
                 rest.append(w)
@@ -95,11 +123,13 @@ class WordIds(dict):
             self[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        words = [words_of(t) for t in texts]
+        """The ids of each text: by words, or of the whole where it holds a special string (in any case) or the tokenizer is another."""
+        whole = [not self.by_word or any(a in t for a in self.starts) and any(a in t.lower() for a in self.added) for t in texts]
+        words = [[] if w else words_of(t) for w, t in zip(whole, texts, strict=True)]
         self.learn(words)
         get = self.__getitem__
-        return (b"".join(map(get, w)) for w in words)
+        for is_whole, w, t in zip(whole, words, texts, strict=True):
+            yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if is_whole else b"".join(map(get, w))
 
 
 #: The words of the last tokenizer that this worker used; kept between its tasks.
@@ -114,10 +144,8 @@ def word_ids(model: bytes) -> WordIds:
     claim("packing")
     key = zlib.crc32(model)
     if key not in _WORKER:
-        tokenizer = Tokenizer.from_str(model.decode())
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         _WORKER.clear()
-        _WORKER[key] = WordIds(tokenizer)
+        _WORKER[key] = WordIds(Tokenizer.from_str(model.decode()))
     return _WORKER[key]
 
 

@@ -50,9 +50,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return path, t
+    return path, Tokenizer.from_file(path)
 
 
 TEXTS = ["", "Hello, world. Don't stop'. It's 3.5 o'clock!!. A.B.C.", "É è Ñ İstanbul ΣΑΣ. Σ", "a b c\x1cd\x0be", "<|endoftext|> x <|startoftext|>", "é. É, Å", "½. ²,", "'s. ,'s a.'t .,", "日本語。テキスト, ok.", "\t\n\r \x0c", "naïve ﬁne \U0001f600.", "x" * 50, "퟿. ​,"]
@@ -65,6 +63,42 @@ def test_ids_of_words_are_ids_of_texts(tokenizer):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer[1].encode(t, add_special_tokens=False).ids, t
 
 
+ODD = [*"abcXYZ019 .,'sStm!?-_<|>\n\t\r\x0b\x0c\x1c\x85\xa0éÉÑßŸıİİſKÅΣσς½²ⅷ日本ก́̊̈ﬁǅẞ’“”…—€😀​‍가각ᄀ", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "Y̊", "İ,", "don't", "<|"]
+
+
+def test_ids_of_random_strings(tokenizer):
+    """The tokenizer as it is loaded is the judge, special strings and all."""
+    rng, ids = random.Random(5), packing.WordIds(tokenizer[1])
+    assert ids.by_word
+    for _ in range(100):
+        texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(500)]
+        for t, got in zip(texts, ids.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer[1].encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_tokenizers_encode_whole_texts(tokenizer):
+    import json
+
+    from tokenizers import Tokenizer
+
+    d = json.loads(tokenizer[1].to_str())
+    d["normalizer"] = None
+    other = Tokenizer.from_str(json.dumps(d))
+    ids = packing.WordIds(other)
+    assert not ids.by_word
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode(TEXTS)] == [other.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_packing_by_small_windows_and_odd_columns(spark, tokenizer):
+    """Many flushes of a task, a null id, and columns named like those of the result."""
+    docs = [(k if k else None, f"number {k} " * (k % 40)) for k in range(300)]
+    df = rows_of(spark, docs).withColumns({"piece": F.lit("x"), "bin": F.lit(1), "length": F.lit(2)}).repartition(3)
+    got = packing.pack_documents(df, tokenizer[0], capacity=256, window=20, fan_in=2).toPandas()
+    assert len(got[got["doc_id"].isna()]) == 1 and got["length"].sum() == sum(len(tokenizer[1].encode(t, add_special_tokens=False).ids) + 1 for _, t in docs)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 256
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     rng = random.Random(1)
     docs = [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(int(rng.paretovariate(0.7) * 20) % 6000))) for k in range(400)]
