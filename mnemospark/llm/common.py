@@ -17,7 +17,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Most bytes a side may have, by count and row width, to be broadcast.
+#: Most bytes a side may have to be broadcast.
 BROADCAST_BYTES = 24 << 20
 
 
@@ -51,13 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def common_bytes() -> int:
+    """The most bytes of a broadcast side."""
+    return BROADCAST_BYTES
+
+
 def fits(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> bool:
     """Whether the rows of a checkpointed frame take ``limit`` bytes at most.
 
     ``row_bytes``: the bytes of a row, or a column that says them; then they
     are added up, so rows of any length are counted as what they are.
     """
-    limit = BROADCAST_BYTES if limit is None else limit
+    limit = common_bytes() if limit is None else limit
     if isinstance(row_bytes, int):
         return df.count() * row_bytes <= limit
     return (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= limit

@@ -2,17 +2,23 @@
 
 Lines become 128-bit hashes of their keys. The hashes are range-partitioned and
 sorted by document and position, so that one streaming pass over each key's
-rows finds its first occurrence and counts its documents. A key is dealt over
-``salts`` ranges by document, so a line that stands in a third of all documents
-is never one task's work; the ranges' counts are then added up per key. What
-returns is not text but a bitmap per document: words of 64 lines, only those in
-which a line is dropped.
+rows finds its first occurrence and counts its documents. Hashes are spread
+evenly, so the ranges' bounds are known without sampling. A key is dealt over
+``salts`` parts of its range by document, so a line that stands in a third of
+all documents is never one task's work; the parts' counts are then added up per
+key. What returns is not text but a bitmap per document: words of 64 lines, only
+those in which a line is dropped.
+
+The repeated keys are broadcast while they fit. Beyond that the keys found in
+most documents still are, as many as fit, and the lines of all others are
+shuffled, none of which can be hot.
 
 Defined cases: a null or empty text is one empty line, which has no key and
 stays; rows of equal id and text are one document and get the same bitmap, rows
-of one id (or none) with other texts are documents of their own; ties in
-document id are ordered by the text's hash and position; extra columns pass
-through unchanged; an empty table gives an empty result.
+of one id (or none) with other texts are documents of their own, and so are a
+null id and any number; ties in document id are ordered by the text's hash and
+position, a null id counts as -1; extra columns pass through unchanged; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,25 +26,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import SPACE_CHARS, ascii_lower, cut, fresh, small, text_of
+from mnemospark.llm.common import SPACE_CHARS, ascii_lower, common_bytes, cut, fits, fresh, small, text_of
 
 
 def line_key(line: Column) -> Column:
     """Stripped of white space at both ends, A-Z in lower case."""
-    return ascii_lower(F.trim(line, F.lit(SPACE_CHARS)))
+    return ascii_lower(_stripped(line))
+
+
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE_CHARS))
 
 
 def _hashed(docs: DataFrame, text: str, key: list[str], min_chars: int) -> DataFrame:
     """One row per line with a key: document key, position and two hashes."""
     lines = docs.select(*key, F.posexplode_outer(F.split(text_of(docs, text), "\n")).alias("pos", "line"))  # outer: no filter that splits twice
-    lines = lines.select(*key, "pos", line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
+    # Stripped once and lower-cased once: a filter on the whole key would be moved down and compute it again.
+    lines = lines.select(*key, "pos", _stripped(F.col("line")).alias("t")).filter(F.length("t") >= min_chars)
+    lines = lines.select(*key, "pos", ascii_lower(F.col("t")).alias("k"))
     return lines.select(*key, "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), F.col("k")).alias("h2"))
 
 
-def repeated_keys(lines: DataFrame, key: list[str], min_docs: int, salts: int = 8) -> DataFrame:
+def repeated_keys(lines: DataFrame, key: list[str], min_docs: int, salts: int = 16) -> DataFrame:
     """h1, h2, n_docs and first (document and position) of keys in ``min_docs`` documents or more."""
-    ranged = lines.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")).repartitionByRange("h1", "h2", "salt")
-    run = Window.partitionBy("h1", "h2", "salt").orderBy(*key, "pos")
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
+    # The range of an even hash: its upper 31 bits times the number of ranges.
+    part = F.pmod(F.shiftright(F.shiftrightunsigned("h1", 33) * n, 31).cast("int") + F.col("salt") * max(1, n // salts), F.lit(n))
+    ranged = lines.withColumn("salt", salt).withColumn("part", part).repartitionById(n, "part")
+    run = Window.partitionBy("part", "h1", "h2", "salt").orderBy(*key, "pos")
     same = F.lit(True)
     for k in key:
         same = same & F.lag(k).over(run).eqNullSafe(F.col(k))
@@ -47,6 +63,21 @@ def repeated_keys(lines: DataFrame, key: list[str], min_docs: int, salts: int =
     return opens.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), first).filter(F.col("n_docs") >= min_docs)
 
 
+def _with_keys(lines: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The lines whose key is among the (checkpointed) ``found``, with its ``first``."""
+    if fits(found, 64):
+        return lines.join(F.broadcast(found), ["h1", "h2"])
+    # Of the keys in ``least`` documents or more there are no more than fit; each other key is in fewer documents.
+    least = (found.agg(F.sum("n_docs")).first()[0] * 64) // max(1, common_bytes()) + 1
+    hot = found.filter(F.col("n_docs") >= least).select("h1", "h2", F.col("first").alias("hot"))
+    cold = found.filter(F.col("n_docs") < least).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("first").alias("cold"))
+    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    dealt = F.when(F.col("hot").isNull(), F.col("h1")).otherwise(F.xxhash64(*key, "pos"))
+    marked = marked.withColumn("dealt", dealt)
+    joined = marked.join(cold, F.col("hot").isNull() & (F.col("dealt") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    return joined.withColumn("first", F.coalesce("hot", "cold")).filter("first is not null")
+
+
 def with_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bitmap: str = "dropped") -> DataFrame:
     """The documents with a column ``bitmap`` of the lines to drop (null: none).
 
@@ -55,16 +86,17 @@ def with_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     """
     key = [fresh("id", docs.columns), fresh("hash", docs.columns)]
     # A document's key is its id and its text's hash, so rows that repeat an id keep bitmaps of their own.
-    keyed = docs.withColumns({key[0]: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)), key[1]: F.xxhash64(F.col(f"`{text}`"))})
+    number = F.col(f"`{doc_id}`").cast("long")
+    keyed = docs.withColumns({key[0]: F.coalesce(number, F.lit(-1)), key[1]: F.xxhash64(F.col(f"`{text}`"), number.isNull())})
     lines = _hashed(keyed, text, key, min_chars)
     found = cut(repeated_keys(lines, key, min_docs))
-    dropped = lines.join(small(found, 96), ["h1", "h2"])
+    dropped = _with_keys(lines, found, key)
     if keep_first:
         at = F.struct(*key, "pos")
         dropped = dropped.filter(at != F.col("first"))
     words = dropped.groupBy(*key, (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
     bitmaps = cut(words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias(bitmap)))
-    return keyed.join(small(bitmaps, 120), key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(bitmap))
+    return keyed.join(small(bitmaps, 48 + 32 * F.size(bitmap)), key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(bitmap))
 
 
 def n_dropped(bitmap: Column) -> Column:
@@ -73,13 +105,19 @@ def n_dropped(bitmap: Column) -> Column:
 
 def kept_text(text: Column, bitmap: Column) -> Column:
     """The text without the dropped lines; whole if there are none."""
-    lookup = F.map_from_entries(bitmap)
 
-    def keep(line: Column, i: Column) -> Column:
-        mask = F.coalesce(F.element_at(lookup, (i / 64).cast("int")), F.lit(0).cast("long"))
-        return F.getbit(mask, (i % 64).cast("int")) == 0
+    def chunk(lines: Column, e: Column, i: Column) -> Column:
+        """The lines since the bitmap's word before, and those that this word leaves."""
+        done = F.when(i == 0, F.lit(0)).otherwise((F.get(bitmap, i - 1)["word"] + 1) * 64)
+        left = F.filter(F.slice(lines, e["word"] * 64 + 1, 64), lambda _, j: F.getbit(e["mask"], j) == 0)
+        return F.concat(F.slice(lines, done + 1, e["word"] * 64 - done), left)
+
+    def kept(lines: Column) -> Column:
+        tail = F.slice(lines, (F.element_at(bitmap, -1)["word"] + 1) * 64 + 1, F.size(lines))
+        return F.array_join(F.concat(F.flatten(F.transform(bitmap, lambda e, i: chunk(lines, e, i))), tail), "\n")
 
-    return F.when(bitmap.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), keep), "\n"))
+    # Through an array of one, so that the text is split once and not for every word of the bitmap.
+    return F.when(bitmap.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), kept), F.lit(0)))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import line_dedup, packing
+from mnemospark.llm import common, line_dedup, packing
 from tests.llm.brute import dedup_lines
 
 DOCS = "doc_id long, text string"
@@ -20,10 +20,14 @@ def docs():
     rng = random.Random(3)
     common = ["Common Line", " common line\t", "ÄÖ x", "äö x", "É", "", "  ", "\x0bmenu", "x" * 300]
     out = [(k, "\n".join(rng.choice([*common, f"own {k} {j}", f"shared {rng.randrange(12)}"]) for j in range(rng.randrange(1, 90)))) for k in range(60)]
+    out.append((99, "\n".join(rng.choice(["menu", f"own {j}", "Common Line"]) for j in range(5000))))
     return [*out, (100, None), (101, ""), (102, "\n\n"), (103, "Common line"), (104, "word " * 30_000)]
 
 
-def test_line_dedup_against_brute_force(spark, docs):
+@pytest.mark.parametrize("limit", [24 << 20, 300, 0])
+def test_line_dedup_against_brute_force(spark, docs, monkeypatch, limit):
+    """Also where only some or no keys may be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     marked = line_dedup.with_bitmaps(rows_of(spark, docs))
     got = {r.doc_id: (r.n, r.t) for r in marked.select("doc_id", line_dedup.n_dropped(F.col("dropped")).alias("n"), line_dedup.kept_text(F.coalesce("text", F.lit("")), F.col("dropped")).alias("t")).collect()}
     want = dedup_lines(docs)
@@ -44,6 +48,12 @@ def test_line_dedup_odd_tables(spark):
     assert out.columns == df.columns and sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", "a")] * 12 + [("None", str(k)) for k in range(9)] + [("5", "a")])
 
 
+def test_a_null_id_is_no_number(spark):
+    df = spark.createDataFrame([(None, "a"), (-1, "a"), (-2, "b")], DOCS)
+    got = line_dedup.dedup_lines(df, min_docs=2).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("-1", ""), ("-2", "b"), ("None", "")]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
