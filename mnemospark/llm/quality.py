@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule looks at one feature of a text. On a sample the rules' cost (seconds
-a text) and selectivity (share of texts rejected) are measured, and the rules
-run by rejection per cost, each only on texts that no rule before rejected. The
-order changes only how soon a bad text is given up, never the verdict.
+Every rule looks at one feature of a text. On a sample of all texts, chosen by a
+hash of their ids, tasks measure the rules' cost (seconds a text) and selectivity
+(share of texts rejected); only the sums reach the driver. The rules run by
+rejection per cost, each only on texts that no rule before rejected. The order
+changes only how soon a bad text is given up, never the verdict.
 
 The base measures are taken of every text; the rules that reuse them cost
 nothing more.
@@ -29,7 +30,7 @@ from mnemospark.llm.words import FACTORS, HASHES, claim, mix
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: Texts of which costs and selectivities are measured, at most.
+#: Texts of which costs and selectivities are measured, about.
 SAMPLE_ROWS = 1000
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, failed_rule string, n_rules_run int"
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -101,20 +102,41 @@ RULES: list[tuple[str, Callable[[Text], bool]]] = [
 ]
 
 
-def plan(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[dict]:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rule number, texts, rejected texts and seconds, of a task's part of the sample."""
+    claim("words")
+    texts, rejected, seconds = 0, [0] * len(RULES), [0.0] * len(RULES)
+    for batch in batches:
+        sample = [t for t in map(Text, batch.column(0).to_pylist()) if not t.base_failed]
+        texts += len(sample)
+        for k, (_, test) in enumerate(RULES):
+            began = time.perf_counter()
+            rejected[k] += sum(1 for t in sample if test(t))
+            seconds[k] += time.perf_counter() - began
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(RULES)), pa.int32()), pa.array([texts] * len(RULES), pa.int64()), pa.array(rejected, pa.int64()), pa.array(seconds)], ["rule", "texts", "rejected", "seconds"])
+
+
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> list[dict]:
     """The rules with their sampled cost, selectivity and rate, best first.
 
-    ``rows`` bounds the sample, which only the order of the rules depends on.
+    ``rows``: the size of the sample, which only the order of the rules depends
+    on. A small table is measured whole.
     """
-    texts = [r[0] for r in docs.select(text_of(docs, text)).limit(rows).collect()]
-    sample = [t for t in map(Text, texts) if not t.base_failed]
+    tune(docs.sparkSession)
+    share = rows / max(1, docs.count())
+    chosen = docs.filter(F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string")), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)))
+    measured = chosen.select(text_of(docs, text).alias("text")).mapInArrow(_measure, "rule int, texts long, rejected long, seconds double")
+    sums = {r["rule"]: r for r in measured.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("texts", "rejected", "seconds"))).collect()}
     found = []
-    for k, (name, test) in enumerate(RULES):
-        began = time.perf_counter()
-        rejected = sum(1 for t in sample if test(t))
-        cost = (time.perf_counter() - began) / max(1, len(sample)) + 1e-9
-        share = rejected / max(1, len(sample))
-        found.append({"rule": name, "listed": k, "cost": cost, "selectivity": share, "rate": share / cost})
+    for k, (name, _) in enumerate(RULES):
+        n, rejected, seconds = (sums[k][c] for c in ("texts", "rejected", "seconds")) if k in sums else (0, 0, 0.0)
+        found.append({"rule": name, "listed": k, "cost": seconds / max(1, n) + 1e-9, "selectivity": rejected / max(1, n)})
+    return ranked([r | {"rate": r["selectivity"] / r["cost"]} for r in found])
+
+
+def ranked(found: list[dict]) -> list[dict]:
+    """Rules by rate; those that reject nothing by cost; ties as listed."""
     return sorted(found, key=lambda r: (-r["rate"], r["cost"] if r["rate"] == 0 else 0, r["listed"]))
 
 
@@ -147,6 +169,6 @@ def _judge(order: list[int]):
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: list[dict] | None = None) -> DataFrame:
     """Measures and verdict of every document; ``order`` as made by ``plan``."""
     tune(docs.sparkSession)
-    ranked = [r["listed"] for r in (order if order is not None else plan(docs, text))]
+    chosen = [r["listed"] for r in (order if order is not None else plan(docs, doc_id, text))]
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    return source.mapInArrow(_judge(ranked), SCHEMA)
+    return source.mapInArrow(_judge(chosen), SCHEMA)

@@ -139,3 +139,14 @@ def test_plan_orders_by_rate(spark):
     ranked = quality.plan(df)
     assert len(ranked) == len(quality.RULES) and ranked[0]["selectivity"] > 0
     assert [r["rate"] for r in ranked] == sorted((r["rate"] for r in ranked), reverse=True)
+    some = quality.plan(df.union(df.selectExpr("doc_id + 100", "text")), rows=30)  # a part of the rows, from all over the table
+    assert 0.2 < [r for r in some if r["rule"] == "symbols"][0]["selectivity"] < 0.8
+    assert quality.ranked([{"rate": 2.0, "cost": 3.0, "listed": k} for k in (2, 0, 1)])[0]["listed"] == 0
+    assert [r["listed"] for r in quality.ranked([{"rate": 0.0, "cost": c, "listed": k} for k, c in enumerate([3.0, 1.0, 1.0])])] == [1, 2, 0]
+
+
+def test_quality_of_odd_rows(spark):
+    prose = " ".join(f"wort{k}" for k in range(60))
+    df = spark.createDataFrame([(None, prose, "a", 5), (None, None, "b", 6), (3, prose, None, None)], "doc_id long, text string, kept string, n_words int")
+    got = quality.judge(df).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in got) == [("3", 60, True), ("None", 0, False), ("None", 60, True)]
