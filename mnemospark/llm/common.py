@@ -77,6 +77,29 @@ def small(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> D
     return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], weight: str, row_bytes: int, spread: list[str]) -> DataFrame:
+    """Inner join with a (checkpointed) ``right`` that has each key once and, in ``weight``, how often ``left`` has it.
+
+    ``right`` is broadcast if it fits. If not, its heaviest keys still are, as
+    many as fit; ``left`` is shuffled for the others only, and its rows of heavy
+    keys are dealt by the columns ``spread``, so no key is one task's work.
+    """
+    if fits(right, row_bytes):
+        return left.join(F.broadcast(right), on)
+    # Of the keys of this weight or more there are no more than fit.
+    least = (right.agg(F.sum(weight)).first()[0] * row_bytes) // max(1, common_bytes()) + 1
+    names = {c: fresh(c, [*left.columns, *right.columns]) for c in [*on, "hot", "cold", "dealt"]}
+    values = F.struct(*(c for c in right.columns if c not in on))
+    hot = right.filter(F.col(weight) >= least).select(*on, values.alias(names["hot"]))
+    cold = right.filter(F.col(weight) < least).select(*(F.col(c).alias(names[c]) for c in on), values.alias(names["cold"]))
+    marked = left.join(F.broadcast(hot), on, "left").withColumn(names["dealt"], F.when(F.col(names["hot"]).isNull(), F.lit(0)).otherwise(F.xxhash64(*spread)))
+    same = [F.col(c) == F.col(names[c]) for c in on]
+    joined = marked.join(cold.withColumn(names["dealt"] + "_", F.lit(0).cast("long")), [*same, F.col(names["dealt"]) == F.col(names["dealt"] + "_")], "left")
+    value = F.coalesce(names["hot"], names["cold"])
+    joined = joined.filter(F.col(names["hot"]).isNotNull() | F.col(names["cold"]).isNotNull())
+    return joined.select(*left.columns, *(value[c].alias(c) for c in right.columns if c not in on))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.
 

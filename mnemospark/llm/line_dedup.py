@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import SPACE_CHARS, ascii_lower, common_bytes, cut, fits, fresh, small, text_of
+from mnemospark.llm.common import SPACE_CHARS, ascii_lower, cut, fresh, join_counted, small, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -63,21 +63,6 @@ def repeated_keys(lines: DataFrame, key: list[str], min_docs: int, salts: int =
     return opens.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), first).filter(F.col("n_docs") >= min_docs)
 
 
-def _with_keys(lines: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """The lines whose key is among the (checkpointed) ``found``, with its ``first``."""
-    if fits(found, 64):
-        return lines.join(F.broadcast(found), ["h1", "h2"])
-    # Of the keys in ``least`` documents or more there are no more than fit; each other key is in fewer documents.
-    least = (found.agg(F.sum("n_docs")).first()[0] * 64) // max(1, common_bytes()) + 1
-    hot = found.filter(F.col("n_docs") >= least).select("h1", "h2", F.col("first").alias("hot"))
-    cold = found.filter(F.col("n_docs") < least).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("first").alias("cold"))
-    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
-    dealt = F.when(F.col("hot").isNull(), F.col("h1")).otherwise(F.xxhash64(*key, "pos"))
-    marked = marked.withColumn("dealt", dealt)
-    joined = marked.join(cold, F.col("hot").isNull() & (F.col("dealt") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    return joined.withColumn("first", F.coalesce("hot", "cold")).filter("first is not null")
-
-
 def with_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bitmap: str = "dropped") -> DataFrame:
     """The documents with a column ``bitmap`` of the lines to drop (null: none).
 
@@ -90,7 +75,7 @@ def with_bitmaps(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     keyed = docs.withColumns({key[0]: F.coalesce(number, F.lit(-1)), key[1]: F.xxhash64(F.col(f"`{text}`"), number.isNull())})
     lines = _hashed(keyed, text, key, min_chars)
     found = cut(repeated_keys(lines, key, min_docs))
-    dropped = _with_keys(lines, found, key)
+    dropped = join_counted(lines, found, ["h1", "h2"], "n_docs", 64, [*key, "pos"])
     if keep_first:
         at = F.struct(*key, "pos")
         dropped = dropped.filter(at != F.col("first"))

@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from mnemospark.llm import chat, html, quality
+from pyspark.sql import functions as F
+
+from mnemospark.llm import chat, common, html, quality
 from tests.llm.brute import words
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -24,6 +26,130 @@ def test_odd_pages(page, want):
     assert html.Page(page).main_text() == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>hi</p><p title=it's>a</p><p>b</p>", "hi\na\nb"),
+        ("<p>hi</p><p title=it's>a</p><p>b's c</p><p>d</p>", "hi\na\nb's c\nd"),
+        ("<p a='1' b=\"x>y\" c=/z/ d>t</p><p a=\"x>u", "t"),
+        ("<article><p>Story.</p></article><article class=\"comment\"><p>First!</p></article>", "Story."),
+        ("<article class='post has-comments comments-open'><p>Story.</p></article>", "Story."),
+        ("<article><p class=\"related work\">a</p><h2 id=notice>b</h2><div class='social-history'>c</div><div class='social-links'>x</div><section class='related'>y</section></article>", "a\nb\nc"),
+        ("<div class='cookieNotice'>x</div><p class=notice>y</p><p>z</p>", "z"),
+    ],
+)
+def test_attributes_and_classes(page, want):
+    assert html.Page(page).main_text() == want
+
+
+def test_long_and_deep_pages():
+    deep = html.Page("<div>" * 20_000 + "<p>in</p></b></i>" + "</div>" * 10_000 + "</section>" * 10_000)
+    assert deep.main_text() == "in" and len(deep.hashes) == 20_001
+    assert html.Page("<article>" + "<p>word &amp; more</p>" * 50_000 + "</article>").main_text() == "\n".join(["word & more"] * 50_000)
+    assert html.Page("<p " + "a='" * 20_000).main_text() == "" and html.Page("<p " + "x= " * 20_000 + ">t").main_text() == "t"
+
+
+def test_subtree_counts_against_plain_parsing(spark):
+    """Subtrees, their pages and what is template, by a parser of its own, on the test tables."""
+    from html.parser import HTMLParser
+
+    class Trees(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.open, self.found = [], set()
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html.VOID and tag not in html.RAW:
+                self.open.append((tag, [self.get_starttag_text()]))
+
+        def handle_endtag(self, tag):
+            if self.open and self.open[-1][0] == tag:
+                tag, parts = self.open.pop()
+                text = "".join(parts)
+                self.found.add((tag, text))
+                if self.open:
+                    self.open[-1][1].append(text + f"</{tag}>")
+
+        def handle_data(self, data):
+            if self.open:
+                self.open[-1][1].append(data)
+
+        def handle_entityref(self, name):
+            self.handle_data(f"&{name};")
+
+        def handle_charref(self, name):
+            self.handle_data(f"&#{name};")
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, re.search(r"//([^/?#]*)", r.url)[1].lower(), r.html) for r in pages.collect()]
+    counts, own = Counter(), {}
+    for k, host, page in rows:
+        t = Trees()
+        t.feed(re.sub(r"(?s)<article.*</article>", "<article></article>", page))
+        own[k] = {(host, x) for x in t.found if x[0] in html.HASHED and "<article" not in x[1]}
+        counts.update(own[k])
+    sizes = Counter(h for _, h, _ in rows)
+    template = {x for x, n in counts.items() if n >= 2 and n >= 0.01 * sizes[x[0]]}
+    got = html.extract(pages, min_pages=2).collect()
+    assert {r.page_id: r.n_template > 0 for r in got} == {k: bool(own[k] & template) for k in own}
+    listed = html.subtrees(pages.selectExpr("page_id", "xxhash64(html) key", "html", "url").withColumn("host", html.host_of(F.col("url"))))
+    assert {r.page_id: len(r.hashes) for r in listed.collect()} == {k: len(v) for k, v in own.items()}
+    assert html.templates(listed, 2).count() == len(template) > 0
+
+
+def test_query_against_plain_parsing(spark):
+    """Whole pages of a test table: the article's blocks by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    from mnemospark.llm.queries import QUERIES
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        a = Article()
+        a.feed(r.html)
+        a.close()
+        want[r.page_id] = "\n".join(x for b in a.blocks if (x := " ".join(b.split())))
+    got = {r.page_id: r for r in QUERIES["op8_extract"](spark, sf).collect()}
+    assert {k: r.text for k, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+
+@pytest.mark.parametrize("limit", [24 << 20, 200, 0])
+def test_templates_beyond_the_broadcast_limit(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    pages = [(k, "http://h.org/", f"<div>Box</div><p>Own words {k}</p><ul><li>Menu {k % 2}</ul>") for k in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"key": F.lit("x"), "host": F.lit(1), "hash": F.lit(2)})
+    got = html.extract(df.union(df)).collect()
+    assert len(got) == 60 and all(r.text == f"Own words {r.page_id}" and r.n_template == 2 for r in got)
+
+
+def test_rare_passages_of_a_large_host_stay(spark):
+    pages = [(k, "http://h.org/", f"<div>Box</div><p>Own words {k}</p>" + ("<p>Shared passage</p>" if k < 6 else "")) for k in range(900)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Own words 0\nShared passage" and got[899] == "Own words 899"
+
+
 def test_templates_go(spark):
     body = "<div class='x'>Same box on every page</div><p>Own words {0}</p><div>Imprint and contact</div>"
     pages = [(k, f"http://h{k % 2}.org/{k}", body.format(k)) for k in range(14)] + [(50, "http://other.org/", body.format(50)), (51, None, None), (52, "http://h0.org/copy", body.format(0))]
