@@ -9,11 +9,13 @@
    class that shares most with others (of large buckets, each part has a pivot
    and the parts' pivots have one). Sketches drop hopeless pairs, the rest is
    confirmed on the full sets. Linked classes become components.
-4. Buckets that still hold several components choose other pivots while that
-   pays; then all their pairs across components are compared inside the join,
-   by sketch and then by set, each in its first shared band only.
-   So no link that shares a bucket is missed, and no group's pairs are all
-   written out: within a component no further pair needs looking at.
+4. Buckets that still hold several components choose other pivots as long as
+   many pairs remain and each turn leaves fewer; then the remaining pairs across
+   components are compared inside the join, by sketch and then by set, each in
+   its first shared band only. A bucket is cut into blocks of ``PART`` rows and
+   each pair of blocks is a key of its own, so a large bucket is many tasks'
+   work. So no link that shares a bucket is missed, and no group's pairs are
+   all written out: within a component no further pair needs looking at.
 
 At a similarity of 0.75 a pair shares no band with a probability below 1e-5.
 
@@ -44,11 +46,12 @@ SKETCH_BITS = 1024
 #: Most bits in which two sketches may differ. At 0.75 a quarter of the samples differs, which flips
 #: 113 bits with a deviation of 12; 168 is four and a half deviations above that.
 MOST_FLIPS = 168
-#: Rows of a bucket that share one pivot.
+#: Rows of a bucket that share one pivot, and that make one block of the residual comparison.
 PART = 4096
 #: The residual comparison starts when it has at most so many pairs for each row of the buckets.
 PAIRS_PER_ROW = 2048
-MOST_PIVOTS = 4
+#: Another turn of pivots is taken while a turn leaves at most this share of the pairs.
+PAYS = 0.8
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 SIGNATURES = "doc_id long, key long, n int, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
 
@@ -183,7 +186,8 @@ def _find(docs: DataFrame, doc_id: str, text: str, width: int = 5, percent: int
     # What the pivots and the residual comparison need, once per row of a bucket.
     members = cut(members.join(sketches.join(degree, "rep"), "rep").withColumn("component", F.col("rep")))
     links, active = None, members
-    for turn in range(MOST_PIVOTS):
+    turn, before = 0, None
+    while True:
         new = _confirmed(cut(_with_pivots(active, turn)), source, width, percent)
         links = new if links is None else links.union(new)
         found = components(links)
@@ -191,18 +195,24 @@ def _find(docs: DataFrame, doc_id: str, text: str, width: int = 5, percent: int
         parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count(F.lit(1)).alias("parts"))
         split = cut(parts.filter("parts > 1"))
         left = split.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("rows")).first()
-        active = named.join(split.select("bucket"), "bucket", "left_semi")
-        if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
+        active = named.drop("size").join(split.select("bucket", F.col("all").alias("size")), "bucket")
+        if left["pairs"] <= PAIRS_PER_ROW * left["rows"] or (before is not None and left["pairs"] > PAYS * before):
             break
+        turn, before = turn + 1, left["pairs"]
     if left["pairs"]:
         bands = classes.filter("rep is not null").select("rep", "bands")
-        active = cut(active.join(bands, "rep").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")).select("bucket", "rep", "component", *SKETCH, "bands", "band"))
+        active = cut(active.join(bands, "rep").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")).select("bucket", "rep", "component", "size", *SKETCH, "bands", "band"))
         sets = cut(_texts_of(active.select(F.col("rep").alias("doc_id")), source).mapInArrow(_short_sets(width), "rep long, set array<int>, n int"))
-        active = active.join(sets, "rep")
+        # A row meets the rows of every block of its bucket, in the pair of both blocks' numbers.
+        blocks = F.ceil(F.col("size") / PART).cast("int")
+        active = active.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(-2)), blocks).cast("int"))
+        active = active.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        active = active.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "size")
         x, y = active.alias("x"), active.alias("y")
         # Two classes that met in an earlier band are compared there.
         earlier = F.exists(F.zip_with(F.slice("x.bands", 1, F.col("x.band") - 1), F.slice("y.bands", 1, F.col("x.band") - 1), lambda s, t: s == t), lambda same: same)
-        met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (_flips("x.", "y.") <= MOST_FLIPS) & ~earlier
+        same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+        met = same & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block"))) & (F.col("x.component") < F.col("y.component")) & (_flips("x.", "y.") <= MOST_FLIPS) & ~earlier
         # 100 i >= p (n + m - i), put so that the intersection is taken once; what fell together in x counts as shared.
         shared = F.size(F.array_intersect("x.set", "y.set")) + F.col("x.n") - F.size("x.set")
         alike = shared * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))

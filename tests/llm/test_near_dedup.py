@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mnemospark.llm import near_dedup
+from mnemospark.llm import common, near_dedup
 from mnemospark.llm.components import components
 from tests.llm.brute import near_components
 
@@ -37,6 +37,16 @@ def test_against_all_pairs(spark, group, monkeypatch):
     check(spark, group)
 
 
+def test_blocks_of_a_large_bucket(spark, group, monkeypatch):
+    """The residual comparison by pairs of blocks, and nothing broadcast by its size."""
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", 10**9)
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(8)
+    shared = [f"u{rng.randrange(900)}" for _ in range(60)]  # a passage that many texts share, without links
+    check(spark, group + [(5000 + k, " ".join(shared + [f"q{rng.randrange(10**6)}" for _ in range(35)])) for k in range(60)])
+
+
 def test_several_pivots_and_parts(spark, group, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", 0)
     monkeypatch.setattr(near_dedup, "PART", 16)
