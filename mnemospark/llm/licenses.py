@@ -3,8 +3,8 @@
 A text is brought to a canonical form (case, punctuation, white space, lines
 that only state a copyright, spellings that mean the same) and its digest is
 looked up among the digests of known licenses by a hash join. This is done for
-entire texts and, for notices, for each entire line. The known side is a fixed
-list of a few rows, which bounds the broadcast.
+entire texts and, for notices, for each entire line that may match. The known
+side is a fixed list of a few rows, which bounds the broadcast.
 
 Defined cases: a null or empty text has the digest of the empty string and no
 license; a document without a license is still one row; repeated rows give
@@ -44,7 +44,15 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN: list[tuple[str, str]] = [
+    ("Unlicense", UNLICENSE),
     ("MIT", MIT),
     ("MIT", "MIT License\n" + MIT),
     ("MIT", "The MIT License (MIT)\n" + MIT),
@@ -70,6 +78,31 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
+#: Canonical digests of entire public license texts too long to state here; of some also without their appendix.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "a4f874aaeee4dfe824fb3cc3dcca2009"),
+    ("Apache-2.0", "5d2795cb35f13d3f170c4a82e7d9f97f"),
+    ("Artistic-1.0-Perl", "a8b0fb0c6e43a3b36bdc159e59dbfd1e"),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2", "c969fdb4b731dadf7173c1ffbe49a117"),
+    ("GFDL-1.3", "eb6b86c0fad89753a5a36c484fa0ada2"),
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"),
+    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),
+    ("GPL-3.0", "5eaa767cc0a56c87c3852144458a3bf1"),
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "252dfbcf46f9012c7c356a9252f1c30c"),
+    ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec"),
+    ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"),
+]
+#: Letters of which each known text has some in a row; a line without them needs no digest.
+NEEDED = ("licen", "software", "redistribution")
 #: Spellings that mean the same, as whole words after case and punctuation are gone.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
@@ -86,7 +119,7 @@ SPELLINGS: list[tuple[str, str]] = [
     ("v3", "version 3"),
 ]
 #: A line that only states a copyright: the word or sign comes first.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(copyright (©|\(c\)|[0-9])|©|\(c\) |all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(copyright (©|\(c\)|[0-9])|©|\(c\) ?[0-9]|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -99,10 +132,19 @@ def canonical(text: Column) -> Column:
     return F.trim(c)
 
 
+def _may_match(text: Column) -> Column:
+    """Whether a text has the letters that every known text has; cheap, and true more often than need be."""
+    low = F.lower(text)
+    may = F.lit(False)
+    for letters in NEEDED:
+        may = may | F.contains(low, F.lit(letters))
+    return may
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """digest and license of the fixed list; a few rows."""
-    known = spark.createDataFrame(KNOWN, "license string, known string")
-    return known.select("license", F.md5(canonical(F.col("known"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    known = spark.createDataFrame(KNOWN, "license string, known string").select("license", F.md5(canonical(F.col("known"))).alias("digest"))
+    return known.union(spark.createDataFrame(DIGESTS, "license string, digest string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,12 +157,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     whole = text_of(docs, text)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
     whole_digests = keyed.select("doc_id", "key", F.md5(canonical(F.col("text"))).alias("digest"))
-    lines = keyed.select("key", F.explode_outer(F.split("text", "\n")).alias("line"), "doc_id").filter(F.length("line") > 0)
+    lines = keyed.filter(_may_match(F.col("text"))).select("key", F.explode_outer(F.split("text", "\n")).alias("line"), "doc_id").filter(_may_match(F.col("line")))
     hits = lines.select("doc_id", "key", F.md5(canonical(F.col("line"))).alias("digest")).join(known, "digest")
     by_doc = hits.groupBy("doc_id", "key").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"), F.count(F.lit(1)).alias("lines"))
     # Repeated rows were counted together; each gets its own share.
     copies = whole_digests.groupBy("doc_id", "key", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    found = copies.join(known, "digest", "left").withColumnRenamed("license", "license")
+    found = copies.join(known, "digest", "left")
     on = found["doc_id"].eqNullSafe(by_doc["doc_id"]) & (found["key"] == by_doc["key"])
     joined = found.join(by_doc, on, "left").select(
         found["doc_id"],

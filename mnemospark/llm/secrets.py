@@ -100,7 +100,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     found = cut(candidates(keyed))
     spans = found.filter("strong").select("id", "key", "kind", "start", "end").unionByName(linked(found, scope))
     by_doc = cut(spans.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found")))
-    by_doc = small(by_doc, 200).withColumnsRenamed({"id": "own_id", "key": "own_key"})
+    by_doc = small(by_doc, 48 + 40 * F.size("found")).withColumnsRenamed({"id": "own_id", "key": "own_key"})
     rows = keyed.select("id", "key")
     joined = rows.join(by_doc, (rows["key"] == by_doc["own_key"]) & rows["id"].eqNullSafe(by_doc["own_id"]), "left")
     return joined.select(F.col("id").alias("doc_id"), F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("found"))

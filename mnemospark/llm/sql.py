@@ -52,7 +52,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 def licenses() -> str:
     """Digests of whole texts and of lines, among those of the fixed list."""
-    from mnemospark.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_WORD, SPELLINGS
+    from mnemospark.llm.licenses import COPYRIGHT_LINE, DIGESTS, KNOWN, NOT_WORD, SPELLINGS
 
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
@@ -64,8 +64,9 @@ def licenses() -> str:
         return f"md5(trim({c}))"
 
     known = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in KNOWN)
+    digests = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in DIGESTS)
     return f"""
-WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {canonical('known')} AS digest FROM (VALUES {known}) v(license, known)) GROUP BY 1),
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, {canonical('known')} AS digest FROM (VALUES {known}) v(license, known) UNION ALL VALUES {digests}) GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 h AS (SELECT doc_id, license FROM (SELECT doc_id, {canonical('line')} AS digest FROM l WHERE line <> '') JOIN k USING (digest)),

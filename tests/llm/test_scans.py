@@ -54,6 +54,25 @@ def test_secrets_base_and_links(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def linked_spans(text, scope=200):
+    """All spans by the patterns one after the other, and every weak one beside every other part."""
+    found = []
+    for kind, (_, pattern, group, least, role, strong, _) in enumerate(secrets.KINDS):
+        found += [(m.start(), kind, m.end(), role, strong) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    near = lambda a, b: 0 <= max(b[0] - a[2], a[0] - b[2]) <= scope
+    kept = [a for a in found if a[4] or any(b[3] in secrets.COMPLEMENT[a[3]] and near(a, b) for b in found)]
+    return ",".join(f"{secrets.KINDS[k][0]}:{s}:{e}" for s, k, e, _, _ in sorted(kept))
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(2)
+    parts = ["login=bob", "user_id: x", KEY, "https://a.example/x", "redis://h", "token=abcdefgh", "AKIA" + "B" * 16, "0a" * 12, "secret='" + "z" * 300 + "'", "é😀", "word", "-" * 150, "\n" * 90, "s3://" + "k" * 260]
+    docs = [(k, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for k in range(300)]
+    got = {r.doc_id: r.a for r in secrets.scan(rows_of(spark, docs)).select("doc_id", secrets.as_text(F.col("found")).alias("a")).collect()}
+    assert got == {d: linked_spans(t) for d, t in docs}
+    assert sum("login" in a for a in got.values()) > 50 and sum("login" not in a and "login" in t for (d, t), a in zip(docs, map(got.get, range(300)), strict=True)) > 10
+
+
 def test_long_parts_before_weak_candidates_link(spark):
     """A complement of any length that ends within the scope links, at every alignment to the bins."""
     long = "token=" + "x" * 1000
@@ -84,6 +103,24 @@ def test_licenses(spark):
     assert licenses.scan(rows_of(spark, [])).count() == 0
 
 
+def test_long_license_texts_and_odd_rows(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if os.path.isdir(folder):
+        files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+        texts = {f: open(f"{folder}/{f}").read() for f in files if os.path.exists(f"{folder}/{f}")}
+        docs = [(k, re.sub(r"\bLICENSE\b", "LICENCE", t.upper().replace(",", " , ").replace("\n", "\t\n  "))) for k, t in enumerate(texts.values())]
+        assert {r.doc_id: r.license for r in licenses.scan(rows_of(spark, docs)).collect()} == {k: files[f] for k, f in enumerate(texts)}
+    df = rows_of(spark, [(None, licenses.UNLICENSE), (1, "Licensed under CC BY 4.0.\n" + "word " * 100_000), (1, None)]).withColumns({"digest": F.lit(1), "license": F.lit(2), "key": F.lit(3)})
+    got = sorted((str(r.doc_id), str(r.license), r.notices) for r in licenses.scan(df).collect())
+    assert got == [("1", "None", ""), ("1", "None", "CC-BY-4.0"), ("None", "Unlicense", "")]
+
+
+def test_every_known_text_has_needed_letters():
+    assert all(any(x in t.lower() for x in licenses.NEEDED) for _, t in licenses.KNOWN)
+
+
 # Decontamination
 
 
