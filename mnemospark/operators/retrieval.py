@@ -13,108 +13,199 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scoring, text, time
 from mnemospark.operators.ranking import top_per
 
-#: Vectors in one block of a blocked search.
+#: Vectors in one block of a blocked search, and groups of blocks that a block of queries is dealt over.
 BLOCK = 2048
+GROUPS = 64
+#: Bytes of query vectors that go to every worker; more are searched block against block.
+QUERY_BYTES = 24 << 20
+#: Keyword queries and time windows that go to every worker at once; more take further passes.
+QUERIES_AT_ONCE = 4096
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, n: int, prefix: str) -> DataFrame:
-    """Rows dealt into blocks by hash, each one row of ids and vectors."""
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    rows = df.select(block.alias("block"), F.struct(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("row"))
-    return rows.groupBy("block").agg(F.collect_list("row").alias(f"{prefix}_rows")).withColumnRenamed("block", f"{prefix}_block")
+def _unit(ids: list, vectors: list, metric: str) -> tuple[list[str], np.ndarray]:
+    kept = [(i, v) for i, v in zip(ids, vectors, strict=True) if v is not None]
+    m = np.array([v for _, v in kept], float).reshape(len(kept), -1)
+    if metric == "cosine":
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    return [i for i, _ in kept], m
 
 
-def _unit(rows: list[dict]) -> tuple[list[str], np.ndarray]:
-    rows = [r for r in rows if r["v"] is not None]
-    m = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
-    n = np.sqrt((m * m).sum(1, keepdims=True))
-    return [r["id"] for r in rows], np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def _places(ids: list[str]) -> np.ndarray:
+    """What ids are ordered by where scores are equal: their numbers, or their places as strings."""
+    try:
+        return np.array(ids, np.int64)
+    except ValueError:
+        return np.argsort(np.argsort(np.array(ids)))
 
 
-def _search(k: int | None, threshold: float):
+def _best(s: np.ndarray, places: np.ndarray, k: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each row of scores the columns of the ``k`` greatest; of equal ones (to nine digits) those first in order."""
+    for i, row in enumerate(s):
+        bound = max(least, np.partition(row, -k)[-k] - 2e-9 if k < len(row) else least)
+        at = np.flatnonzero(row >= bound)
+        yield i, at[np.lexsort((places[at], -np.round(row[at], 9)))[:k]]
+
+
+def _rows(found: list[tuple[list[str], list[str], np.ndarray]]) -> pa.RecordBatch:
+    q, i, s = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([x for y in q for x in y], pa.string()), pa.array([x for y in i for x in y], pa.string()), pa.array(np.concatenate(s), pa.float64())], ["query_id", "item_id", "score"])
+
+
+def _match(ids: list[str], x: np.ndarray, qids: list[str], q: np.ndarray, k: int, least: float) -> list[tuple[list[str], list[str], np.ndarray]]:
+    if not len(ids) or not len(qids):
+        return []
+    s, places = q @ x.T, _places(ids)
+    return [([qids[i]] * len(at), [ids[j] for j in at], s[i, at]) for i, at in _best(s, places, k, least)]
+
+
+def _by_batch(shared, k: int, least: float, metric: str):
+    """Batches of items against all queries of their bank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        for batch in batches:
+            rows: dict[str, tuple[list, list]] = {}
+            for b, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b in queries:
+                    ids, vectors = rows.setdefault(b, ([], []))
+                    ids.append(i)
+                    vectors.append(v)
+            found = [f for b, (ids, vectors) in rows.items() for f in _match(*_unit(ids, vectors, metric), *queries[b], k, least)]
+            if found:
+                yield _rows(found)
+
+    return run
+
+
+def _by_block(k: int, least: float, metric: str):
+    """Blocks of items against blocks of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for items, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (ids, x), (qids, q) = _unit(items), _unit(queries)
-                if not len(ids) or not len(qids):
-                    continue
-                s = q @ x.T
-                at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k and k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(qids), 1))
-                rows, cols = np.repeat(np.arange(len(qids)), at.shape[1]), at.ravel()
-                keep = s[rows, cols] >= threshold
-                rows, cols = rows[keep], cols[keep]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in rows], pa.string()), pa.array([ids[j] for j in cols], pa.string()), pa.array(s[rows, cols], pa.float64())], ["query_id", "item_id", "score"])
+                sides = (_unit([r["id"] for r in rows], [r["v"] for r in rows], metric) for rows in (items, queries))
+                (ids, x), (qids, q) = sides
+                if found := _match(ids, x, qids, q, k, least):
+                    yield _rows(found)
 
     return run
 
 
-def vector_search(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0, query_key: str | None = None, exclude_same: bool = True, block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest items of every query by cosine, exact, block against block.
+def vector_search(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0, query_key: str | None = None, exclude_same: bool = True, block: int = BLOCK, bank: str | None = None, metric: str = "cosine") -> DataFrame:
+    """The ``k`` nearest items of every query, exact; with ``bank``, a column of both sides, among the items of its bank.
 
-    Items and queries are dealt into blocks; every pair of blocks is one matrix
-    product, from which only ``k`` rows a query go on. Columns: query_id,
-    item_id (strings), score, rank. Ties go to the smaller id.
+    While the queries' vectors fit in ``QUERY_BYTES`` they go to every worker and
+    items are read where they lie, a batch at a time. Beyond that both sides are
+    dealt into blocks within their bank, and every pair of blocks is one matrix
+    product; a bank's blocks stand in many groups, so no bank is one task's work.
+    Only ``k`` rows a query leave a product. Columns: query_id, item_id
+    (strings), score, rank. Ties go to the smaller id. ``metric``: cosine or dot.
     """
-    query_key = query_key or key
-    n_items, n_queries = max(1, -(-items.count() // block)), max(1, -(-queries.count() // block))
-    i = _blocks(items, key, vector, n_items, "item").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    q = _blocks(queries, query_key, vector, n_queries, "query")
-    # One more than k: a query's own row is dropped afterwards, and rounding may swap the last two.
-    found = i.join(q, "query_block").select("item_rows", "query_rows").mapInArrow(_search(k + 1 + int(exclude_same), threshold - 1e-9), "query_id string, item_id string, score double")
+    most = k + 1 + int(exclude_same)  # a query's own row is dropped afterwards, and rounding may swap the last two
+    schema = "query_id string, item_id string, score double"
+
+    def shaped(df: DataFrame, id_: str) -> DataFrame:
+        of = F.lit("") if bank is None else F.col(bank).cast("string")
+        return df.select(of.alias("bank"), F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    i, q = shaped(items, key), shaped(queries, query_key or key)
+    if (q.agg(F.sum(8 * F.size("v") + 40)).first()[0] or 0) <= QUERY_BYTES:
+        by_bank: dict[str, list] = {}
+        for r in q.collect():
+            by_bank.setdefault(r["bank"], []).append(r)
+        shared = items.sparkSession.sparkContext.broadcast({b: _unit([r["id"] for r in rows], [r["v"] for r in rows], metric) for b, rows in by_bank.items()})
+        found = i.mapInArrow(_by_batch(shared, most, threshold - 1e-9, metric), schema)
+    else:
+        blocks = lambda df, name: df.groupBy("bank").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+        sizes = blocks(i, "n_items").join(blocks(q, "n_queries"), "bank")
+
+        def dealt(df: DataFrame, n: str, name: str) -> DataFrame:
+            rows = df.join(sizes, "bank").withColumn(name, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+            return rows.groupBy("bank", "n_items", "n_queries", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+
+        a = dealt(i, "n_items", "item").withColumn("query", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1))).withColumn("group", F.col("item") % GROUPS)
+        b = dealt(q, "n_queries", "query").withColumn("group", F.explode(F.sequence(F.lit(0), F.least(F.col("n_items"), F.lit(GROUPS)) - 1)))
+        found = a.select("bank", "query", "group", "item_rows").join(b.select("bank", "query", "group", "query_rows"), ["bank", "query", "group"])
+        found = found.select("item_rows", "query_rows").mapInArrow(_by_block(most, threshold - 1e-9, metric), schema)
     found = found.filter(F.col("score") >= threshold)
     if exclude_same:
         found = found.filter(F.col("query_id") != F.col("item_id"))
-    return top_per(found, ["query_id"], [F.round("score", 9).desc(), F.col("item_id").cast("long")], k)
+    return top_per(found, ["query_id"], [F.round("score", 9).desc(), F.expr("try_cast(item_id AS bigint)"), F.col("item_id")], k)
 
 
-def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", most_queries: int = 50_000) -> DataFrame:
+def _passes(queries: DataFrame, key: str, at_once: int) -> list[DataFrame]:
+    """The queries in parts of about ``at_once``, dealt by hash."""
+    n = max(1, -(-queries.count() // at_once))
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == p) for p in range(n)]
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", bank: str | None = None, at_once: int | None = None) -> DataFrame:
     """The ``k`` documents of every query with most hits: 0.1 for each token that the query names.
 
-    Queries are a set of bounded size that goes to every worker (``most_queries``
-    is checked); each batch of documents yields at most ``k`` rows a query.
-    Columns: query_id, doc_id, score, rank. No token: no result.
+    Frequent tokens would make a join of tokens write a row for nearly every
+    document and query, so queries go to the workers as an index from token to
+    queries, ``at_once`` of them a pass, and each batch of documents yields at
+    most ``k`` rows a query. With ``bank``, a column of both sides, a query meets
+    the documents of its bank. Columns: query_id, doc_id, score, rank. No token:
+    no result.
     """
-    rows = queries.select(query_id, query_text).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; split them")
-    sets = [(r[0], sorted(set(_TOKEN.findall((r[1] or "").lower())))) for r in rows]
-    vocabulary = {t: i for i, t in enumerate(sorted({t for _, s in sets for t in s}))}
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, sets))
+    of = "''" if bank is None else f"cast(`{bank}` AS string)"
+    wanted = queries.selectExpr(f"{of} AS bank", f"cast(`{query_id}` AS bigint) AS id", f"`{query_text}` AS text")
+    source = docs.selectExpr(f"{of} AS bank", f"cast(`{doc_id}` AS bigint) AS id", f"`{doc_text}` AS text")
+    found = None
+    for part in _passes(wanted, "id", at_once or QUERIES_AT_ONCE):
+        index: dict[str, tuple[list[int], dict[str, list[int]]]] = {}
+        for r in part.collect():
+            ids, tokens = index.setdefault(r["bank"], ([], {}))
+            for t in set(_TOKEN.findall((r["text"] or "").lower())):
+                tokens.setdefault(t, []).append(len(ids))
+            ids.append(r["id"])
+        index = {b: (ids, {t: np.array(x, np.int32) for t, x in tokens.items()}) for b, (ids, tokens) in index.items()}
+        hits = source.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(index), k), "query_id long, doc_id long, hits long")
+        found = hits if found is None else found.unionByName(hits)
+    return top_per(found, ["query_id"], [F.col("hits").desc(), F.col("doc_id")], k).select("query_id", "doc_id", (F.col("hits") / 10).alias("score"), "rank")
 
+
+def _hits(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, wanted = shared.value
-        q = np.zeros((len(index), len(wanted)), np.float32)
-        for j, (_, s) in enumerate(wanted):
-            q[[index[t] for t in s], j] = 1
+        index = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x = np.zeros((len(ids), len(index)), np.float32)
-            for i, t in enumerate(texts):
-                hit = [n for w in _TOKEN.findall((t or "").lower()) if (n := index.get(w)) is not None]
-                if hit:
-                    x[i] = np.bincount(hit, minlength=len(index))
-            s = x @ q
-            order = np.lexsort((np.array(ids)[:, None] + np.zeros_like(s, np.int64), -s), axis=0)[:k]
-            out = [(wanted[j][0], ids[i], int(s[i, j])) for j in range(len(wanted)) for i in order[:, j] if s[i, j] > 0]
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["query_id", "doc_id", "hits"])
-
-    found = docs.select(F.col(doc_id).cast("long"), doc_text).mapInArrow(run, "query_id long, doc_id long, hits long")
-    return top_per(found, ["query_id"], [F.col("hits").desc(), F.col("doc_id")], k).select("query_id", "doc_id", (F.col("hits") / 10).alias("score"), "rank")
+            rows: dict[str, list[tuple[int, np.ndarray]]] = {}
+            for b, i, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b not in index:
+                    continue
+                ids, tokens = index[b]
+                met = [x for w in _TOKEN.findall((text_ or "").lower()) if (x := tokens.get(w)) is not None]
+                if met:
+                    rows.setdefault(b, []).append((i, np.bincount(np.concatenate(met), minlength=len(ids)).astype(np.int32)))
+            for b, found in rows.items():
+                docs_, s = np.array([i for i, _ in found], np.int64), np.stack([n for _, n in found])
+                order = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -s), axis=0)[:k]
+                best = np.take_along_axis(s, order, 0)
+                at, query = np.nonzero(best)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(index[b][0], np.int64)[query]), pa.array(docs_[order[at, query]]), pa.array(best[at, query].astype(np.int64))], ["query_id", "doc_id", "hits"])
+
+    return run
 
 
-def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str, most_queries: int = 10_000) -> DataFrame:
+def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str, bank: str | None = None, at_once: int | None = None) -> DataFrame:
     """The ``k`` latest units that meet each query's window (query_id, low, high), with their proximity.
 
-    Windows are a set of bounded size (``most_queries`` is checked) that goes to
-    every task; a unit's ranges have no bound that a join could deal them by.
+    A unit's ranges have no bound that a join could deal them by, so windows go
+    to every task, ``at_once`` of them a pass. With ``bank``, a column of both
+    sides, a query meets the units of its bank.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; split them")
     best = F.coalesce(F.col(start), F.col(mentioned), F.col(end))
-    met = units.join(F.broadcast(queries.select("query_id", "low", "high")), time.overlaps(F.col(start), F.col(end), F.col(mentioned), F.col("low"), F.col("high")))
+    met, extra = None, [] if bank is None else [F.col(bank).alias("asked_bank")]
+    for part in _passes(queries, "query_id", at_once or QUERIES_AT_ONCE):
+        meets = time.overlaps(F.col(start), F.col(end), F.col(mentioned), F.col("low"), F.col("high"))
+        if bank is not None:
+            meets = (F.col(bank) == F.col("asked_bank")) & meets
+        some = units.join(F.broadcast(part.select("query_id", "low", "high", *extra)), meets)
+        met = some if met is None else met.unionByName(some)
     proximity = scoring.window_proximity(scoring.seconds(best), scoring.seconds(F.col("low")), scoring.seconds(F.col("high")))
     rows = met.select("query_id", F.col(id_).alias("unit_id"), best.alias("best"), proximity.alias("proximity"))
     return top_per(rows, ["query_id"], [F.col("best").desc(), F.col("unit_id")], k)

@@ -65,13 +65,11 @@ class Memory:
 
     def _nearest(self, facts: DataFrame) -> DataFrame:
         """Greatest similarity of each new fact to the stored ones of its bank (unit_id, nearest)."""
-        stored = self.store.read("units").select("unit_id", "embedding")
-        found = retrieval.vector_search(stored, facts.select("unit_id", "embedding"), "unit_id", "embedding", 5) if not stored.isEmpty() else None
-        if found is None:
+        stored = self.store.read("units").select("unit_id", "bank_id", "embedding")
+        if stored.isEmpty():
             return self.spark.createDataFrame([], "unit_id string, nearest double")
-        banks = self.store.read("units").select(F.col("unit_id").alias("item_id"), F.col("bank_id").alias("item_bank"))
-        own = facts.select(F.col("unit_id").alias("query_id"), "bank_id")
-        return found.join(banks, "item_id").join(own, "query_id").filter("bank_id = item_bank").groupBy(F.col("query_id").alias("unit_id")).agg(F.max("score").alias("nearest"))
+        found = retrieval.vector_search(stored, facts.select("unit_id", "bank_id", "embedding"), "unit_id", "embedding", 1, bank="bank_id")
+        return found.select(F.col("query_id").alias("unit_id"), F.col("score").alias("nearest"))
 
     def _new_links(self, units: DataFrame, said: DataFrame) -> DataFrame:
         """Time links to all units and entity links among all, as rows of the links table."""
@@ -91,23 +89,21 @@ class Memory:
         units = self.store.read("units")
         key = units.select("unit_id", "bank_id", "text", "embedding", "event_date", F.xxhash64("unit_id").alias("n")).checkpoint()
         asked = queries.withColumn("embedding", self.embedder.column(F.col("query"))).checkpoint()
-        same_bank = asked.select("query_id", F.col("bank_id").alias("asked_bank"))
 
-        def own(found: DataFrame) -> DataFrame:
-            """Hits of a query's own bank, ranked again."""
-            rows = found.join(key.select("n", "bank_id"), "n").join(same_bank, "query_id").filter("bank_id = asked_bank")
-            return ranking.top_per(rows.drop("rank"), ["query_id"], [F.desc("score"), F.col("n")], budget).select("query_id", "n", "score", "rank")
+        def best(found: DataFrame) -> DataFrame:
+            return ranking.top_per(found, ["query_id"], [F.desc("score"), F.col("n")], budget).select("query_id", "n", "score", "rank")
 
-        v = retrieval.vector_search(key, asked, "n", "embedding", budget, SIMILARITY_THRESHOLD[mode] / 2, "query_id", exclude_same=False)
-        v = own(v.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("n"), "score"))
-        w = own(retrieval.keyword_search(key, asked, budget, "n", "text", "query_id", "query").select("query_id", F.col("doc_id").alias("n"), "score"))
+        # Every channel counts hits of the query's own bank only.
+        v = retrieval.vector_search(key, asked, "n", "embedding", budget, SIMILARITY_THRESHOLD[mode] / 2, "query_id", exclude_same=False, bank="bank_id")
+        v = best(v.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("n"), "score"))
+        w = best(retrieval.keyword_search(key, asked, budget, "n", "text", "query_id", "query", bank="bank_id").select("query_id", F.col("doc_id").alias("n"), "score"))
         window = self.analyzer.window(F.col("query"), F.lit(now).cast("timestamp"))
-        dated = asked.select("query_id", window.alias("w")).filter("w is not null").select("query_id", F.col("w.start").cast("timestamp").alias("low"), (F.col("w.end").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("high"))
+        dated = asked.select("query_id", "bank_id", window.alias("w")).filter("w is not null").select("query_id", "bank_id", F.col("w.start").cast("timestamp").alias("low"), (F.col("w.end").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("high"))
         none = F.lit(None).cast("timestamp")
-        t = retrieval.temporal_entries(key.withColumns({"s": none, "e": none}), dated, 10, "n", "s", "e", "event_date")
-        t = own(t.select("query_id", F.col("unit_id").alias("n"), F.col("proximity").alias("score")))
+        t = retrieval.temporal_entries(key.withColumns({"s": none, "e": none}), dated, 10, "n", "s", "e", "event_date", bank="bank_id")
+        t = best(t.select("query_id", F.col("unit_id").alias("n"), F.col("proximity").alias("score")))
         edges = self.store.read("links").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "type", "weight")
-        g = own(self.graphs.strategies[self.graphs.default](v.select("query_id", F.col("n").alias("node"), "score"), edges, mode).select("query_id", F.col("node").alias("n"), "score"))
+        g = best(self.graphs.strategies[self.graphs.default](v.select("query_id", F.col("n").alias("node"), "score"), edges, mode).select("query_id", F.col("node").alias("n"), "score"))
         fused = ranking.normalise(ranking.rrf([v, w, g, t], ["query_id"], "n"), ["query_id"], "rrf", "rrf_norm")
         rows = fused.join(key.drop("embedding", "bank_id"), "n").join(asked.select("query_id", "query"), "query_id")
         rows = rows.join(self.store.read("dictionary").filter("status = 'active'").select(F.col("engram_id").alias("unit_id"), "strength", "tags", *DIMENSIONS), "unit_id", "left")

@@ -84,3 +84,18 @@ def test_delete_takes_dependents_along(memory):
     left = {r.unit_id for r in memory.store.read("units").collect()}
     ends = memory.store.read("links").select(F.explode(F.array("src", "dst")).alias("x")).distinct().collect()
     assert {r.x for r in ends} <= left
+
+
+def test_a_crowded_bank_takes_nothing_from_others(spark, tmp_path):
+    """A query of a small bank finds its fact beside a hundred better ones of another bank, in every channel."""
+    m = Memory(Store(spark, str(tmp_path / "s")))
+    schema = "bank_id string, document_id string, content string, event_date timestamp, tags array<string>"
+    crowd = [("b1", f"d{k}", f"The server in Oslo failed at night number {k}.", NOW, ["fact"]) for k in range(120)]
+    m.retain(spark.createDataFrame([*crowd, ("b2", "d", "The server in Oslo failed at night.", NOW, ["fact"])], schema), now=NOW)
+    asked = spark.createDataFrame([(1, "b2", "which server in Oslo failed at night"), (2, "b3", "server")], "query_id long, bank_id string, query string")
+    found = m.recall(asked, budget=5, now=NOW).collect()
+    assert [(r.query_id, r.rank) for r in found] == [(1, 1)] and found[0].text.startswith("The server in Oslo")
+    again = spark.createDataFrame([("b2", "e", "The server in Oslo failed at night. ", NOW, ["fact"])], schema)
+    m.retain(again, now=NOW)
+    row = m.store.read("dictionary").filter("bank_id = 'b2'").orderBy("novelty").first()
+    assert row.novelty < 0.2  # its twin is found although 120 others lie as near
