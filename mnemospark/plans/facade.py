@@ -35,6 +35,7 @@ class Memory:
         return self.hooks.run("retain", {"mode": mode}, lambda: self._retain(items, mode, now or datetime.now(timezone.utc)))
 
     def _retain(self, items: DataFrame, mode: str, now: datetime) -> int:
+        base = self.store.version()
         docs = items.withColumn("document_id", F.coalesce("document_id", F.sha2("content", 256)))
         chunks = texts.chunks(docs, "bank_id", "document_id", "content")
         facts = texts.extract_facts(chunks).join(chunks.select("chunk_id", "bank_id", "document_id", "chunk_index"), "chunk_id")
@@ -59,9 +60,10 @@ class Memory:
         tracked = tracked_documents(docs, "bank_id", "document_id", "content")
         kept = self.store.read("documents").join(tracked.select("document_id", "bank_id"), ["document_id", "bank_id"], "left_anti").unionByName(tracked, allowMissingColumns=True)
         old_chunks = self.store.read("chunks").join(chunks.select("chunk_id"), "chunk_id", "left_anti").unionByName(chunks)
-        written = {t: [*self.store.manifest().get(t, []), self.store._put(t, df)] for t, df in (("units", units), ("dictionary", dictionary), ("unit_entities", said.select("unit_id", "entity_id", "bank_id").distinct()), ("links", edges))}
-        written |= {t: [self.store._put(t, df)] for t, df in (("documents", kept), ("chunks", old_chunks), ("entities", both))}
-        return self.store.commit(written)
+        added = {t: self.store._put(t, df) for t, df in (("units", units), ("dictionary", dictionary), ("unit_entities", said.select("unit_id", "entity_id", "bank_id").distinct()), ("links", edges))}
+        written = {t: [self.store._put(t, df)] for t, df in (("documents", kept), ("chunks", old_chunks), ("entities", both))}
+        version = self.store.commit(written, added, base)
+        return self.store.compact() or version
 
     def _nearest(self, facts: DataFrame) -> DataFrame:
         """Greatest similarity of each new fact to the stored ones of its bank (unit_id, nearest)."""
@@ -143,20 +145,20 @@ class Memory:
         return lifecycle.with_sizes(rows.join(sessions, "bank_id", "left").withColumn("session_count", F.coalesce("session_count", F.lit(0))))
 
     def _promote(self, mode: str | None) -> int:
-        rows = self._rated()
+        base, rows = self.store.version(), self._rated()
         open_ = (F.coalesce("layer", F.lit("working")) == "working") & (F.col("status") == "active")
         done = lifecycle.promote(rows.filter(open_), mode)
         done = done.withColumns({"layer": F.col("new_layer"), "status": F.col("new_status"), "strength": F.col("new_strength")})
         old = self.store.read("dictionary")
-        return self.store.replace({"dictionary": old.filter(~open_).unionByName(done.join(old.select("engram_id", F.col("access_count").alias("_own")), "engram_id").withColumn("access_count", F.col("_own")).select(old.columns))})
+        return self.store.replace({"dictionary": old.filter(~open_).unionByName(done.join(old.select("engram_id", F.col("access_count").alias("_own")), "engram_id").withColumn("access_count", F.col("_own")).select(old.columns))}, base)
 
     def _decay(self, mode: str | None) -> int:
-        rows = self._rated()
+        base, rows = self.store.version(), self._rated()
         old = self.store.read("dictionary")
         done = lifecycle.decay_sweep(rows.filter("status = 'active'")).select("engram_id", "new_status", "new_strength")
         new = old.join(done, "engram_id", "left").withColumn("status", F.coalesce("new_status", "status")).withColumn("strength", F.coalesce("new_strength", "strength"))
         banks = self.store.read("banks")
-        return self.store.replace({"dictionary": new.select(old.columns), "banks": banks.withColumn("session_count", F.col("session_count") + 1)})
+        return self.store.replace({"dictionary": new.select(old.columns), "banks": banks.withColumn("session_count", F.col("session_count") + 1)}, base)
 
     def _cluster(self, now: datetime) -> int:
         buffer = self.store.read("dictionary").filter("layer = 'buffer' and status = 'active'").select(F.col("engram_id").alias("unit_id"))
@@ -213,8 +215,8 @@ class Memory:
         return graph.view(units, self.store.read("links", bank), strength)
 
     def advance_session(self, bank: str) -> int:
-        banks = self.store.read("banks")
-        return self.store.replace({"banks": banks.withColumn("session_count", F.col("session_count") + (F.col("bank_id") == bank).cast("int"))})
+        base, banks = self.store.version(), self.store.read("banks")
+        return self.store.replace({"banks": banks.withColumn("session_count", F.col("session_count") + (F.col("bank_id") == bank).cast("int"))}, base)
 
     def get(self, table: str, **keys: str) -> DataFrame:
         """The rows of a table with the given key values: a document, chunk, entity, schema, profile or trace."""
@@ -233,8 +235,8 @@ class Memory:
         return (rows if status is None else rows.filter(F.col("status") == status)).orderBy("type", "operation_id")
 
     def cancel(self, bank: str, operation: str) -> int:
-        rows = self.store.read("operations")
-        return self.store.replace({"operations": rows.filter(~((F.col("bank_id") == bank) & (F.col("operation_id") == operation)))})
+        base, rows = self.store.version(), self.store.read("operations")
+        return self.store.replace({"operations": rows.filter(~((F.col("bank_id") == bank) & (F.col("operation_id") == operation)))}, base)
 
     def record(self, kind: str, rows: DataFrame, bank: str = "bank_id") -> int:
         """Append trace rows (of a retain or consolidation run) as JSON."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,14 @@ KEYS = {
 }
 
 
+#: Most folders of a table before an append rewrites it as one.
+MOST_FOLDERS = 16
+
+
+class Conflict(RuntimeError):
+    """Another job has written a table since it was read."""
+
+
 class Store:
     """Tables of one root folder. Every write makes the next version."""
 
@@ -113,35 +122,84 @@ class Store:
         (writer.partitionBy("bank_id") if "bank_id" in shaped.columns else writer).parquet(path)
         return path
 
-    def commit(self, changes: dict[str, list[str]]) -> int:
-        """Publish a version: the manifest is written under another name and renamed, which is atomic."""
-        version = (self.versions() or [0])[-1] + 1
-        body = json.dumps({**self.manifest(), **changes}, sort_keys=True)
+    def version(self) -> int:
+        """The latest version; 0 before the first write."""
+        return (self.versions() or [0])[-1]
+
+    def commit(self, changes: dict[str, list[str]], added: dict[str, str] | None = None, base: int | None = None) -> int:
+        """Publish a version: ``changes`` are the new folders of tables, ``added`` a further folder of tables.
+
+        What was added is put behind the latest version, whichever that is by
+        then, so no append is lost. New contents rest on what was read: with
+        ``base``, the version read, a table of ``changes`` that another job has
+        written since raises ``Conflict``, and the caller reads and tries again.
+        """
+        then = self._at(base) if base is not None else {}
+        while True:
+            version = self.version()
+            now = self._at(version)
+            late = [t for t in changes if base is not None and now.get(t) != then.get(t)]
+            if late:
+                raise Conflict(f"written since version {base}: {', '.join(sorted(late))}")
+            more = {t: [*now.get(t, []), path] for t, path in (added or {}).items()}
+            if self._publish(version + 1, json.dumps(now | changes | more, sort_keys=True)):
+                return version + 1
+
+    def _at(self, version: int) -> dict[str, list[str]]:
+        return self.manifest(version) if version else {}
+
+    def _publish(self, version: int, body: str) -> bool:
+        """Write a manifest under another name and rename it; false if the version is there already."""
         fs, target = self._fs(f"{self.root}/manifests/{version}.json")
         _, temporary = self._fs(f"{self.root}/manifests/_{uuid.uuid4().hex}")
         fs.mkdirs(target.getParent())
         out = fs.create(temporary)
         out.write(bytearray(body.encode()))
         out.close()
-        if not fs.rename(temporary, target):
-            raise RuntimeError(f"version {version} was written by another job")
-        return version
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        hadoop = jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # this rename, unlike that of the file system, never replaces a file
+            context.rename(fs.makeQualified(temporary), fs.makeQualified(target), gateway.new_array(hadoop.Options.Rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            fs.delete(temporary, False)
+            return False
+        return True
 
     def append(self, tables: dict[str, DataFrame]) -> int:
         """Add rows to tables, all in one version."""
-        now = self.manifest()
-        return self.commit({t: [*now.get(t, []), self._put(t, df)] for t, df in tables.items()})
-
-    def replace(self, tables: dict[str, DataFrame]) -> int:
-        """New contents of whole tables, all in one version."""
-        return self.commit({t: [self._put(t, df)] for t, df in tables.items()})
+        version = self.commit({}, {t: self._put(t, df) for t, df in tables.items()})
+        return self.compact() or version
+
+    def compact(self, most: int = MOST_FOLDERS) -> int | None:
+        """Rewrite tables of more than ``most`` folders as one; the new version, or none if there was nothing to do.
+
+        If another job writes such a table meanwhile, its rows count and the
+        table is left to the next append.
+        """
+        base = self.version()
+        many = [t for t, paths in self._at(base).items() if len(paths) > most]
+        if not many:
+            return None
+        try:
+            return self.commit({t: [self._put(t, self.read(t, version=base))] for t in many}, base=base)
+        except Conflict:
+            return None
+
+    def replace(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """New contents of whole tables, all in one version; ``base`` is the version they were read from."""
+        return self.commit({t: [self._put(t, df)] for t, df in tables.items()}, base=base)
 
     def upsert(self, table: str, rows: DataFrame, update: bool = True) -> int:
         """Insert by key; rows with a known key replace the old ones, or are left out (``update`` false)."""
-        return self.replace({table: upserted(self.read(table), rows, KEYS[table], update)})
+        base = self.version()
+        return self.replace({table: upserted(self.read(table), rows, KEYS[table], update)}, base)
 
     def delete(self, *, bank: str | None = None, document: str | None = None, unit: str | None = None, fact_type: str | None = None) -> dict[str, int]:
         """Delete a unit, a document or a bank (of one fact type) with all that hangs on it; rows deleted by table."""
+        base = self.version()
         units, condition = self.read("units"), F.lit(True)
         for column, value in (("bank_id", bank), ("document_id", document), ("unit_id", unit), ("fact_type", fact_type)):
             if value is not None:
@@ -156,7 +214,7 @@ class Store:
             for t in ("banks", "entities", "schemas", "schema_edges", "fingerprints", "operations", "working_memory", "model_config"):
                 changes[t] = self.read(t).filter(F.col("bank_id") != bank)
         before = {t: self.read(t).count() for t in changes}
-        self.replace(changes)
+        self.replace(changes, base)
         return {t: n - self.read(t).count() for t, n in before.items()}
 
     def backup(self, target: str, version: int | None = None) -> dict[str, int]:

@@ -99,3 +99,23 @@ def test_a_crowded_bank_takes_nothing_from_others(spark, tmp_path):
     m.retain(again, now=NOW)
     row = m.store.read("dictionary").filter("bank_id = 'b2'").orderBy("novelty").first()
     assert row.novelty < 0.2  # its twin is found although 120 others lie as near
+
+
+def test_no_write_is_lost(spark, tmp_path):
+    from mnemospark.sources.store import Conflict
+
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    banks = lambda *names: spark.createDataFrame([(n, 0) for n in names], "bank_id string, session_count long")
+    names = lambda: {r.bank_id for r in store.read("banks").collect()}
+    a, b = store._put("banks", banks("a")), other._put("banks", banks("b"))  # two appends, interleaved
+    assert (other.commit({}, {"banks": b}), store.commit({}, {"banks": a})) == (1, 2)
+    assert names() == {"a", "b"}
+    base, path = store.version(), store._put("banks", banks("c"))
+    other.append({"banks": banks("d")})
+    with pytest.raises(Conflict):
+        store.commit({"banks": [path]}, base=base)
+    assert not store._publish(store.version(), "{}")  # a version is never replaced
+    assert store.commit({"units": []}, base=base) == 4  # other tables do not conflict
+    assert names() == {"a", "b", "d"}
+    assert store.compact(2) == 5 and len(store.manifest()["banks"]) == 1
+    assert names() == {"a", "b", "d"} and store.compact(2) is None
