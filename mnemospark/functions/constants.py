@@ -54,6 +54,13 @@ CAUSAL_BOOST = {"causes": 2.0, "caused_by": 2.0, "enables": 1.5, "prevents": 1.5
 PROMOTE_THRESHOLD = {"fact": 0.7, "experience": 0.35, "opinion": 0.35}
 DISPOSITIONS = {"neutral": (1.0, 0.0, 0.0), "analytical": (1.2, 0.0, 0.3), "optimistic": (0.8, 0.2, 0.5), "conservative": (0.8, 0.0, 0.7)}
 LINK_TYPES = ("semantic", "temporal", "temporal_proximity", "entity", "causes", "caused_by", "enables", "prevents", "co_activated", "schema", "contradiction", "prediction_error", "specializes")
-#: Stop words of query tags, English and German.
-STOPWORDS = "the and for with that this from are was were has have had not but you your our his her its they them what when where which who how der die das und ist ein eine mit von auf für nicht den dem des sich auch".split()
+#: Stop words of query tags, German and English: fixed values.
+STOPWORDS = """
+aber alle als also auch auf aus bei bin bis bist das dass dein deine dem den der des die dies dir doch dort durch ein eine einen einer
+eines etwa euch euer eure für gegen haben hast hat hatte ich ihm ihn ihr ist kann kein keine man mein meine mich mir mit nach nein nicht
+noch nun nur ohne oder schon sehr sein seine sich sie sind soll sondern über und uns unser vom von vor war waren was weil wenn wer wie
+will wir wird wo zu zum zur
+and are but for from had has have her him his how its not now off our out she some than that the their them then there these they this
+those was were what when where which who why will with you your
+""".split()
 CAPACITY = {"focus": 5, "supporting": 10, "peripheral": 20}

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scoring
 from mnemospark.functions.constants import AGENT_WEIGHT, SHARED_WEIGHT
 
+#: Parts that one set's rows are dealt into before a budget is applied to it.
+SPREAD = 64
+
 
 def top_per(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their rank; Spark cuts groups before the shuffle too."""
@@ -33,9 +36,17 @@ def normalise(rows: DataFrame, by: list[str], column: str, out: str) -> DataFram
 
 
 def token_budget(rows: DataFrame, by: list[str], order: list[Column], tokens: str, most: int) -> DataFrame:
-    """The leading rows of each set whose running token count stays within ``most``."""
+    """The leading rows of each set whose running token count stays within ``most``.
+
+    A set is dealt into ``SPREAD`` parts first. A part's running count is never
+    above the set's (no row has fewer than no tokens), so rows beyond the budget
+    in their part go before the set's rows meet in one task.
+    """
+    first = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.withColumn("_part", F.spark_partition_id() % SPREAD)
+    some = parts.withColumn("_run", F.sum(tokens).over(first)).filter(F.coalesce("_run", F.lit(0)) <= most).drop("_part", "_run")
     run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_tokens", F.sum(tokens).over(run)).filter(F.col("running_tokens") <= most)
+    return some.withColumn("running_tokens", F.sum(tokens).over(run)).filter(F.col("running_tokens") <= most)
 
 
 def text_budget(rows: DataFrame, by: list[str], order: list[Column], column: str, most: int) -> DataFrame:
