@@ -10,8 +10,8 @@ than three different contexts before it says anything.
 
 Continuation counts are taken of word pairs; the pairs' own frequencies are not
 a level of the models. They were tried: what copies and templates repeat makes
-ordinary pairs look toxic, and fewer held-out rows come out right (figures in
-the README).
+ordinary pairs look toxic, and fewer held-out rows come out right (no figures
+were kept).
 
 Counting: each task counts pairs of words by full 64-bit hashes, Spark adds
 them up in a shuffle dealt by the whole pair, so no word is a hot key, and then
