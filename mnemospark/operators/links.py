@@ -59,6 +59,21 @@ def entity_links(unit_entities: DataFrame, unit: str, entity: str, order: list[C
     return a.join(b, "entity").filter(F.col("a") != F.col("b")).select("a", "b", F.lit("entity").alias("type"), F.lit(1.0).alias("weight"), "entity").distinct()
 
 
+def new_entity_links(new: DataFrame, stored: DataFrame, unit: str, entity: str, order: list[Column], cap: int = 50) -> DataFrame:
+    """Entity links of new units, in both directions: every one with each entity's last ``cap`` stored units, the last ``cap`` new ones with each other.
+
+    Both sides have ``unit``, ``entity`` and the columns of ``order`` (the latest
+    first). A hot entity makes at most 2 x ``cap`` rows for each new unit.
+    """
+    among = entity_links(new, unit, entity, order, cap)
+    last = stored.join(new.select(entity).distinct(), entity, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).filter(F.col("_n") <= cap)
+    a = new.select(F.col(entity).alias("entity"), F.col(unit).alias("x")).distinct()
+    across = a.join(last.select(F.col(entity).alias("entity"), F.col(unit).alias("y")).distinct(), "entity").filter(F.col("x") != F.col("y"))
+    ends = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("l")
+    across = across.select(ends, "entity").select("l.a", "l.b", F.lit("entity").alias("type"), F.lit(1.0).alias("weight"), "entity")
+    return among.unionByName(across).distinct()
+
+
 def causal_links(relations: DataFrame) -> DataFrame:
     """Valid causal relations of facts: a known type, an earlier target and no self link.
 

@@ -74,12 +74,13 @@ class Memory:
         return found.select(F.col("query_id").alias("unit_id"), F.col("score").alias("nearest"))
 
     def _new_links(self, units: DataFrame, said: DataFrame) -> DataFrame:
-        """Time links to all units and entity links among all, as rows of the links table."""
+        """Time links of new units to all and entity links to the latest ones, as rows of the links table."""
         all_units = self.store.read("units").select("unit_id", "bank_id", "event_date").unionByName(units.select("unit_id", "bank_id", "event_date"))
         t = links.temporal_links(units, all_units, "bank_id", "unit_id", "event_date").withColumn("entity", F.lit(None).cast("string"))
-        shared = self.store.read("unit_entities").select("unit_id", "entity_id").unionByName(said.select("unit_id", "entity_id"))
-        e = links.entity_links(shared, "unit_id", "entity_id", [F.desc("unit_id")])
-        e = e.join(units.select(F.col("unit_id").alias("a")), "a", "left_semi")
+        # The latest units of an entity are those mentioned last, then those of the latest date.
+        latest = [F.desc_nulls_last("mentioned_at"), F.desc_nulls_last("event_date"), F.col("unit_id")]
+        dated = lambda names, rows: names.select("unit_id", "entity_id").join(rows.select("unit_id", "mentioned_at", "event_date"), "unit_id")
+        e = links.new_entity_links(dated(said, units), dated(self.store.read("unit_entities"), self.store.read("units")), "unit_id", "entity_id", latest)
         both = links.valid_links(t.unionByName(e.select("a", "b", "type", "weight", "entity")))
         return both.join(all_units.select(F.col("unit_id").alias("a"), "bank_id"), "a").select(F.col("a").alias("src"), F.col("b").alias("dst"), "type", "weight", "entity", "bank_id")
 

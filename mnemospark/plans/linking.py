@@ -40,15 +40,15 @@ PROXIMITY = f"WITH {EVENT_LINKS} SELECT a, b, round(weight, 6) AS weight FROM cl
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between the last ten orders of each part."""
+    """Links between the last fifty orders of each part."""
     l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    found = links.entity_links(l, "l_orderkey", "l_partkey", [F.desc("l_orderkey")], cap=10)
+    found = links.entity_links(l, "l_orderkey", "l_partkey", [F.desc("l_orderkey")])
     return found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_links"), F.min("a").alias("first"), F.max("b").alias("last"))
 
 
 ENTITY_LINKS = """
 WITH u AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS r FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)),
-p AS (SELECT x.l_partkey AS entity, x.l_orderkey AS a, y.l_orderkey AS b FROM u x JOIN u y ON x.l_partkey = y.l_partkey AND x.l_orderkey <> y.l_orderkey WHERE x.r <= 10 AND y.r <= 10)
+p AS (SELECT x.l_partkey AS entity, x.l_orderkey AS a, y.l_orderkey AS b FROM u x JOIN u y ON x.l_partkey = y.l_partkey AND x.l_orderkey <> y.l_orderkey WHERE x.r <= 50 AND y.r <= 50)
 SELECT entity, count(*) AS n_links, min(a) AS first, max(b) AS last FROM p GROUP BY entity"""
 
 

@@ -82,6 +82,43 @@ def test_properties(spark):
     assert got["mixed"].mean == pytest.approx(1.75)
 
 
+def test_complete_linkage_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for n, cut in ((1, 0.5), (2, 2.0), (60, 0.6), (60, 2.0)):
+        v = rng.normal(size=(n, 6)).round(1)
+        v[n // 2 :] = v[: n - n // 2]  # ties
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        d, groups = 1 - u @ u.T, [[k] for k in range(n)]
+        while len(groups) > 1:
+            far = {(a, b): max(d[x, y] for x in groups[a] for y in groups[b]) for a in range(len(groups)) for b in range(a + 1, len(groups))}
+            (a, b), gap = min(far.items(), key=lambda e: e[1])
+            if gap > cut:
+                break
+            groups[a] += groups.pop(b)
+        got = consolidation.complete_linkage(v, cut)
+        assert sorted(len(g) for g in groups) == sorted(np.unique(got, return_counts=True)[1])
+        assert max((d[x, y] for x in range(n) for y in range(n) if got[x] == got[y]), default=0) <= cut
+
+
+def test_a_large_bank_is_clustered_in_buffers(spark):
+    rows = [("b", k, [1.0, 0.001 * k] if k % 2 else [0.001 * k, 1.0]) for k in range(60)] + [("c", 100 + k, [1.0, 0.0]) for k in range(5)] + [(None, 200 + k, [1.0, 0.0]) for k in range(3)]
+    df = spark.createDataFrame(rows, "bank string, id long, v array<double>")
+    got = consolidation.clusters(df, "bank", "id", "v", most=20).collect()
+    assert {r.id for r in got} == {r[1] for r in rows}  # none is left out
+    assert len({r.cluster for r in got if r.bank == "b"}) > 2 and all(r.cluster % 2 == r.id % 2 for r in got if r.bank == "b")
+    assert {r.cluster for r in got if r.bank == "c"} == {100}
+
+
+def test_new_entity_links(spark):
+    schema = "unit string, entity string, at int"
+    new = spark.createDataFrame([("n1", "e", 10), ("n2", "e", 11), ("n3", "e", 12), ("n1", "f", 10)], schema)
+    stored = spark.createDataFrame([(f"s{k}", "e", k) for k in range(6)] + [("s9", "g", 9)], schema)
+    got = {(r.a, r.b, r.entity) for r in links.new_entity_links(new, stored, "unit", "entity", [F.desc("at")], 2).collect()}
+    pairs = {("n2", "n3"), *((n, s) for n in ("n1", "n2", "n3") for s in ("s4", "s5"))}
+    assert got == {(a, b, "e") for x, y in pairs for a, b in ((x, y), (y, x))}
+    assert links.new_entity_links(new.limit(0), stored, "unit", "entity", [F.desc("at")]).count() == 0
+
+
 def test_complete_linkage():
     rng = np.random.default_rng(0)
     v = np.concatenate([c + rng.normal(scale=0.01, size=(10, 6)) for c in np.eye(6)[:3]])
