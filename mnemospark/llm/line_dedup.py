@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import SPACE_CHARS, ascii_lower, cut, fresh, join_counted, small, text_of
 
+#: Repeated lines that make a text a copy, if half of it is in them.
+COPY_LINES = 5
+
 
 def line_key(line: Column) -> Column:
     """Stripped of white space at both ends, A-Z in lower case."""
@@ -108,8 +111,10 @@ def kept_text(text: Column, bitmap: Column) -> Column:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:
     """The documents with their repeated lines cut out of the text; columns as they were.
 
-    ``spare_copies``: a text that would lose half of its characters or more is
-    a copy of others rather than a text with repeated lines, and stays whole.
+    ``spare_copies``: a text of which no word would be left, or that would lose
+    half of its characters or more in at least ``COPY_LINES`` lines, is a copy of
+    others rather than a text with repeated lines, and stays whole. A passage of
+    fewer lines goes however much of its document it is.
     """
     bitmap = fresh("dropped", docs.columns)
     marked = with_bitmaps(docs, text, doc_id, min_docs, min_chars, keep_first, bitmap)
@@ -117,5 +122,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     marked = marked.withColumn(cleaned, kept_text(text_of(marked, text), F.col(bitmap)))
     as_it_was = F.col(bitmap).isNull()
     if spare_copies:
-        as_it_was = as_it_was | (2 * F.length(cleaned) <= F.length(f"`{text}`"))
+        nothing_left = F.length(_stripped(F.col(cleaned))) == 0
+        as_it_was = as_it_was | nothing_left | ((n_dropped(F.col(bitmap)) >= COPY_LINES) & (2 * F.length(cleaned) <= F.length(f"`{text}`")))
     return marked.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned)

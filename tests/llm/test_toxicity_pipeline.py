@@ -153,12 +153,14 @@ def test_large_groups_of_copies_keep_one(spark, tmp_path):
     exact, near = "\n".join(say(30) for _ in range(4)), [say(30) for _ in range(9)]
     docs = [(k, exact) for k in range(25)] + [(100 + k, "\n".join([*near, f"copy {k}"])) for k in range(15)]
     docs += [(200 + k, "Shared Footer\n" + say(40)) for k in range(12)]
+    passage = say(60)  # more than half of its documents, but no copy
+    docs += [(300 + k, f"{say(9)}\n{passage}\nShared Footer") for k in range(12)]
     stage, df = dict(corpus_pipeline.STAGES), spark.createDataFrame(docs, DOCS)
     lines = stage["line_dedup"](spark, df, str(tmp_path))
-    assert not any(r.text == "" or "Shared Footer" in r.text for r in lines.collect())
+    assert not any(r.text == "" or "Shared Footer" in r.text or (r.doc_id >= 300 and passage in r.text) for r in lines.collect())
     left = {r.doc_id: r.text for r in stage["near_dedup"](spark, lines, str(tmp_path)).collect()}
     assert [t for d, t in left.items() if d < 100] == [exact]
-    assert [t.split("\n")[:9] for d, t in left.items() if 100 <= d < 200] == [near] and len(left) == 14
+    assert [t.split("\n")[:9] for d, t in left.items() if 100 <= d < 200] == [near] and len(left) == 26
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
