@@ -32,6 +32,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def tag_union(*lists: Column) -> Column:
+    """All tags, each once, in the order in which they come first; a null list has none."""
+    return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+
 def contains_all(have: Column, wanted: Column) -> Column:
     return F.size(F.array_except(wanted, have)) == 0
 

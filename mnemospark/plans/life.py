@@ -297,6 +297,14 @@ def sub_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.sub_batches(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text", 60_000)
 
 
+SUB_BATCHES = """
+WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, doc_id, chars, r, coalesce(chars, 0) AS total, 0 AS batch FROM d WHERE r = 1
+    UNION ALL SELECT d.source, d.doc_id, d.chars, d.r, CASE WHEN total > 0 AND total + coalesce(d.chars, 0) > 60000 THEN coalesce(d.chars, 0) ELSE total + coalesce(d.chars, 0) END,
+        CASE WHEN total > 0 AND total + coalesce(d.chars, 0) > 60000 THEN batch + 1 ELSE batch END FROM f JOIN d ON d.source = f.source AND d.r = f.r + 1)
+SELECT source, doc_id, chars::INTEGER AS chars, batch FROM f"""
+
+
 def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all chunks of all documents, counted."""
     c = texts.chunks(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
@@ -394,6 +402,7 @@ ORACLE_SQL = {
     "property_conflicts": CONFLICTS,
     "dominant_tags": DOMINANT,
     "promotion_reasons": REASONS,
+    "sub_batches": SUB_BATCHES,
     "sequence_units": SEQUENCES,
     "upserted": UPSERTED,
     "cascaded_delete": CASCADED,

@@ -115,6 +115,10 @@ SELECT x.key, CASE WHEN x.num THEN 'numeric' ELSE 'categorical' END AS type, x.n
     CASE WHEN x.num THEN least(x.lo, y.lo) END AS min, CASE WHEN x.num THEN greatest(x.hi, y.hi) END AS max, CASE WHEN x.num THEN NULL WHEN x.confidence >= y.confidence THEN x.value ELSE y.value END AS value
 FROM p x JOIN p y ON x.key = y.key AND x.h = 0 AND y.h = 1"""
 
+PROPERTY_DIFFERENCES = f"""
+WITH {ENGRAMS}, {_SUMMARY}, w AS (SELECT h, key, CASE WHEN num THEN mean::VARCHAR ELSE value END AS v FROM p)
+SELECT coalesce(x.key, y.key) AS key, x.v AS left, y.v AS right FROM (FROM w WHERE h = 0) x FULL JOIN (FROM w WHERE h = 1) y ON x.key = y.key WHERE x.v IS DISTINCT FROM y.v"""
+
 
 def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency, anchors and nearness of orders to the first of their year."""
@@ -181,6 +185,7 @@ ORACLE_SQL = {
     "aggregated_confidence": CONFIDENCE,
     "accuracy_by_category": ACCURACY,
     "merged_properties": MERGED_PROPERTIES,
+    "property_differences": PROPERTY_DIFFERENCES,
     "recency_weights": RECENCY,
     "mode_shift": "SELECT event_id, CASE WHEN event_id % 6 <> 0 AND (event_id * 23 % 101) / 100 >= 0.3 THEN 'validation' ELSE 'precision' END AS next_mode FROM events",
     "relative_dates": RELATIVE,
