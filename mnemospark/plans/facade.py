@@ -11,7 +11,7 @@ from mnemospark.functions import scoring, text, vector
 from mnemospark.functions.constants import DIMENSIONS, GATE, MAX_RESULTS, MAX_TOKENS, RERANK_FLOOR, SIMILARITY_THRESHOLD, STRENGTH_FLOOR
 from mnemospark.functions.providers import DateAnalyzer, Embedder, HashingEmbedder, Hooks, OverlapReranker, Registry, Reranker, rerank_text
 from mnemospark.operators import consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
-from mnemospark.sources.store import Store, trace, tracked_documents
+from mnemospark.sources.store import KEYS, Store, trace, tracked_documents
 
 
 class Memory:
@@ -206,6 +206,20 @@ class Memory:
         share = F.col("evidence") / F.sum("evidence").over(Window.partitionBy("bank_id"))
         return rows.withColumn("maturity", scoring.maturity(share, F.col("evidence"))).orderBy(F.desc("last_reinforced"), "schema_id").limit(limit)
 
+    def update_schema(self, bank: str, schema: str, **fields: object) -> int:
+        """Set some fields of a schema; its keys cannot be changed. Returns the new version."""
+        base, rows = self.store.version(), self.store.read("schemas")
+        if fixed := sorted(set(KEYS["schemas"]) & set(fields)):
+            raise ValueError(f"fields that cannot change: {', '.join(fixed)}")
+        if unknown := sorted(set(fields) - set(rows.columns)):
+            raise ValueError(f"no such fields: {', '.join(unknown)}")
+        this = F.col("bank_id").eqNullSafe(F.lit(bank)) & F.col("schema_id").eqNullSafe(F.lit(schema))
+        return self.store.replace({"schemas": rows.withColumns({c: F.when(this, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in fields.items()})}, base)
+
+    def archive_schema(self, bank: str, schema: str) -> int:
+        """Take a schema off the list of active ones."""
+        return self.update_schema(bank, schema, status="archived")
+
     def describe_schemas(self, bank: str) -> DataFrame:
         return self.store.read("schemas", bank).select("schema_id", text.describe(F.coalesce("properties", F.create_map().cast("map<string,string>"))).alias("description"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +22,15 @@ def view(spark: SparkSession, folder: str, *names: str) -> None:
     """Register tables as temporary views."""
     for n in names:
         table(spark, folder, n).createOrReplaceTempView(n)
+
+
+#: A table name, with or without qualifiers, after the words that take one.
+_NAMED = re.compile(r"""\b(?:from|join|into|update|table)\s+((?:[\w`"]+\s*\.\s*)*[\w`"]+)""", re.IGNORECASE)
+
+
+def check_qualified(sql: str, protected: Iterable[str]) -> None:
+    """Raise if a statement names a protected table without the catalog or schema that it belongs to."""
+    names = {n.lower() for n in protected}
+    bare = {n.strip('`"').lower() for n in _NAMED.findall(sql) if "." not in n}
+    if bad := sorted(bare & names):
+        raise ValueError(f"tables without a schema: {', '.join(bad)}")

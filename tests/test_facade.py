@@ -119,3 +119,27 @@ def test_no_write_is_lost(spark, tmp_path):
     assert names() == {"a", "b", "d"}
     assert store.compact(2) == 5 and len(store.manifest()["banks"]) == 1
     assert names() == {"a", "b", "d"} and store.compact(2) is None
+
+
+def test_schemas_are_updated_and_archived(spark, tmp_path):
+    m = Memory(Store(spark, str(tmp_path)))
+    rows = [("b", "s1", 3, "active"), ("b", "s2", 4, "active"), ("c", "s1", 5, "active")]
+    m.put("schemas", spark.createDataFrame(rows, "bank_id string, schema_id string, evidence long, status string"))
+    m.update_schema("b", "s1", evidence=9)
+    m.archive_schema("b", "s2")
+    got = {(r.bank_id, r.schema_id): (r.evidence, r.status) for r in m.store.read("schemas").collect()}
+    assert got == {("b", "s1"): (9, "active"), ("b", "s2"): (4, "archived"), ("c", "s1"): (5, "active")}
+    assert [r.schema_id for r in m.list_schemas("b").collect()] == ["s1"]
+    for fields in ({"schema_id": "x"}, {"bank_id": "x"}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            m.update_schema("b", "s1", **fields)
+
+
+def test_protected_tables_need_a_schema():
+    from mnemospark.sources.tables import check_qualified
+
+    for sql in ("SELECT * FROM memory.units u JOIN `memory`.`links` USING (a)", "SELECT units FROM other", "INSERT INTO a.b.units VALUES (1)"):
+        check_qualified(sql, ["units", "links"])
+    for sql in ("select 1 from Units", "SELECT * FROM memory.units JOIN links l", "UPDATE `units` SET a = 1", "DELETE FROM links;"):
+        with pytest.raises(ValueError):
+            check_qualified(sql, ["units", "links"])
