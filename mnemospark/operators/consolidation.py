@@ -166,8 +166,8 @@ def clusters(rows: DataFrame, bank: str, id_: str, vector_column: str, cut: floa
 
     The method is sequential and quadratic, so a bank of more than ``most`` rows
     is dealt by id into buffers of about that size first. All are clustered, each
-    in a task of its own; what lies near in several buffers meets again when
-    clusters are matched with schemas.
+    in a task of its own; one cluster may come out in several buffers, which
+    ``match`` and ``reinforce`` bring together.
     """
     sizes = rows.groupBy(F.col(bank).alias("_bank")).agg(F.ceil(F.count(F.lit(1)) / most).alias("buffers"))
     last = rows.select(F.col(bank).alias("bank"), F.col(id_).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
