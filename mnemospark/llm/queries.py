@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat, decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from mnemospark.llm import audit, chat, decontaminate, html, licenses, line_dedup, near_dedup, packing, quality, rules, secrets, toxicity, vector_codes
 from mnemospark.llm.common import read, text_of
 
 
@@ -74,6 +74,18 @@ def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
@@ -85,4 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract": op8_extract,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_audit": op11_audit,
+    "op12_rules": op12_rules,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -93,10 +93,57 @@ SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup AS n_dup_lines, n_repe
         OR uppers / word_chars > 0.6 OR wordless / n > 0.3 OR different / sqrt(n) < 1.5) AS kept
 FROM b"""
 
+#: Every document judged by every filter, all orders of the filters, and what each step meets.
+AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+g AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails FROM w LEFT JOIN g ON g.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o.o || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o.o, f)),
+s AS (SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(o) = 5),
+t AS (SELECT *, ascii(substr(filter_order, step, 1)) - 64 AS f, list_transform(range(1, step), lambda k: ascii(substr(filter_order, k, 1)) - 64) AS earlier FROM s),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS bad, len(list_filter(earlier, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS n_fails FROM c, t),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND bad), 0) AS redundant, coalesce(sum(n) FILTER (bad AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND bad), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND bad), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round compares all parts with all entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT row, p, x, e, d FROM (SELECT *, row_number() OVER (PARTITION BY row, p ORDER BY d, e) AS place FROM (
+    SELECT c.row, c.p, c.x, b.e, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM c JOIN b{k} b USING (p))) WHERE place = 1)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM (
+        SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL) m USING (p, e))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS row, len(x) // {parts} AS wide FROM v),
+c AS MATERIALIZED (SELECT row, p, x[p * wide + 1:(p + 1) * wide] AS x FROM (SELECT *, unnest(range({parts})) AS p FROM n)),
+b0 AS MATERIALIZED (SELECT p, row - 1 AS e, x FROM c WHERE row <= {entries}),
+{",".join(steps)},
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(x, ',') AS t FROM b{rounds})),
+r AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM n JOIN r USING (row), h"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup("documents", "doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256"),
     "op3_licenses": licenses(),
     "op7_near_dedup": NEAR,
     "op9_chat": CHAT,
     "op10_quality": QUALITY,
+    "op11_audit": AUDIT,
+    "op13_vector_codes": vector_codes(),
 }
