@@ -111,9 +111,10 @@ def kept_text(text: Column, bitmap: Column) -> Column:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:
     """The documents with their repeated lines cut out of the text; columns as they were.
 
-    ``spare_copies``: a text of which no word would be left, or that would lose
-    half of its characters or more in at least ``COPY_LINES`` lines, is a copy of
-    others rather than a text with repeated lines, and stays whole. A passage of
+    ``spare_copies``: a text of which no word would be left stays whole, and so
+    does a copy: a text that would lose half of its characters or more in at
+    least ``COPY_LINES`` lines, and that is a near copy of another such text.
+    Texts that only share lines lose them, however many these are; a passage of
     fewer lines goes however much of its document it is.
     """
     bitmap = fresh("dropped", docs.columns)
@@ -121,7 +122,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     cleaned = fresh("cleaned", marked.columns)
     marked = marked.withColumn(cleaned, kept_text(text_of(marked, text), F.col(bitmap)))
     as_it_was = F.col(bitmap).isNull()
-    if spare_copies:
-        nothing_left = F.length(_stripped(F.col(cleaned))) == 0
-        as_it_was = as_it_was | nothing_left | ((n_dropped(F.col(bitmap)) >= COPY_LINES) & (2 * F.length(cleaned) <= F.length(f"`{text}`")))
-    return marked.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned)
+    if not spare_copies:
+        return marked.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned)
+    nothing_left = F.length(_stripped(F.col(cleaned))) == 0
+    mostly = ~as_it_was & ~nothing_left & (n_dropped(F.col(bitmap)) >= COPY_LINES) & (2 * F.length(cleaned) <= F.length(f"`{text}`"))
+    key = F.xxhash64(f"`{text}`")
+    copies, copy = copied_texts(marked.filter(mostly).select(F.col(f"`{text}`").alias("text"))), fresh("copy", marked.columns)
+    spared = marked.join(small(copies.withColumnRenamed("key", copy), 24), (key == F.col(copy)) & mostly, "left")
+    as_it_was = as_it_was | nothing_left | F.col(copy).isNotNull()
+    return spared.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned, copy)
+
+
+def copied_texts(texts: DataFrame) -> DataFrame:
+    """key, the hash of each text that occurs twice or is a near copy of another one."""
+    from mnemospark.llm import near_dedup
+
+    keyed = cut(texts.groupBy(F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")))
+    alike = cut(near_dedup.find(keyed, "key"))
+    groups = alike.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    near = alike.join(groups.select("component_id"), "component_id", "left_semi").select(F.col("doc_id").alias("key"))
+    return cut(keyed.filter("n > 1").select("key").union(near).distinct())

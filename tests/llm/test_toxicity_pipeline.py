@@ -160,6 +160,11 @@ def test_large_groups_of_copies_keep_one(spark, tmp_path):
     assert not any(r.text == "" or "Shared Footer" in r.text or (r.doc_id >= 300 and passage in r.text) for r in lines.collect())
     left = {r.doc_id: r.text for r in stage["near_dedup"](spark, lines, str(tmp_path)).collect()}
     assert [t for d, t in left.items() if d < 100] == [exact]
+    # Lines that texts share without being copies go, although they are most of each text.
+    common = [say(10) for _ in range(6)]
+    mixed = [(400 + k, "\n".join([*common, *(say(6) for _ in range(4))])) for k in range(30)] + [(500, None), (501, "")]
+    shared = stage["line_dedup"](spark, spark.createDataFrame(mixed, DOCS), str(tmp_path)).collect()
+    assert len(shared) == 32 and not any(x in (r.text or "") for r in shared for x in common) and all((r.text or "").count("\n") == 3 for r in shared if r.doc_id < 500)
     assert [t.split("\n")[:9] for d, t in left.items() if 100 <= d < 200] == [near] and len(left) == 26
 
 
