@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text, vector
+from mnemospark.operators.clustering import clusters, complete_linkage  # noqa: F401
 from mnemospark.operators.ranking import top_per
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -133,56 +134,6 @@ def conflicts(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return both.select(*on, "key", kind.alias("kind")).filter(F.col("kind").isNotNull())
 
 
-def complete_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of agglomerative clusters: complete linkage on cosine distance, cut at ``cut``."""
-    n = len(vectors)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    nearest = d.argmin(1)
-    gap = d[label, nearest]  # of each cluster to its nearest one; only a merge changes it
-    while True:
-        i = int(np.argmin(gap))
-        j = int(nearest[i])
-        if gap[i] > cut:  # also when one cluster is left, which has none
-            return label
-        i, j = min(i, j), max(i, j)
-        d[i] = np.maximum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        label[label == label[j]] = label[i]
-        again = np.flatnonzero((nearest == i) | (nearest == j) | np.isin(np.arange(n), (i, j)))
-        nearest[again] = d[again].argmin(1)
-        gap[again] = d[again, nearest[again]]
-
-
-def clusters(rows: DataFrame, bank: str, id_: str, vector_column: str, cut: float = 0.25, least: int = 3, most: int = 10_000) -> DataFrame:
-    """Clusters of each bank: bank, id, cluster (its smallest id).
-
-    The method is sequential and quadratic, so a bank of more than ``most`` rows
-    is dealt by id into buffers of about that size first. All are clustered, each
-    in a task of its own; one cluster may come out in several buffers, which
-    ``match`` and ``reinforce`` bring together.
-    """
-    sizes = rows.groupBy(F.col(bank).alias("_bank")).agg(F.ceil(F.count(F.lit(1)) / most).alias("buffers"))
-    last = rows.select(F.col(bank).alias("bank"), F.col(id_).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    last = last.join(sizes, F.col("bank").eqNullSafe(F.col("_bank"))).withColumn("buffer", F.pmod(F.xxhash64("id"), F.col("buffers"))).drop("_bank", "buffers")
-    kind = last.schema["bank"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        label = complete_linkage(np.array(pdf["v"].tolist(), float), cut)
-        pdf["cluster"] = pdf.groupby(label)["id"].transform("min")
-        return pdf[pdf.groupby("cluster")["id"].transform("size") >= least][["bank", "id", "cluster"]]
-
-    return last.groupBy("bank", "buffer").applyInPandas(run, f"bank {kind}, id long, cluster long")
-
-
 def match(clusters_: DataFrame, known: DataFrame, key: str, known_key: str, least: float = 0.85, block_rows: int = 2048) -> DataFrame:
     """The nearest known centroid of each cluster with a similarity of ``least``; null if there is none."""
     from mnemospark.operators.retrieval import vector_search

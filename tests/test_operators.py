@@ -1,11 +1,12 @@
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
+from mnemospark.operators import clustering, consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
 from mnemospark.streaming import sessions
 
 LINKS = "src string, dst string, type string, weight double"
@@ -100,13 +101,58 @@ def test_complete_linkage_against_all_pairs():
         assert max((d[x, y] for x in range(n) for y in range(n) if got[x] == got[y]), default=0) <= cut
 
 
-def test_a_large_bank_is_clustered_in_buffers(spark):
-    rows = [("b", k, [1.0, 0.001 * k] if k % 2 else [0.001 * k, 1.0]) for k in range(60)] + [("c", 100 + k, [1.0, 0.0]) for k in range(5)] + [(None, 200 + k, [1.0, 0.0]) for k in range(3)]
+def whole_bank(rows, cut, least=3):
+    """Clusters of each bank by the sequential method on all of its rows."""
+    out = {}
+    for bank in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == bank and r[2] is not None and any(r[2])), key=lambda r: r[1])
+        label = consolidation.complete_linkage(np.array([r[2] for r in own], float).reshape(len(own), -1), cut) if own else []
+        groups = {}
+        for r, x in zip(own, label, strict=True):
+            groups.setdefault(x, []).append(r[1])
+        out |= {(bank, i): min(g) for g in groups.values() if len(g) >= least for i in g}
+    return out
+
+
+def clustered(spark, rows, cut, most, **settings):
     df = spark.createDataFrame(rows, "bank string, id long, v array<double>")
-    got = consolidation.clusters(df, "bank", "id", "v", most=20).collect()
-    assert {r.id for r in got} == {r[1] for r in rows}  # none is left out
-    assert len({r.cluster for r in got if r.bank == "b"}) > 2 and all(r.cluster % 2 == r.id % 2 for r in got if r.bank == "b")
-    assert {r.cluster for r in got if r.bank == "c"} == {100}
+    got = consolidation.clusters(df, "bank", "id", "v", cut, most=most, **settings).collect()
+    assert len(got) == len({(r.bank, r.id) for r in got})
+    return {(r.bank, r.id): r.cluster for r in got}
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_clusters_do_not_depend_on_how_a_bank_is_dealt(spark, most):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    rows = [("b", k, (centres[k % 40] + 0.05 * rng.normal(size=12)).tolist()) for k in range(240)]  # 40 clusters of 6
+    got = clustered(spark, rows, 0.25, most)
+    assert len(got) == 240 and set(Counter(got.values()).values()) == {6} and got == whole_bank(rows, 0.25)
+
+
+@pytest.mark.parametrize("most, cell, block", [(1, 10, 8), (1000, 10, 8)])
+def test_clusters_against_the_whole_bank(spark, monkeypatch, most, cell, block):
+    """Ties, copies, chains, banks of all sizes, null banks and vectors; pairs by cells of ten."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(40, 4)).round(1)
+    v[30:] = v[:10]
+    rows = [("b", k, x.tolist()) for k, x in enumerate(v)] + [("c", k, [1.0, 0.0, 0.0, 0.0]) for k in range(5)] + [(None, 200 + k, x.tolist()) for k, x in enumerate(v[:15])]
+    rows += [("d", k, [float(np.cos(k / 9)), float(np.sin(k / 9)), 0.0, 0.0]) for k in range(25)] + [("e", 1, None), ("e", 2, [0.0] * 4), ("e", 3, [0.0] * 4), ("e", 4, [0.0] * 4)]
+    monkeypatch.setattr(clustering, "within", lambda points, cut, f=clustering.within: f(points, cut, cell, block))
+    assert clustered(spark, rows, 0.3, most) == whole_bank(rows, 0.3)
+    if most > 1:
+        assert clustered(spark, rows[:1], 0.3, most) == {} and clustered(spark, rows[:1], 0.3, most, least=1) == {("b", 0): 0}
+
+
+def test_pairs_within_the_cut_are_found_once(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    v = np.concatenate([centres[np.arange(600) % 12] + 0.2 * rng.normal(size=(600, 16))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if round(1 - float(u[i] @ u[j]), 9) <= 0.2}
+    points = spark.createDataFrame([("=b", k, x.tolist()) for k, x in enumerate(v)], "of string, node long, v array<double>")
+    got = [(r.a, r.b) for r in clustering.within(points, 0.2, cell=40, block=32).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_new_entity_links(spark):
