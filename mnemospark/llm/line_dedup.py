@@ -26,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import SPACE_CHARS, ascii_lower, cut, fresh, join_counted, small, text_of
+from mnemospark.llm.common import SPACE_CHARS, SPACE_CLASS, ascii_lower, cut, fresh, join_counted, small, text_of
 
 #: Repeated lines that make a text a copy, if half of it is in them.
 COPY_LINES = 5
+#: Groups that a text is compared in.
+SEEDS = 8
 
 
 def line_key(line: Column) -> Column:
@@ -127,18 +129,37 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     nothing_left = F.length(_stripped(F.col(cleaned))) == 0
     mostly = ~as_it_was & ~nothing_left & (n_dropped(F.col(bitmap)) >= COPY_LINES) & (2 * F.length(cleaned) <= F.length(f"`{text}`"))
     key = F.xxhash64(f"`{text}`")
-    copies, copy = copied_texts(marked.filter(mostly).select(F.col(f"`{text}`").alias("text"))), fresh("copy", marked.columns)
+    own = F.when(nothing_left, F.lit(0)).otherwise(F.length(cleaned))
+    pool = marked.filter(mostly | (~as_it_was & nothing_left)).select(F.col(f"`{text}`").alias("text"), own.alias("own"))
+    copies, copy = copied_texts(pool), fresh("copy", marked.columns)
     spared = marked.join(small(copies.withColumnRenamed("key", copy), 24), (key == F.col(copy)) & mostly, "left")
     as_it_was = as_it_was | nothing_left | F.col(copy).isNotNull()
     return spared.withColumn(text, F.when(as_it_was, F.col(f"`{text}`")).otherwise(F.col(cleaned))).drop(bitmap, cleaned, copy)
 
 
-def copied_texts(texts: DataFrame) -> DataFrame:
-    """key, the hash of each text that occurs twice or is a near copy of another one."""
-    from mnemospark.llm import near_dedup
+def copied_texts(texts: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """key, the hash of each text that occurs twice or is a near copy of another one, with DataFrame functions only.
 
-    keyed = cut(texts.groupBy(F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")))
-    alike = cut(near_dedup.find(keyed, "key"))
-    groups = alike.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    near = alike.join(groups.select("component_id"), "component_id", "left_semi").select(F.col("doc_id").alias("key"))
-    return cut(keyed.filter("n > 1").select("key").union(near).distinct())
+    ``texts``: text, and own (what no other text has of it, in characters). A text
+    stands in ``SEEDS`` groups, each by the least hash of its word shingles under
+    one seed; near copies miss all of them with a probability below 2e-5. Of each
+    group it is compared, on full sets, with the text that has least of its own,
+    which is what the others were copied from or is nearest to it. So a text makes
+    ``SEEDS`` pairs at most, however large its groups are.
+    """
+    words = F.array_remove(F.split(ascii_lower(F.col("text")), SPACE_CLASS + "+"), "")
+    one = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.first("text").alias("text")).withColumn("words", words)
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, width)))
+    sets = cut(one.filter(F.size("words") > 0).select("key", "n", "own", F.array_distinct(shingles).alias("set")))
+    least = F.explode(F.array(*(F.struct(F.lit(k).alias("seed"), F.array_min(F.transform("set", lambda h, k=k: F.xxhash64(F.lit(k), h))).alias("least")) for k in range(SEEDS))))
+    stand = cut(sets.select("key", "own", least.alias("g")).select("key", "own", "g.*"))
+    heads = cut(stand.groupBy("seed", "least").agg(F.min(F.struct("own", "key")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    pairs = join_counted(stand.select("seed", "least", "key"), heads, ["seed", "least"], "size", 64, ["key"]).select("key", F.col("head.key").alias("head")).filter("key <> head").distinct()
+    pairs = cut(pairs)
+    wanted = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
+    of_heads = cut(wanted.join(sets.select(F.col("key").alias("head"), F.col("set").alias("of_head")), "head"))
+    widest = of_heads.agg(F.max(F.size("of_head"))).first()[0] or 0
+    both = join_counted(pairs.join(sets.select("key", "set"), "key"), of_heads, ["head"], "size", 64 + 8 * widest, ["key"])
+    shared = F.size(F.array_intersect("set", "of_head"))
+    alike = cut(both.filter(100 * shared >= percent * (F.size("set") + F.size("of_head") - shared)).select("key", "head"))
+    return cut(sets.filter("n > 1").select("key").union(alike.select("key")).union(alike.select("head")).distinct())
