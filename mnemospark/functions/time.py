@@ -70,3 +70,44 @@ def overlaps(start: Column, end: Column, mentioned: Column, low: Column, high: C
     """A range that meets the window, or any of its dates inside it; false where all are null."""
     inside = [F.coalesce((c >= low) & (c <= high), F.lit(False)) for c in (mentioned, start, end)]
     return F.coalesce((start <= high) & (end >= low), F.lit(False)) | inside[0] | inside[1] | inside[2]
+
+
+#: A cell of the time tree has 2**32 microseconds (72 minutes); a node of the next level has 256 of the level below.
+CELL_BITS, LEVEL_BITS, LEVELS = 32, 8, 4
+
+
+def cell(at: Column) -> Column:
+    """The cell of the time tree that a timestamp is in."""
+    return F.shiftright(F.unix_micros(at), CELL_BITS)
+
+
+def above(cell_: Column) -> Column:
+    """The nodes (level, node) of the time tree that hold a cell, one of each level."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(cell_, k * LEVEL_BITS).alias("node")) for k in range(LEVELS)))
+
+
+def cover(first: Column, last: Column) -> Column:
+    """The fewest nodes of the time tree that hold the cells from ``first`` to ``last`` and no others; none if there are none.
+
+    Of the nodes of a level that lie between both, those are taken that no node
+    of the level above takes along.
+    """
+
+    def inside(level: int) -> tuple[Column, Column]:
+        bits = level * LEVEL_BITS
+        return F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(last + 1, bits) - 1
+
+    def nodes(level: int, low: Column, high: Column) -> Column:
+        made = F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+        return F.when(low <= high, made).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+
+    found = []
+    for level in range(LEVELS):
+        low, high = inside(level)
+        if level == LEVELS - 1:
+            found.append(nodes(level, low, high))
+            break
+        up, down = inside(level + 1)
+        some = up <= down
+        found += [nodes(level, low, F.when(some, F.shiftleft(up, LEVEL_BITS) - 1).otherwise(high)), nodes(level, F.when(some, F.shiftleft(down + 1, LEVEL_BITS)).otherwise(high + 1), high)]
+    return F.concat(*found)

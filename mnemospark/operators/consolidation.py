@@ -207,10 +207,31 @@ def promotion(schemas: DataFrame, shared: DataFrame, conflicts_: DataFrame) -> D
     return out.select("schema_id", "match", action.alias("action"))
 
 
+def detect_conflicts(new: DataFrame, shared: DataFrame, id_: str, vector_column: str, least: float = 0.85, most: int = 5) -> DataFrame:
+    """new_id, old_id and similarity of each new item and those of its ``most`` nearest shared ones that are ``least`` similar or more."""
+    from mnemospark.operators.retrieval import vector_search
+
+    found = vector_search(shared, new, id_, vector_column, most, least)
+    return found.select(F.col("query_id").alias("new_id"), F.col("item_id").alias("old_id"), F.col("score").alias("similarity"))
+
+
 def resolve_conflicts(pairs: DataFrame) -> DataFrame:
-    """replace, merge, keep or contradiction of a new and a stored item.
+    """What becomes of a new and a stored item that conflict: action, winner and loser.
+
+    A contradiction is won by the higher score, of equal ones by the later date
+    (a new item without a date is not later, a stored one without is earlier): the
+    new item enters with a link to the other, or the stored one is kept. Without
+    a contradiction a new item of at least the stored one's strength replaces it;
+    a weaker one is merged into it.
 
-    pairs: new_score, old_score, similarity, contradicts.
+    pairs: new_id, old_id, new_score, old_score, new_strength, old_strength,
+    new_at, old_at, contradicts; null scores and strengths are 0.
     """
-    action = F.when(F.col("contradicts"), "contradiction").when(F.col("similarity") >= 0.95, F.when(F.col("new_score") > F.col("old_score"), "replace").otherwise("keep")).otherwise("merge")
-    return pairs.withColumn("action", action)
+    score = [F.coalesce(f"{x}_score", F.lit(0.0)) for x in ("new", "old")]
+    strength = [F.coalesce(f"{x}_strength", F.lit(0.0)) for x in ("new", "old")]
+    later = F.col("new_at").isNotNull() & (F.col("old_at").isNull() | (F.col("new_at") > F.col("old_at")))
+    wins = F.when(score[0] != score[1], score[0] > score[1]).otherwise(F.coalesce(later, F.lit(False)))
+    contradicts = F.coalesce("contradicts", F.lit(False))
+    new_wins = F.when(contradicts, wins).otherwise(strength[0] >= strength[1])
+    action = F.when(contradicts, F.when(wins, "contradiction_link").otherwise("keep_existing")).otherwise(F.when(new_wins, "replace").otherwise("merge"))
+    return pairs.withColumns({"action": action, "winner": F.when(new_wins, F.col("new_id")).otherwise(F.col("old_id")), "loser": F.when(new_wins, F.col("old_id")).otherwise(F.col("new_id"))})

@@ -27,12 +27,48 @@ def near_in_time(left: DataFrame, right: DataFrame, bank: str, id_: str, ts: str
     return near.select("bank", "a", "b", F.col("u").alias("b_time"), F.abs(F.col("t") - F.col("u")).alias("gap"))
 
 
+def latest_within(new: DataFrame, existing: DataFrame, bank: str, id_: str, ts: str, seconds: float, most: int) -> DataFrame:
+    """For each new unit the latest ``most`` others of its bank within ``seconds``: bank, a, b, b_time, gap and rank.
+
+    Existing units are numbered by time within their bank: a place in their bin,
+    plus what the bins before hold. A new unit looks up how many there are up to
+    the end of its window, in the bin of that end; the latest are then those just
+    below that number, and are fetched by it. So a unit makes ``most`` + 1 rows,
+    however many units its window has, and a bank is dealt by its bins.
+    """
+    width = seconds / 24
+    t = scoring.seconds(F.col(ts))
+    b = existing.filter(F.col(ts).isNotNull()).select(F.col(bank).alias("bank"), F.col(id_).alias("b"), t.alias("u"))
+    b = b.withColumn("bin", F.floor(F.col("u") / width))
+    a = new.filter(F.col(ts).isNotNull()).select(F.col(bank).alias("bank"), F.col(id_).alias("a"), t.alias("t")).withColumn("bin", F.floor((F.col("t") + seconds) / width))
+    # Bins of a bank with a new unit's end count too: nothing may stand in them.
+    held = b.groupBy("bank", "bin").agg(F.count(F.lit(1)).alias("n")).unionByName(a.select("bank", "bin", F.lit(0).cast("long").alias("n")).distinct()).groupBy("bank", "bin").agg(F.sum("n").alias("n"))
+    before = held.withColumn("before", F.sum("n").over(Window.partitionBy("bank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    # Of equal times the greater id comes first, so that counting down meets the smaller one first.
+    rows = b.select("bank", "bin", F.col("u").alias("at"), F.lit(0).alias("probe"), F.col("b").alias("id"), F.col("u").alias("own"))
+    rows = rows.unionByName(a.select("bank", "bin", (F.col("t") + seconds).alias("at"), F.lit(1).alias("probe"), F.col("a").alias("id"), F.col("t").alias("own")))
+    w = Window.partitionBy("bank", "bin").orderBy("at", "probe", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("place", F.sum(1 - F.col("probe")).over(w)).join(before, ["bank", "bin"]).withColumn("place", F.col("place") + F.col("before"))
+    numbered = placed.filter("probe = 0").select("bank", "place", F.col("id").alias("b"), F.col("own").alias("u"))
+    asked = placed.filter("probe = 1").select("bank", F.col("id").alias("a"), F.col("own").alias("t"), F.explode(F.sequence(F.col("place") - most, F.col("place"))).alias("place"))
+    near = asked.join(numbered, ["bank", "place"]).withColumn("gap", F.abs(F.col("t") - F.col("u"))).filter((F.col("gap") <= seconds) & (F.col("a") != F.col("b")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bank", "a", "t").orderBy(F.desc("u"), "b")))
+    return ranked.filter(F.col("rank") <= most).select("bank", "a", "b", F.col("u").alias("b_time"), "gap", "rank")
+
+
 def temporal_links(new: DataFrame, existing: DataFrame, bank: str, id_: str, ts: str, hours: float = 24, most: int = 10) -> DataFrame:
     """Links to the latest ``most`` units within ``hours``; weight max(0.3, 1 - gap / window)."""
-    near = near_in_time(new, existing, bank, id_, ts, hours * 3600)
+    near = latest_within(new, existing, bank, id_, ts, hours * 3600, most)
     weight = F.greatest(F.lit(0.3), 1 - F.col("gap") / (hours * 3600))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("bank", "a").orderBy(F.desc("b_time"), "b")))
-    return ranked.filter(F.col("rank") <= most).select("a", "b", F.lit("temporal").alias("type"), weight.alias("weight"))
+    return near.select("a", "b", F.lit("temporal").alias("type"), weight.alias("weight"))
+
+
+def semantic_links(new: DataFrame, existing: DataFrame, bank: str, id_: str, vector: str, most: int = 5, least: float = 0.7) -> DataFrame:
+    """Links of new units to the ``most`` units of their bank with a dot product of ``least`` or more, which is the weight."""
+    from mnemospark.operators.retrieval import vector_search
+
+    found = vector_search(existing, new, id_, vector, most, least, bank=bank, metric="dot")
+    return found.select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), F.lit("semantic").alias("type"), scoring.clamp(F.col("score")).alias("weight"))
 
 
 def temporal_pairs(new: DataFrame, bank: str, id_: str, ts: str, hours: float = 24) -> DataFrame:

@@ -18,7 +18,7 @@ BLOCK = 2048
 GROUPS = 64
 #: Bytes of query vectors that go to every worker; more are searched block against block.
 QUERY_BYTES = 24 << 20
-#: Keyword queries and time windows that go to every worker at once; more take further passes.
+#: Keyword queries that go to every worker at once; more take further passes.
 QUERIES_AT_ONCE = 4096
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 
@@ -148,12 +148,13 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
     document and query, so queries go to the workers as an index from token to
     queries, ``at_once`` of them a pass, and each batch of documents yields at
     most ``k`` rows a query. With ``bank``, a column of both sides, a query meets
-    the documents of its bank. Columns: query_id, doc_id, score, rank. No token:
-    no result.
+    the documents of its bank. Columns: query_id, doc_id (as in ``docs``), score,
+    rank. No token: no result.
     """
     of = "''" if bank is None else f"cast(`{bank}` AS string)"
     wanted = queries.selectExpr(f"{of} AS bank", f"cast(`{query_id}` AS bigint) AS id", f"`{query_text}` AS text")
-    source = docs.selectExpr(f"{of} AS bank", f"cast(`{doc_id}` AS bigint) AS id", f"`{doc_text}` AS text")
+    kind = docs.schema[doc_id].dataType
+    source = docs.selectExpr(f"{of} AS bank", f"cast(`{doc_id}` AS string) AS id", f"`{doc_text}` AS text")
     found = None
     for part in _passes(wanted, "id", at_once or QUERIES_AT_ONCE):
         index: dict[str, tuple[list[int], dict[str, list[int]]]] = {}
@@ -163,7 +164,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
                 tokens.setdefault(t, []).append(len(ids))
             ids.append(r["id"])
         index = {b: (ids, {t: np.array(x, np.int32) for t, x in tokens.items()}) for b, (ids, tokens) in index.items()}
-        hits = source.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(index), k), "query_id long, doc_id long, hits long")
+        hits = source.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(index), k), "query_id long, doc_id string, hits long").withColumn("doc_id", F.col("doc_id").cast(kind))
         found = hits if found is None else found.unionByName(hits)
     return top_per(found, ["query_id"], [F.col("hits").desc(), F.col("doc_id")], k).select("query_id", "doc_id", (F.col("hits") / 10).alias("score"), "rank")
 
@@ -181,34 +182,58 @@ def _hits(shared, k: int):
                 if met:
                     rows.setdefault(b, []).append((i, np.bincount(np.concatenate(met), minlength=len(ids)).astype(np.int32)))
             for b, found in rows.items():
-                docs_, s = np.array([i for i, _ in found], np.int64), np.stack([n for _, n in found])
-                order = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -s), axis=0)[:k]
+                docs_, s = np.array([i for i, _ in found], object), np.stack([n for _, n in found])
+                order = np.lexsort((np.broadcast_to(_places(docs_.tolist())[:, None], s.shape), -s), axis=0)[:k]
                 best = np.take_along_axis(s, order, 0)
                 at, query = np.nonzero(best)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(index[b][0], np.int64)[query]), pa.array(docs_[order[at, query]]), pa.array(best[at, query].astype(np.int64))], ["query_id", "doc_id", "hits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(index[b][0], np.int64)[query]), pa.array(docs_[order[at, query]], pa.string()), pa.array(best[at, query].astype(np.int64))], ["query_id", "doc_id", "hits"])
 
     return run
 
 
-def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str, bank: str | None = None, at_once: int | None = None) -> DataFrame:
+def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, start: str, end: str, mentioned: str, bank: str | None = None) -> DataFrame:
     """The ``k`` latest units that meet each query's window (query_id, low, high), with their proximity.
 
-    A unit's ranges have no bound that a join could deal them by, so windows go
-    to every task, ``at_once`` of them a pass. With ``bank``, a column of both
-    sides, a query meets the units of its bank.
+    Time is a tree (``time.cover``), and units and windows meet by equality
+    on (bank, node), so one pass serves any number of windows:
+
+    - a date inside the window's whole cells: every date stands at the nodes
+      above it, the window asks the few nodes that cover it;
+    - a range that began before the window and ends after its start: the range
+      stands at the few nodes that cover it, the window asks those above its start;
+    - dates and ends of ranges in the two cells that hold the window's own ends
+      are compared with it as they are.
+
+    A node keeps its ``k`` latest units only, which loses nothing, as a window
+    takes a node whole. So a long window in a large bank meets ``k`` rows for each
+    of its nodes. With ``bank``, a column of both sides, a query meets the units
+    of its bank. A window without an end, or that ends before it begins, meets none.
     """
-    best = F.coalesce(F.col(start), F.col(mentioned), F.col(end))
-    met, extra = None, [] if bank is None else [F.col(bank).alias("asked_bank")]
-    for part in _passes(queries, "query_id", at_once or QUERIES_AT_ONCE):
-        meets = time.overlaps(F.col(start), F.col(end), F.col(mentioned), F.col("low"), F.col("high"))
-        if bank is not None:
-            meets = (F.col(bank) == F.col("asked_bank")) & meets
-        some = units.join(F.broadcast(part.select("query_id", "low", "high", *extra)), meets)
-        met = some if met is None else met.unionByName(some)
-    proximity = scoring.window_proximity(scoring.seconds(best), scoring.seconds(F.col("low")), scoring.seconds(F.col("high")))
-    rows = met.select("query_id", F.col(id_).alias("unit_id"), best.alias("best"), proximity.alias("proximity"))
-    return top_per(rows, ["query_id"], [F.col("best").desc(), F.col("unit_id")], k)
+    of = lambda c: F.lit("") if bank is None else F.col(c).cast("string")
+    u = units.select(of(bank).alias("of"), F.col(id_).alias("unit_id"), F.coalesce(start, mentioned, end).alias("best"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(mentioned).alias("m"))
+    cells = F.array_distinct(F.filter(F.array(*(time.cell(F.col(c)) for c in "mse")), lambda c: c.isNotNull()))
+    q = queries.filter(F.col("low") <= F.col("high")).select(of(bank).alias("of"), "query_id", "low", "high")
+    first, last = time.cell(F.col("low")), time.cell(F.col("high"))
+    late = [F.col("best").desc(), F.col("unit_id")]
+    at, node = ["of", "level", "node"], ["of", "unit_id", "best", F.explode("nodes").alias("n")]
+
+    points = u.filter(F.size(cells) > 0).select("of", "unit_id", "best", F.explode(cells).alias("cell"))
+    points = top_per(points, ["of", "cell"], late, k).select("of", "unit_id", "best", time.above(F.col("cell")).alias("nodes")).select(*node).select("of", "unit_id", "best", "n.*").distinct()
+    points = top_per(points, at, late, k).drop("rank")
+    inside = q.select("query_id", "low", "high", "of", F.explode(time.cover(first + 1, last - 1)).alias("n")).select("query_id", "low", "high", "of", "n.*")
+
+    ranges = u.filter(F.col("s") < F.col("e")).withColumn("nodes", time.cover(time.cell(F.col("s")) + 1, time.cell(F.col("e")) - 1))
+    ranges = top_per(ranges.select(*node).select("of", "unit_id", "best", "n.*"), at, late, k).drop("rank")
+    begun = q.select("query_id", "low", "high", "of", F.explode(time.above(first)).alias("n")).select("query_id", "low", "high", "of", "n.*")
+
+    edges = q.select("query_id", "low", "high", "of", F.explode(F.array_distinct(F.array(first, last))).alias("cell"))
+    beside = edges.join(u.select("*", F.explode(cells).alias("cell")), ["of", "cell"]).filter(time.overlaps(F.col("s"), F.col("e"), F.col("m"), F.col("low"), F.col("high")))
+    shown = ["query_id", "low", "high", "unit_id", "best"]
+    met = inside.join(points, at).select(*shown).unionByName(begun.join(ranges, at).select(*shown)).unionByName(beside.select(*shown))
+    # Every way's own k latest are enough, and a unit counts once however many ways it came.
+    proximity = scoring.window_proximity(scoring.seconds(F.col("best")), scoring.seconds(F.col("low")), scoring.seconds(F.col("high")))
+    return top_per(met.distinct().select("query_id", "unit_id", "best", proximity.alias("proximity")), ["query_id"], late, k)
 
 
 def tag_filter(rows: DataFrame, tags: str, wanted: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring, text, vector
@@ -14,6 +14,15 @@ from mnemospark.operators import consolidation, entities, graph, lifecycle, link
 from mnemospark.sources.store import KEYS, Store, trace, tracked_documents
 
 
+#: Banks that a recall names in a filter, so that only their folders are listed; more are joined.
+MOST_BANKS = 1000
+
+
+def _node(bank: str, id_: str) -> Column:
+    """A unit's name in a graph of many banks; the bank's length keeps two pairs from having one name."""
+    return F.concat(F.length(bank).cast("string"), F.lit(":"), F.col(bank), F.col(id_))
+
+
 class Memory:
     """The engine's user operations. Rows of many banks and queries are worked on at once."""
 
@@ -74,9 +83,11 @@ class Memory:
         return found.select(F.col("query_id").alias("unit_id"), F.col("score").alias("nearest"))
 
     def _new_links(self, units: DataFrame, said: DataFrame) -> DataFrame:
-        """Time links of new units to all and entity links to the latest ones, as rows of the links table."""
+        """Links of new units as rows of the links table: time and similarity to all of their bank, entity links to the latest ones."""
         all_units = self.store.read("units").select("unit_id", "bank_id", "event_date").unionByName(units.select("unit_id", "bank_id", "event_date"))
-        t = links.temporal_links(units, all_units, "bank_id", "unit_id", "event_date").withColumn("entity", F.lit(None).cast("string"))
+        t = links.temporal_links(units, all_units, "bank_id", "unit_id", "event_date")
+        vectors = self.store.read("units").select("unit_id", "bank_id", "embedding").unionByName(units.select("unit_id", "bank_id", "embedding"))
+        t = t.unionByName(links.semantic_links(units, vectors, "bank_id", "unit_id", "embedding")).withColumn("entity", F.lit(None).cast("string"))
         # The latest units of an entity are those mentioned last, then those of the latest date.
         latest = [F.desc_nulls_last("mentioned_at"), F.desc_nulls_last("event_date"), F.col("unit_id")]
         dated = lambda names, rows: names.select("unit_id", "entity_id").join(rows.select("unit_id", "mentioned_at", "event_date"), "unit_id")
@@ -89,27 +100,33 @@ class Memory:
         return self.hooks.run("recall", {"mode": mode, "budget": budget}, lambda: self._recall(queries, mode, budget, now or datetime.now(timezone.utc)))
 
     def _recall(self, queries: DataFrame, mode: str, budget: int, now: datetime) -> DataFrame:
-        units = self.store.read("units")
-        key = units.select("unit_id", "bank_id", "text", "embedding", "event_date", F.xxhash64("unit_id").alias("n")).checkpoint()
         asked = queries.withColumn("embedding", self.embedder.column(F.col("query"))).checkpoint()
+        # Only the folders of the banks that are asked are read. A unit is known by its bank and its id.
+        banks = [r["bank_id"] for r in asked.select("bank_id").distinct().filter("bank_id is not null").limit(MOST_BANKS + 1).collect()]
+
+        def of_banks(name: str) -> DataFrame:
+            rows = self.store.read(name)
+            return rows.filter(F.col("bank_id").isin(banks)) if len(banks) <= MOST_BANKS else rows.join(asked.select("bank_id").distinct(), "bank_id", "left_semi")
+
+        key = of_banks("units").select("unit_id", "bank_id", "text", "embedding", "event_date", _node("bank_id", "unit_id").alias("n"))
 
         def best(found: DataFrame) -> DataFrame:
             return ranking.top_per(found, ["query_id"], [F.desc("score"), F.col("n")], budget).select("query_id", "n", "score", "rank")
 
         # Every channel counts hits of the query's own bank only.
         v = retrieval.vector_search(key, asked, "n", "embedding", budget, SIMILARITY_THRESHOLD[mode] / 2, "query_id", exclude_same=False, bank="bank_id")
-        v = best(v.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("n"), "score"))
+        v = best(v.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").alias("n"), "score")).checkpoint()
         w = best(retrieval.keyword_search(key, asked, budget, "n", "text", "query_id", "query", bank="bank_id").select("query_id", F.col("doc_id").alias("n"), "score"))
         window = self.analyzer.window(F.col("query"), F.lit(now).cast("timestamp"))
         dated = asked.select("query_id", "bank_id", window.alias("w")).filter("w is not null").select("query_id", "bank_id", F.col("w.start").cast("timestamp").alias("low"), (F.col("w.end").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("high"))
         none = F.lit(None).cast("timestamp")
         t = retrieval.temporal_entries(key.withColumns({"s": none, "e": none}), dated, 10, "n", "s", "e", "event_date", bank="bank_id")
-        t = best(t.select("query_id", F.col("unit_id").alias("n"), F.col("proximity").alias("score")))
-        edges = self.store.read("links").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "type", "weight")
+        t = best(t.select("query_id", F.col("unit_id").alias("n"), F.col("proximity").alias("score"))).checkpoint()
+        edges = of_banks("links").select(_node("bank_id", "src").alias("src"), _node("bank_id", "dst").alias("dst"), "type", "weight")
         g = best(self.graphs.strategies[self.graphs.default](v.select("query_id", F.col("n").alias("node"), "score"), edges, mode).select("query_id", F.col("node").alias("n"), "score"))
         fused = ranking.normalise(ranking.rrf([v, w, g, t], ["query_id"], "n"), ["query_id"], "rrf", "rrf_norm")
-        rows = fused.join(key.drop("embedding", "bank_id"), "n").join(asked.select("query_id", "query"), "query_id")
-        rows = rows.join(self.store.read("dictionary").filter("status = 'active'").select(F.col("engram_id").alias("unit_id"), "strength", "tags", *DIMENSIONS), "unit_id", "left")
+        rows = fused.join(key.drop("embedding"), "n").join(asked.select("query_id", "query"), "query_id")
+        rows = rows.join(of_banks("dictionary").filter("status = 'active'").select("bank_id", F.col("engram_id").alias("unit_id"), "strength", "tags", *DIMENSIONS), ["bank_id", "unit_id"], "left")
         rows = rows.join(t.select("query_id", "n", F.col("score").alias("near")), ["query_id", "n"], "left").filter(F.coalesce("strength", F.lit(0.5)) >= STRENGTH_FLOOR[mode])
         rows = rows.withColumn("rerank", scoring.sigmoid(self.reranker.column(F.col("query"), rerank_text(F.col("text"), F.lit(""), F.col("event_date")))))
         strength = F.coalesce("strength", F.lit(0.5))

@@ -193,14 +193,25 @@ SELECT entity, count(*) AS n_links, sum(a)::BIGINT AS ends FROM p GROUP BY entit
 
 
 def resolved_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """replace, merge, keep or contradiction for each event."""
-    i = F.col("event_id")
-    pairs = table(spark, sf_dir, "events").select("event_id", share(i, 19).alias("new_score"), share(i, 47).alias("old_score"), share(i, 59).alias("similarity"), (i % 13 == 0).alias("contradicts"))
-    return consolidation.resolve_conflicts(pairs).select("event_id", "action")
-
-
-RESOLVED = """
-SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'contradiction' WHEN event_id * 59 % 101 < 95 THEN 'merge' WHEN event_id * 19 % 101 > event_id * 47 % 101 THEN 'replace' ELSE 'keep' END AS action FROM events"""
+    """Conflicts of every hundredth vector with the rest, as of the stored items of the same ids; another label contradicts."""
+    e = table(spark, sf_dir, "embeddings")
+    new = F.col("vec_id") % EVERY == 0
+    found = consolidation.detect_conflicts(e.filter(new), e.filter(~new), "vec_id", "embedding", 0.2)
+    says = engrams(spark, sf_dir).join(e.select(F.col("vec_id").alias("engram_id"), "label"), "engram_id").select(F.col("engram_id").cast("string").alias("id"), "overall", "strength", F.col("ts").alias("at"), "label")
+    of = lambda x: says.select(F.col("id").alias(f"{x}_id"), F.col("overall").alias(f"{x}_score"), F.col("strength").alias(f"{x}_strength"), F.col("at").alias(f"{x}_at"), F.col("label").alias(f"{x}_label"))
+    pairs = found.join(of("new"), "new_id").join(of("old"), "old_id").withColumn("contradicts", ~F.col("new_label").eqNullSafe(F.col("old_label")))
+    done = consolidation.resolve_conflicts(pairs)
+    return done.select(F.col("new_id").cast("long").alias("new_id"), F.col("old_id").cast("long").alias("old_id"), "action", F.col("winner").cast("long").alias("winner"))
+
+
+RESOLVED = f"""
+WITH {ENGRAMS}, v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS new_id, i.vec_id AS old_id, q.label IS DISTINCT FROM i.label AS contradicts, list_cosine_similarity(q.e, i.e) AS s FROM v q JOIN v i ON q.vec_id % {EVERY} = 0 AND i.vec_id % {EVERY} <> 0),
+p AS (SELECT * FROM s WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(s, 9) DESC, old_id) <= 5),
+j AS (SELECT p.*, CASE WHEN contradicts THEN a.overall > b.overall OR (a.overall = b.overall AND a.ts > b.ts) ELSE a.strength >= b.strength END AS wins
+    FROM p JOIN engrams a ON a.engram_id = new_id JOIN engrams b ON b.engram_id = old_id)
+SELECT new_id, old_id, CASE WHEN contradicts THEN CASE WHEN wins THEN 'contradiction_link' ELSE 'keep_existing' END WHEN wins THEN 'replace' ELSE 'merge' END AS action,
+    CASE WHEN wins THEN new_id ELSE old_id END AS winner FROM j"""
 
 
 def schema_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:

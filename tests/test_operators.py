@@ -64,6 +64,82 @@ def test_temporal_links_cap(spark):
     assert sorted(r.b for r in got) == list(range(15, 25)) and min(r.weight for r in got) == 0.3
 
 
+def test_latest_within_writes_few_rows(spark):
+    """Ties, both ends of the window, several banks, and a bin that holds most units."""
+    rng = np.random.default_rng(9)
+    at = datetime(2024, 1, 1)
+    rows = [("b", k, at + timedelta(minutes=int(m))) for k, m in enumerate(rng.integers(0, 4000, 300))] + [("c", 900, at), ("c", 901, at + timedelta(hours=24)), ("c", 902, at + timedelta(hours=48, seconds=1))]
+    rows += [("d", 1000 + k, at + timedelta(seconds=k % 5)) for k in range(200)] + [("d", 5000, None)]
+    df = spark.createDataFrame(rows, "bank string, id long, ts timestamp")
+    got = {}
+    for r in links.latest_within(df, df, "bank", "id", "ts", 86400, 10).collect():
+        got.setdefault((r.bank, r.a), []).append((r["rank"], r.b))
+    for b, i, t in rows:
+        near = sorted((x for x in rows if t and x[2] and x[0] == b and x[1] != i and abs((x[2] - t).total_seconds()) <= 86400), key=lambda x: (-x[2].timestamp(), x[1]))[:10]
+        assert [x for _, x in sorted(got.get((b, i), []))] == [x[1] for x in near]
+    many = spark.range(20_000).select(F.lit("b").alias("bank"), "id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 3000).alias("ts"))
+    assert links.latest_within(many, many, "bank", "id", "ts", 86400, 10).count() == 200_000
+
+
+def test_time_windows_against_all_units(spark):
+    """Very long and very short ranges, single dates, open and reversed ones, and windows from a moment to centuries."""
+    rng = np.random.default_rng(10)
+    zero = datetime(2020, 1, 1)
+    when = lambda hours: zero + timedelta(microseconds=int(hours * 3.6e9))
+    units = []
+    for k in range(400):
+        a, span = float(rng.uniform(-90_000, 90_000)), float(10 ** rng.uniform(-4, 5))
+        kind = rng.integers(0, 6)
+        start, end = (when(a) if kind != 1 else None), (when(a + span) if kind not in (0, 2) else None)
+        if kind == 5:
+            start, end = end, start
+        units.append(("bc"[k % 2], k, start, end, when(a + 7) if kind in (1, 2) else None))
+    units += [("b", 900, None, None, None), ("b", 901, when(-1e5), when(1e5), None), ("b", 902, when(5.0), when(5.0), None)]
+    windows = [("b", 0, when(-2e5), when(2e5)), ("c", 1, when(5.0), when(5.0)), ("b", 2, when(4.9), when(5.1)), ("b", 3, when(9), when(8)), ("b", 4, None, when(8)), ("b", 5, when(5.0), when(5.0))]
+    windows += [("bc"[k % 2], k, when(a), when(a + 10 ** rng.uniform(-3, 4.5))) for k, a in enumerate(rng.uniform(-90_000, 90_000, 40), 10)]
+    u = spark.createDataFrame(units, "bank string, id long, s timestamp, e timestamp, m timestamp")
+    q = spark.createDataFrame(windows, "bank string, query_id long, low timestamp, high timestamp")
+    found = retrieval.temporal_entries(u, q, 7, "id", "s", "e", "m", bank="bank")
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.unit_id))
+    for bank, k, low, high in windows:
+        inside = lambda t: t is not None and low <= t <= high  # noqa: E731, B023
+        met = [x for x in units if x[0] == bank and low and low <= high and (x[2] and x[3] and x[2] <= high and x[3] >= low or inside(x[2]) or inside(x[3]) or inside(x[4]))]
+        met.sort(key=lambda x: (-(x[2] or x[4] or x[3]).timestamp(), x[1]))
+        assert [i for _, i in sorted(got.get(k, []))] == [x[1] for x in met[:7]], k
+
+
+def test_semantic_links_of_a_bank(spark):
+    df = spark.createDataFrame([("b", "x", [1.0, 0.0]), ("b", "y", [0.8, 0.6]), ("b", "z", [0.0, 1.0]), ("c", "w", [1.0, 0.0])], "bank string, id string, v array<double>")
+    got = {(r.a, r.b): round(r.weight, 6) for r in links.semantic_links(df.filter("id in ('x', 'w')"), df, "bank", "id", "v").collect()}
+    assert got == {("x", "y"): 0.8}
+
+
+@pytest.mark.parametrize(
+    "new_score, old_score, new_strength, old_strength, new_day, old_day, contradicts, action, winner",
+    [
+        (0.9, 0.4, 0.1, 0.9, 1, 2, True, "contradiction_link", "n"),
+        (0.4, 0.9, 0.9, 0.1, 2, 1, True, "keep_existing", "o"),
+        (0.5, 0.5, 0.0, 0.9, 2, 1, True, "contradiction_link", "n"),
+        (0.5, 0.5, 0.9, 0.0, 1, 1, True, "keep_existing", "o"),
+        (None, 0.0, 0.9, 0.0, None, 1, True, "keep_existing", "o"),
+        (0.5, 0.5, 0.9, 0.0, 1, None, True, "contradiction_link", "n"),
+        (0.1, 0.9, 0.9, 0.1, 1, 2, False, "replace", "n"),
+        (0.1, 0.9, 0.5, 0.5, 1, 2, False, "replace", "n"),
+        (0.9, 0.1, 0.1, 0.9, 2, 1, False, "merge", "o"),
+        (0.9, 0.1, None, None, 2, 1, None, "replace", "n"),
+    ],
+)
+def test_conflicts(spark, new_score, old_score, new_strength, old_strength, new_day, old_day, contradicts, action, winner):
+    at = lambda d: d and datetime(2024, 1, d)
+    pair = [("n", "o", new_score, old_score, new_strength, old_strength, at(new_day), at(old_day), contradicts)]
+    (r,) = consolidation.resolve_conflicts(spark.createDataFrame(pair, "new_id string, old_id string, new_score double, old_score double, new_strength double, old_strength double, new_at timestamp, old_at timestamp, contradicts boolean")).collect()
+    assert (r.action, r.winner, r.loser) == (action, winner, "no".replace(winner, ""))
+
+
 def test_cohesion_is_the_mean_of_pairs(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(9, 5))
