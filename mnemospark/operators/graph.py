@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.constants import CAUSAL_BOOST, DEPTH, LINK_POLICY, PATTERNS, PUSH_THRESHOLD, PUSH_TOP_K, SEEDS
 from mnemospark.operators.ranking import top_per
+from mnemospark.session import checkpointed
 
 ALPHA = 0.15
 
@@ -23,36 +24,54 @@ def neighbours(links: DataFrame, fan: int = 20, least: float = 0.1) -> DataFrame
     return near.select("src", "dst", "type", "weight", (F.col("weight") / total).alias("share"))
 
 
-def push(seeds: DataFrame, links: DataFrame, pattern: tuple[str, ...], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
-    """Forward push along one pattern of edge types: query_id, node, mass.
+def walk(seeds: list[DataFrame], links: DataFrame, patterns: list[tuple[int, tuple[str, ...]]], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
+    """Forward push along several patterns of edge types at once: query_id, pattern (its number), node, mass.
+
+    ``seeds``: frames of query_id, node and score; ``patterns``: the number of a
+    pattern's seeds, and its types. Seed scores are brought to a sum of one per
+    query. On each hop a node whose mass reaches the threshold keeps ``alpha`` of
+    it and pushes the rest over its edges; below the threshold a node neither
+    keeps nor pushes. What stands on the frontier at the end is added.
 
-    Seed scores are brought to a sum of one per query. On each hop a node whose
-    mass reaches the threshold keeps ``alpha`` of it and pushes the rest over
-    its edges; below the threshold a node neither keeps nor pushes. What stands
-    on the frontier at the end is added.
+    Patterns share their first hops: the frontier is a table with a column for
+    the prefix it has come along, and a hop is one join with the links, which are
+    ranked once, whatever the number of patterns. The walk stops where the
+    frontier is empty.
     """
-    near = neighbours(links, fan)
+    near = checkpointed(neighbours(links, fan).select("src", "type", "dst", "share"))
+    prefixes = sorted({(s, p[:k]) for s, p in patterns for k in range(len(p) + 1)})
+    number = {x: n for n, x in enumerate(prefixes)}
+    spark = links.sparkSession
+    on = F.broadcast(spark.createDataFrame([(number[s, p[:-1]], p[-1], number[s, p]) for s, p in prefixes if p], "at int, hop string, to int"))
+    says = F.broadcast(spark.createDataFrame([(number[s, p[:k]], n, 1.0 if k == len(p) else alpha) for n, (s, p) in enumerate(patterns) for k in range(len(p) + 1)], "at int, pattern int, share double"))
     w = Window.partitionBy("query_id")
     total = F.sum("score").over(w)
     mass = F.when(total == 0, 1 / F.count(F.lit(1)).over(w)).otherwise(F.col("score") / total)
-    frontier, kept = seeds.select("query_id", "node", mass.alias("mass")), []
-    for hop in pattern:
-        active = frontier.filter(F.col("mass") >= threshold)
-        kept.append(active.select("query_id", "node", (F.col("mass") * alpha).alias("mass")))
-        edges = near.filter(F.col("type") == hop).select(F.col("src").alias("node"), "dst", "share")
-        pushed = active.join(edges, "node").select("query_id", F.col("dst").alias("node"), (F.col("mass") * (1 - alpha) * F.col("share")).alias("mass"))
-        frontier = pushed.groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
-    kept.append(frontier.filter(F.col("mass") >= threshold) if pattern else frontier)
-    return reduce(DataFrame.unionByName, kept).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
+    first = [x.select("query_id", F.lit(number[n, ()]).alias("at"), "node", mass.alias("mass")) for n, x in enumerate(seeds) if (n, ()) in number]
+    frontier = checkpointed(reduce(DataFrame.unionByName, first).filter(F.col("mass") >= threshold))
+    reached = [frontier]
+    for _ in range(max((len(p) for _, p in patterns), default=0)):
+        step = frontier.join(on, "at").join(near.withColumnRenamed("share", "part"), (F.col("node") == F.col("src")) & (F.col("hop") == F.col("type")))
+        step = step.groupBy("query_id", F.col("to").alias("at"), F.col("dst").alias("node")).agg(F.sum(F.col("mass") * (1 - alpha) * F.col("part")).alias("mass"))
+        frontier = checkpointed(step.filter(F.col("mass") >= threshold))
+        if frontier.isEmpty():
+            break
+        reached.append(frontier)
+    return reduce(DataFrame.unionByName, reached).join(says, "at").groupBy("query_id", "pattern", "node").agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
+
+
+def push(seeds: DataFrame, links: DataFrame, pattern: tuple[str, ...], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
+    """``walk`` along one pattern: query_id, node, mass."""
+    return walk([seeds], links, [(0, pattern)], threshold, alpha, fan).drop("pattern")
 
 
 def pattern_search(semantic: DataFrame, temporal: DataFrame | None, links: DataFrame, mode: str = "default", budget: int = 50, k: int = 60) -> DataFrame:
-    """All patterns of a mode in one plan, fused by reciprocal rank: query_id, node, score, rank."""
+    """All patterns of a mode in one walk, fused by reciprocal rank: query_id, node, score, rank."""
     patterns = PATTERNS[mode]
     threshold, most = PUSH_THRESHOLD.get(mode, 1e-6), PUSH_TOP_K.get(mode, 50)
-    runs = [(semantic, p) for p in patterns[0]] + ([(temporal, p) for p in patterns[1]] if temporal is not None else [])
-    rows = [push(s, links, p, threshold).withColumn("pattern", F.lit(n)) for n, (s, p) in enumerate(runs)]
-    ranked = reduce(DataFrame.unionByName, rows).withColumn("place", F.row_number().over(Window.partitionBy("query_id", "pattern").orderBy(F.round("mass", 12).desc(), "node")))
+    runs = [(0, p) for p in patterns[0]] + ([(1, p) for p in patterns[1]] if temporal is not None else [])
+    rows = walk([semantic] if temporal is None else [semantic, temporal], links, runs, threshold)
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "pattern").orderBy(F.round("mass", 12).desc(), "node")))
     fused = ranked.groupBy("query_id", "node").agg(F.sum(1.0 / (k + F.col("place"))).alias("score"))
     return top_per(fused, ["query_id"], [F.round("score", 12).desc(), F.col("node")], min(budget, most))
 
@@ -70,13 +89,13 @@ def spread(entries: DataFrame, links: DataFrame, decay: float = 0.8, least: floa
     walk without a budget; the budget then takes the strongest, ties by node.
     """
     reached = entries.groupBy("query_id", "node").agg(F.max("score").alias("activation")).withColumn("depth", F.lit(0))
-    edges = links.select(F.col("src").alias("node"), "dst", "weight", "type")
+    edges = checkpointed(links.select(F.col("src").alias("node"), "dst", "weight", "type"))
     for depth in range(1, hops + 1):
         from_ = reached.filter(F.col("depth") == depth - 1)
         value = F.least(F.lit(1.0), F.col("activation") * F.col("weight") * decay * _boost(F.col("type")))
         step = from_.join(edges, "node").select("query_id", F.col("dst").alias("node"), value.alias("activation")).filter(F.col("activation") >= least)
         step = step.groupBy("query_id", "node").agg(F.max("activation").alias("activation")).withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(step.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti"))
+        reached = checkpointed(reached.unionByName(step.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")))
     return top_per(reached, ["query_id"], [F.round("activation", 12).desc(), F.col("node")], budget)
 
 
@@ -87,14 +106,14 @@ def temporal_spread(entries: DataFrame, links: DataFrame, proximity: DataFrame,
     Each hop follows a query's ``fan`` strongest links (weight, then node).
     """
     reached = entries.groupBy("query_id", "node").agg(F.max("score").alias("score")).withColumn("depth", F.lit(0))
-    edges = links.select(F.col("src").alias("node"), "dst", "weight", "type")
+    edges = checkpointed(links.select(F.col("src").alias("node"), "dst", "weight", "type"))
     for depth in range(1, hops + 1):
         from_ = reached.filter((F.col("depth") == depth - 1) & (F.col("score") > least))
         step = from_.join(edges, "node").select("query_id", F.col("dst").alias("node"), "weight", (F.col("score") * F.col("weight") * fade * _boost(F.col("type"))).alias("passed"))
         step = step.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")
         step = top_per(step, ["query_id"], [F.desc("weight"), F.col("node"), F.desc("passed")], fan)
         step = step.join(proximity, ["query_id", "node"], "left").withColumn("score", F.greatest(F.least(F.lit(1.0), F.col("passed")), F.coalesce("proximity", F.lit(0.3)) * F.least(F.lit(1.0), F.col("passed"))))
-        reached = reached.unionByName(step.groupBy("query_id", "node").agg(F.max("score").alias("score")).withColumn("depth", F.lit(depth)))
+        reached = checkpointed(reached.unionByName(step.groupBy("query_id", "node").agg(F.max("score").alias("score")).withColumn("depth", F.lit(depth))))
     return top_per(reached, ["query_id"], [F.round("score", 12).desc(), F.col("node")], budget)
 
 

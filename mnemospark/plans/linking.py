@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.constants import ENGRAM_WEIGHT, SCHEMA_WEIGHT
+from mnemospark.functions.constants import ENGRAM_WEIGHT, PATTERNS, SCHEMA_WEIGHT
 from mnemospark.operators import entities, graph, links
 from mnemospark.plans.derived import EVENT_LINKS, EVERY, event_links
 from mnemospark.sources.tables import table
@@ -150,6 +150,53 @@ def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pattern_search(s, s, event_links(spark, sf_dir)).select("query_id", "node", F.round("score", 9).alias("score"), "rank")
 
 
+def _pattern_sql() -> str:
+    """Each default pattern walked by itself."""
+    runs = [p for kind in PATTERNS["default"] for p in kind]
+    steps, lists = [], []
+    for n, (one, two) in enumerate(runs):
+        hop = "SELECT query_id, dst AS node, sum(mass * 0.85 * share) AS mass FROM {0} JOIN shares ON src = node AND type = '{1}' WHERE mass >= 1e-6 GROUP BY ALL"
+        steps += [f"p{n}a AS ({hop.format('f0', one)})", f"p{n}b AS ({hop.format(f'p{n}a', two)})"]
+        kept = " UNION ALL ".join([f"SELECT query_id, node, mass * 0.15 AS mass FROM {t} WHERE mass >= 1e-6" for t in ("f0", f"p{n}a")] + [f"SELECT query_id, node, mass FROM p{n}b WHERE mass >= 1e-6"])
+        lists.append(f"SELECT query_id, {n} AS pattern, node, sum(mass) AS mass FROM ({kept}) GROUP BY ALL")
+    return f"""
+WITH {EVENT_LINKS}, {_SEEDS},
+shares AS (SELECT src, dst, type, weight / sum(weight) OVER (PARTITION BY src, type) AS share FROM
+    (SELECT *, row_number() OVER (PARTITION BY src, type ORDER BY weight DESC, dst) AS r FROM links WHERE weight >= 0.1) WHERE r <= 20),
+f0 AS (SELECT query_id, node, score / sum(score) OVER (PARTITION BY query_id) AS mass FROM seeds),
+{", ".join(steps)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, pattern ORDER BY round(mass, 12) DESC, node) AS place FROM ({" UNION ALL ".join(lists)})),
+fused AS (SELECT query_id, node, sum(1.0::DOUBLE / (60 + place)) AS score FROM ranked GROUP BY ALL)
+SELECT query_id, node, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM fused) WHERE rank <= 50"""
+
+
+def _spread_sql(hops: int = 3) -> str:
+    """Levels of a breadth-first walk; a node counts in the first level that reaches it."""
+    levels, before = ["l0 AS (SELECT query_id, node, max(score) AS activation, 0 AS depth FROM seeds GROUP BY ALL)"], "SELECT * FROM l0"
+    for d in range(1, hops + 1):
+        levels.append(f"""l{d} AS (SELECT query_id, dst AS node, max(a) AS activation, {d} AS depth FROM
+    (SELECT query_id, dst, least(1.0, activation * weight * 0.8) AS a FROM l{d - 1} JOIN links ON src = node) WHERE a >= 0.1 AND (query_id, dst) NOT IN (SELECT (query_id, node) FROM ({before})) GROUP BY ALL)""")
+        before += f" UNION ALL SELECT * FROM l{d}"
+    return f"""
+WITH {EVENT_LINKS}, {_SEEDS}, {", ".join(levels)}
+SELECT query_id, node, round(activation, 9) AS activation, depth, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 12) DESC, node) AS rank FROM ({before})) WHERE rank <= 100"""
+
+
+def _temporal_spread_sql(hops: int = 2) -> str:
+    """Levels of a walk that follows a query's 200 strongest links a hop; only seeds have a date of their own."""
+    levels, before = ["l0 AS (SELECT query_id, node, max(score) AS score, 0 AS depth FROM seeds GROUP BY ALL)"], "SELECT * FROM l0"
+    for d in range(1, hops + 1):
+        levels.append(f"""l{d} AS (SELECT query_id, node, max(least(1.0, passed)) AS score, {d} AS depth FROM (
+    SELECT query_id, dst AS node, score * weight * 0.7 AS passed, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, dst, score * weight * 0.7 DESC) AS r
+    FROM l{d - 1} JOIN links ON src = node WHERE score > 0.2 AND (query_id, dst) NOT IN (SELECT (query_id, node) FROM ({before}))) WHERE r <= 200 GROUP BY ALL)""")
+        before += f" UNION ALL SELECT * FROM l{d}"
+    return f"""
+WITH {EVENT_LINKS}, {_SEEDS}, {", ".join(levels)}
+SELECT query_id, node, round(score, 9) AS score, depth, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM ({before})) WHERE rank <= 100"""
+
+
 def within_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within two hops of every query's seeds over links of 0.5 or more."""
     found = graph.within_depth(_seeds(spark, sf_dir), event_links(spark, sf_dir), 2, 0.5)
@@ -267,6 +314,9 @@ ORACLE_SQL = {
     "links_distinct_pairs": DISTINCT_PAIRS,
     "causal_links": CAUSAL,
     "push_two_hops": PUSH,
+    "pattern_search": _pattern_sql(),
+    "bfs_activation": _spread_sql(),
+    "temporal_spread": _temporal_spread_sql(),
     "within_depth": WITHIN_DEPTH,
     "engram_search": ENGRAM_SEARCH,
     "relationships": RELATIONSHIPS,
