@@ -134,37 +134,45 @@ def conflicts(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return both.select(*on, "key", kind.alias("kind")).filter(F.col("kind").isNotNull())
 
 
-def match(clusters_: DataFrame, known: DataFrame, key: str, known_key: str, least: float = 0.85, block_rows: int = 2048) -> DataFrame:
-    """The nearest known centroid of each cluster with a similarity of ``least``; null if there is none."""
+def match(clusters_: DataFrame, known: DataFrame, key: str, known_key: str, least: float = 0.85, block_rows: int = 2048, bank: str | None = None) -> DataFrame:
+    """The nearest known centroid of each cluster with a similarity of ``least``; null if there is none.
+
+    With ``bank``, a column of both sides, a cluster meets its bank's centroids;
+    ``key`` still names one cluster.
+    """
     from mnemospark.operators.retrieval import vector_search
 
-    near = vector_search(known, clusters_, known_key, "centroid", 1, least, key, exclude_same=False, block=block_rows)
+    near = vector_search(known, clusters_, known_key, "centroid", 1, least, key, exclude_same=False, block=block_rows, bank=bank)
     near = near.select(F.col("query_id").alias(key), F.col("item_id").alias("match"), F.col("score").alias("similarity"))
     return clusters_.withColumn(key, F.col(key).cast("string")).join(near, key, "left")
 
 
-def mature(matched: DataFrame, fingerprints: DataFrame, now: str, cycles: int = 2, stale_days: int = 7) -> DataFrame:
+def mature(matched: DataFrame, fingerprints: DataFrame, now: str, cycles: int = 2, stale_days: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprints after a run: met ones survive one cycle more, new clusters enter, stale ones go.
 
     Two clusters that meet one fingerprint count once. ``ready`` from ``cycles``.
+    ``by``: columns of both sides (the bank) within which an id is one.
     """
-    met = matched.filter("match is not null").groupBy(F.col("match").alias("id")).agg(F.max("similarity").alias("similarity"))
-    old = fingerprints.withColumn("id", F.col("id").cast("string")).join(met, "id", "left")
+    met = matched.filter("match is not null").groupBy(*by, F.col("match").alias("id")).agg(F.max("similarity").alias("similarity"))
+    old = fingerprints.withColumn("id", F.col("id").cast("string")).join(met, [*by, "id"], "left")
     seen = F.col("similarity").isNotNull()
-    stay = old.select("id", "centroid", (F.col("cycles") + seen.cast("int")).alias("cycles"), F.when(seen, F.lit(now).cast("timestamp")).otherwise(F.col("last_seen")).alias("last_seen"))
-    new = matched.filter("match is null").select(F.concat(F.lit("new-"), F.col("cluster").cast("string")).alias("id"), "centroid", F.lit(1).alias("cycles"), F.lit(now).cast("timestamp").alias("last_seen"))
+    stay = old.select(*by, "id", "centroid", (F.col("cycles") + seen.cast("int")).alias("cycles"), F.when(seen, F.lit(now).cast("timestamp")).otherwise(F.col("last_seen")).alias("last_seen"))
+    new = matched.filter("match is null").select(*by, F.concat(F.lit("new-"), F.col("cluster").cast("string")).alias("id"), "centroid", F.lit(1).alias("cycles"), F.lit(now).cast("timestamp").alias("last_seen"))
     fresh = stay.unionByName(new).filter(F.col("last_seen") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(stale_days)))
     return fresh.withColumn("ready", F.col("cycles") >= cycles)
 
 
-def reinforce(matched: DataFrame, schemas: DataFrame, now: str) -> DataFrame:
-    """Schemas after clusters met them: moved centroid and added evidence; clusters without one become schemas."""
-    met = matched.filter("match is not null").groupBy("match").agg(F.max_by("centroid", "n").alias("new_centroid"), F.sum("n").alias("more"))
-    old = schemas.withColumn("schema_id", F.col("schema_id").cast("string")).join(met, F.col("schema_id") == F.col("match"), "left")
+def reinforce(matched: DataFrame, schemas: DataFrame, now: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Schemas after clusters met them: moved centroid and added evidence; clusters without one become schemas.
+
+    ``by``: columns of both sides (the bank) within which an id is one.
+    """
+    met = matched.filter("match is not null").groupBy(*by, F.col("match").alias("schema_id")).agg(F.max_by("centroid", "n").alias("new_centroid"), F.sum("n").alias("more"))
+    old = schemas.withColumn("schema_id", F.col("schema_id").cast("string")).join(met, [*by, "schema_id"], "left")
     total = F.col("evidence") + F.coalesce("more", F.lit(0))
     moved = vector.weighted_centroid(F.col("centroid"), F.col("new_centroid"), F.col("evidence") / total, F.col("more") / total)
-    stay = old.select("schema_id", F.when(F.col("more").isNull(), F.col("centroid")).otherwise(moved).alias("centroid"), total.alias("evidence"), F.when(F.col("more").isNull(), F.col("last_reinforced")).otherwise(F.lit(now).cast("timestamp")).alias("last_reinforced"))
-    new = matched.filter("match is null").select(F.concat(F.lit("schema-"), F.col("cluster").cast("string")).alias("schema_id"), "centroid", F.col("n").alias("evidence"), F.lit(now).cast("timestamp").alias("last_reinforced"))
+    stay = old.select(*by, "schema_id", F.when(F.col("more").isNull(), F.col("centroid")).otherwise(moved).alias("centroid"), total.alias("evidence"), F.when(F.col("more").isNull(), F.col("last_reinforced")).otherwise(F.lit(now).cast("timestamp")).alias("last_reinforced"))
+    new = matched.filter("match is null").select(*by, F.concat(F.lit("schema-"), F.col("cluster").cast("string")).alias("schema_id"), "centroid", F.col("n").alias("evidence"), F.lit(now).cast("timestamp").alias("last_reinforced"))
     return stay.unionByName(new)
 
 

@@ -179,13 +179,38 @@ class Memory:
         return self.store.replace({"dictionary": new.select(old.columns), "banks": banks.withColumn("session_count", F.col("session_count") + 1)}, base)
 
     def _cluster(self, now: datetime) -> int:
-        buffer = self.store.read("dictionary").filter("layer = 'buffer' and status = 'active'").select(F.col("engram_id").alias("unit_id"))
-        rows = self.store.read("units").join(buffer, "unit_id", "left_semi").select("bank_id", "unit_id", "embedding", F.xxhash64("unit_id").alias("n")).checkpoint()
-        found = consolidation.clusters(rows, "bank_id", "n", "embedding").withColumnRenamed("id", "n")
-        members = found.join(rows.select("n", "embedding"), "n")
-        c = consolidation.centroids(members, ["bank", "cluster"], "embedding")
-        new = c.select(F.col("bank").alias("bank_id"), F.concat(F.lit("schema-"), F.col("cluster")).alias("schema_id"), "centroid", F.col("n").alias("evidence"), F.lit("active").alias("status"), F.lit(now).cast("timestamp").alias("last_reinforced"))
-        return self.store.upsert("schemas", new)
+        """One cycle of schema emergence, all in one version.
+
+        Clusters of the active buffer meet the fingerprints of earlier cycles.
+        Those met in a second cycle reinforce the schema that they are nearest to
+        or become one. A member counts as evidence of a schema once, whatever the
+        number of cycles: it is linked to it, and only members without a link add
+        evidence and move the centroid.
+        """
+        base, at = self.store.version(), now.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        buffer = self.store.read("dictionary").filter("layer = 'buffer' and status = 'active'").select("bank_id", F.col("engram_id").alias("unit_id"))
+        rows = self.store.read("units").join(buffer, ["bank_id", "unit_id"], "left_semi").select("bank_id", "unit_id", "embedding", F.monotonically_increasing_id().alias("n")).checkpoint()
+        found = consolidation.clusters(rows, "bank_id", "n", "embedding").select(F.col("id").alias("n"), F.col("cluster").alias("c"))
+        members = found.join(rows, "n")
+        # A cluster is known by its bank and its smallest unit.
+        names = members.groupBy("c").agg(F.min("unit_id").alias("name"))
+        members = members.join(names, "c").select("bank_id", "unit_id", "embedding", _node("bank_id", "name").alias("cluster"), "name").checkpoint()
+        c = consolidation.centroids(members, ["bank_id", "cluster", "name"], "embedding").checkpoint()
+        prints, schemas = self.store.read("fingerprints"), self.store.read("schemas")
+        met = consolidation.match(c, prints, "cluster", "id", bank="bank_id").checkpoint()
+        seen = consolidation.mature(met, prints, at, by=("bank_id",)).checkpoint()
+        ready = met.join(seen.filter("ready").select("bank_id", F.col("id").alias("match")), ["bank_id", "match"], "left_semi").drop("match", "similarity")
+        known = consolidation.match(ready, schemas.filter("status = 'active'"), "cluster", "schema_id", bank="bank_id").select("bank_id", "cluster", "name", "match")
+        own = F.coalesce("match", F.concat(F.lit("schema-"), F.col("cluster")))
+        evidence = members.drop("name").join(known, ["bank_id", "cluster"]).select("bank_id", "cluster", "match", "unit_id", "embedding", own.alias("dst"))
+        linked = self.store.read("links").filter("type = 'schema'").select("bank_id", F.col("src").alias("unit_id"), "dst")
+        fresh = evidence.join(linked, ["bank_id", "unit_id", "dst"], "left_anti").checkpoint()
+        moved = consolidation.centroids(fresh, ["bank_id", "cluster", "match"], "embedding")
+        after = consolidation.reinforce(moved, schemas, at, by=("bank_id",))
+        after = after.join(schemas.select("bank_id", "schema_id", "properties", "status"), ["bank_id", "schema_id"], "left").withColumn("status", F.coalesce("status", F.lit("active")))
+        edges = fresh.select(F.col("unit_id").alias("src"), "dst", F.lit("schema").alias("type"), F.lit(1.0).alias("weight"), "bank_id")
+        changes = {t: [self.store._put(t, df)] for t, df in (("fingerprints", seen), ("schemas", after))}
+        return self.store.commit(changes, {"links": self.store._put("links", edges)}, base)
 
     def record_access(self, found: DataFrame, now: datetime) -> int:
         """Append access events of results near the top."""

@@ -101,6 +101,35 @@ def test_a_crowded_bank_takes_nothing_from_others(spark, tmp_path):
     assert row.novelty < 0.2  # its twin is found although 120 others lie as near
 
 
+def test_three_cycles_make_one_schema(spark, tmp_path):
+    """A cluster is a fingerprint, then a schema, and then takes each later member as evidence once; banks keep apart."""
+    m = Memory(Store(spark, str(tmp_path)))
+    near = lambda k, x: [1.0, 0.01 * k, x]
+
+    def add(bank, ks, x=0.0):
+        units = [(f"u{k}", bank, near(k, x)) for k in ks]
+        m.store.append({
+            "units": spark.createDataFrame(units, "unit_id string, bank_id string, embedding array<float>"),
+            "dictionary": spark.createDataFrame([(u, b, "buffer", "active") for u, b, _ in units], "engram_id string, bank_id string, layer string, status string"),
+        })
+
+    add("b", range(5))
+    add("c", range(3), 3.0)
+    add("d", range(2))
+    schemas = lambda: {r.bank_id: (r.schema_id, r.evidence) for r in m.store.read("schemas").collect()}
+    report = [m.consolidate(("cluster",), now=NOW)]
+    assert schemas() == {} and {(r.bank_id, r.cycles) for r in m.store.read("fingerprints").collect()} == {("b", 1), ("c", 1)}
+    report.append(m.consolidate(("cluster",), now=NOW))
+    first = schemas()
+    assert {b: n for b, (_, n) in first.items()} == {"b": 5, "c": 3}
+    add("b", range(5, 7))
+    report += [m.consolidate(("cluster",), now=NOW) for _ in range(2)]
+    assert all(isinstance(r["cluster"], int) for r in report), report
+    assert schemas() == {"b": (first["b"][0], 7), "c": first["c"]}
+    assert m.store.read("links").filter("type = 'schema'").groupBy("bank_id").count().rdd.collectAsMap() == {"b": 7, "c": 3}
+    assert {(r.bank_id, r.cycles) for r in m.store.read("fingerprints").collect()} == {("b", 4), ("c", 4)}
+
+
 def test_no_write_is_lost(spark, tmp_path):
     from mnemospark.sources.store import Conflict
 
