@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring, text, time
 from mnemospark.functions.constants import MODES, SCORE_WEIGHTS
-from mnemospark.operators import ranking, retrieval
+from mnemospark.operators import ranking, retrieval, vector_index
 from mnemospark.plans.derived import ENGRAMS, EVERY, ORDER_RANGES, engrams, orders_ranges
 from mnemospark.sources.tables import table
 
@@ -28,6 +28,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, item_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= {{k}}"""
 
 
+def indexed_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector, through an inverted file of fifty rows a cell."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vector_index.build(e, "vec_id", "embedding", cell=50).search(e.filter(F.col("vec_id") % EVERY == 0), "vec_id", "embedding", k)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("item_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most five links of every hundredth vector to vectors of similarity 0.2 or more, weights 0 to 1."""
     e = table(spark, sf_dir, "embeddings")
@@ -245,9 +252,10 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_text(table(spark, sf_dir, "documents"), "LICENSE", ["text", "source"]).select("doc_id", "source", F.length("text").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_topk, semantic_links, keyword_rank, hybrid_rrf, recall, combined_score_by_mode, token_budget, access_bump, bank_merge, tag_jaccard, temporal_entry, date_phrases, dictionary_scan, text_search)}
+QUERIES = {f.__name__: f for f in (semantic_topk, indexed_topk, semantic_links, keyword_rank, hybrid_rrf, recall, combined_score_by_mode, token_budget, access_bump, bank_merge, tag_jaccard, temporal_entry, date_phrases, dictionary_scan, text_search)}
 ORACLE_SQL = {
     "semantic_topk": SEMANTIC.format(least=-1, k=10),
+    "indexed_topk": SEMANTIC.format(least=-1, k=10),
     "semantic_links": SEMANTIC.format(least=0.2, k=5),
     "keyword_rank": KEYWORD,
     "hybrid_rrf": HYBRID,

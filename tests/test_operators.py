@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import clustering, consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
+from mnemospark.operators import clustering, consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts, vector_index
 from mnemospark.streaming import sessions
 
 LINKS = "src string, dst string, type string, weight double"
@@ -57,6 +57,25 @@ def test_vector_search_against_all(spark):
         assert [int(r.item_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == str(q)] == want
 
 
+def test_index_against_exact_search(spark, tmp_path):
+    """Banks of one cell and of many, zero vectors, ties, and a threshold; grouped vectors spare most cells."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 8))
+    v = np.concatenate([centres[np.arange(400) % 20] + 0.05 * rng.normal(size=(400, 8)), rng.normal(size=(30, 8))])
+    v[17] = v[37]
+    v[5] = 0
+    df = spark.createDataFrame([("b" if k < 400 else "c", k, x.tolist()) for k, x in enumerate(v)] + [("b", 999, None)], "bank string, id long, v array<double>")
+    index = vector_index.build(df, "id", "v", "bank", cell=20, folder=str(tmp_path / "index"))
+    asked = df.filter("id % 10 = 7")
+    key = lambda rows: sorted((r.query_id, r["rank"], r.item_id, round(r.score, 7)) for r in rows.collect())
+    for least in (-1.0, 0.8):
+        assert key(index.search(asked, "id", "v", 6, least, "bank", probes=1)) == key(retrieval.vector_search(df.filter("id <> 5"), asked, "id", "v", 6, least, bank="bank"))
+    n, read = index.cells.count(), []
+    index._found = lambda rows, *a, f=index._found: (read.append(rows.count()), f(rows, *a))[1]
+    index.search(asked.filter("bank = 'b'"), "id", "v", 6, bank="bank", probes=1).collect()
+    assert n > 10 and sum(read) < 0.5 * n * asked.filter("bank = 'b'").count()
+
+
 def test_temporal_links_cap(spark):
     at = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, k, at + timedelta(hours=k)) for k in range(30)] + [(2, 99, at)], "bank long, id long, ts timestamp")
