@@ -153,12 +153,22 @@ def windowed_counts(events: DataFrame, ts: str, by: list[str], width: str = "1 h
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def flush(rows: DataFrame, store, batch: int) -> None:
-    """``foreachBatch`` sink: the batch's co-activation links go to the store, weighted by the strongest pair."""
+def flush(rows: DataFrame, store, batch: int, query: str = "co_activation") -> bool:
+    """``foreachBatch`` sink: the batch's co-activation links go to the store, weighted by the strongest pair of their bank.
+
+    The links and a record of the batch are one version of the store, so a batch
+    that is replayed after a failure adds nothing. False: it was there already.
+    ``query`` tells the batches of several streams apart.
+    """
+    done = f"{query}-{batch}"
+    if not store.read("operations").filter(F.col("operation_id") == done).isEmpty():
+        return False
     n = rows.groupBy("bank_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     most = n.groupBy("bank_id").agg(F.max("n").alias("most"))
     links = n.join(most, "bank_id").select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.lit("co_activated").alias("type"), (F.col("n") / F.col("most")).alias("weight"), "bank_id")
-    store.append({"links": links})
+    record = rows.sparkSession.createDataFrame([(done, "flush", "done")], "operation_id string, type string, status string")
+    store.append({"links": links, "operations": record})
+    return True
 
 
 def inferences(rows: DataFrame) -> DataFrame:

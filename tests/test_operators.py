@@ -341,5 +341,8 @@ def test_flush_and_tier_decay(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     sessions.flush(spark.createDataFrame([("b", 1, 2), ("b", 1, 2), ("b", 2, 3)], "bank_id string, a long, b long"), store, 0)
     assert {(r.src, r.dst): r.weight for r in store.read("links").collect()} == {("1", "2"): 1.0, ("2", "3"): 0.5}
+    more = spark.createDataFrame([("b", 7, 8)], "bank_id string, a long, b long")
+    assert not sessions.flush(more, store, 0) and store.read("links").count() == 2  # a replayed batch
+    assert sessions.flush(more, store, 1) and sessions.flush(more, store, 0, "other") and store.read("links").count() == 4
     df = spark.createDataFrame([("focus", 0.6, 1.0), ("focus", 0.2, 1.0), ("peripheral", 0.1, 1.0)], "tier string, relevance double, minutes double")
     assert sorted(r.tier for r in sessions.decayed(df, "precision").collect()) == ["focus", "peripheral"]
