@@ -143,9 +143,10 @@ def copied_texts(texts: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     ``texts``: text, and own (what no other text has of it, in characters). A text
     stands in ``SEEDS`` groups, each by the least hash of its word shingles under
     one seed; near copies miss all of them with a probability below 2e-5. Of each
-    group it is compared, on full sets, with the text that has least of its own,
-    which is what the others were copied from or is nearest to it. So a text makes
-    ``SEEDS`` pairs at most, however large its groups are.
+    group it is compared, on full sets, with two texts: the one that has least of
+    its own, which is what the others were copied from or is nearest to it, and
+    one chosen by hash. So a text makes 2 x ``SEEDS`` pairs at most, however large
+    its groups are.
     """
     words = F.array_remove(F.split(ascii_lower(F.col("text")), SPACE_CLASS + "+"), "")
     one = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.first("text").alias("text")).withColumn("words", words)
@@ -153,8 +154,8 @@ def copied_texts(texts: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     sets = cut(one.filter(F.size("words") > 0).select("key", "n", "own", F.array_distinct(shingles).alias("set")))
     least = F.explode(F.array(*(F.struct(F.lit(k).alias("seed"), F.array_min(F.transform("set", lambda h, k=k: F.xxhash64(F.lit(k), h))).alias("least")) for k in range(SEEDS))))
     stand = cut(sets.select("key", "own", least.alias("g")).select("key", "own", "g.*"))
-    heads = cut(stand.groupBy("seed", "least").agg(F.min(F.struct("own", "key")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    pairs = join_counted(stand.select("seed", "least", "key"), heads, ["seed", "least"], "size", 64, ["key"]).select("key", F.col("head.key").alias("head")).filter("key <> head").distinct()
+    heads = cut(stand.groupBy("seed", "least").agg(F.array(F.min(F.struct("own", "key"))["key"], F.min(F.struct(F.xxhash64("key", "seed"), "key"))["key"]).alias("heads"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    pairs = join_counted(stand.select("seed", "least", "key"), heads, ["seed", "least"], "size", 80, ["key"]).select("key", F.explode("heads").alias("head")).filter("key <> head").distinct()
     pairs = cut(pairs)
     wanted = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
     of_heads = cut(wanted.join(sets.select(F.col("key").alias("head"), F.col("set").alias("of_head")), "head"))
