@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scoring, text, vector
 from mnemospark.functions.constants import DIMENSIONS, GATE, MAX_RESULTS, MAX_TOKENS, RERANK_FLOOR, SIMILARITY_THRESHOLD, STRENGTH_FLOOR
 from mnemospark.functions.providers import DateAnalyzer, Embedder, HashingEmbedder, Hooks, OverlapReranker, Registry, Reranker, rerank_text
-from mnemospark.operators import consolidation, entities, graph, lifecycle, links, ranking, retrieval, texts
+from mnemospark.operators import consolidation, entities, graph, hyper, lifecycle, links, ranking, retrieval, texts
 from mnemospark.sources.store import KEYS, Store, trace, tracked_documents
 
 
@@ -147,7 +147,7 @@ class Memory:
 
     def consolidate(self, phases: tuple[str, ...] = ("promote", "decay", "cluster"), mode: str | None = None, now: datetime | None = None) -> dict[str, object]:
         """Run phases in order, each on the version the one before wrote; a failed phase is reported, later ones still run."""
-        work = {"promote": self._promote, "decay": self._decay, "cluster": lambda m: self._cluster(now or datetime.now(timezone.utc))}
+        work = {"promote": self._promote, "decay": self._decay, "cluster": lambda m: self._cluster(now or datetime.now(timezone.utc)), "restructure": lambda m: self._restructure(now or datetime.now(timezone.utc))}
         report: dict[str, object] = {}
         for p in phases:
             try:
@@ -212,6 +212,26 @@ class Memory:
         changes = {t: [self.store._put(t, df)] for t, df in (("fingerprints", seen), ("schemas", after))}
         return self.store.commit(changes, {"links": self.store._put("links", edges)}, base)
 
+    def _restructure(self, now: datetime) -> int:
+        """Active schemas that are alike but differ in a property get a parent, a schema of its own.
+
+        Parents are active schemas themselves (ids ``hyper-...``) and are not
+        paired again; nor is a schema that has one. Links to the parent are edges
+        of type ``specializes``. Properties are texts, sets of values joined by ``|``.
+        """
+        base, schemas = self.store.version(), self.store.read("schemas")
+        has = self.store.read("schema_edges").filter("type = 'specializes'").select("bank_id", F.col("src").alias("schema_id"))
+        open_ = schemas.filter("status = 'active' and schema_id not like 'hyper-%'").join(has, ["bank_id", "schema_id"], "left_anti")
+        rows = open_.select(F.col("bank_id").alias("of"), F.col("schema_id").alias("id"), "centroid", "evidence", text.describe(F.coalesce("properties", F.create_map().cast("map<string,string>"))).alias("description"), "properties").checkpoint()
+        empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in hyper.PROPERTY.split(", ")}
+        each = rows.select("of", "id", F.explode("properties").alias("key", "value"))
+        each = each.select("of", "id", *(c.alias(n) for n, c in (empty | {"key": F.col("key"), "type": F.lit("categorical"), "value": F.col("value")}).items()))
+        parents, properties = hyper.hyper_schemas(rows.drop("properties"), each)
+        maps = properties.groupBy("of", "hyper_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("value", F.lit(""))))).alias("properties"))
+        new = parents.join(maps, ["of", "hyper_id"], "left").select(F.col("hyper_id").alias("schema_id"), F.col("of").alias("bank_id"), "centroid", "properties", "evidence", F.lit("active").alias("status"), F.lit(now.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp").alias("last_reinforced"))
+        edges = parents.select(F.explode(F.array("a", "b")).alias("src"), F.col("hyper_id").alias("dst"), F.lit("specializes").alias("type"), F.col("of").alias("bank_id"))
+        return self.store.replace({"schemas": schemas.unionByName(new), "schema_edges": self.store.read("schema_edges").unionByName(edges)}, base)
+
     def record_access(self, found: DataFrame, now: datetime) -> int:
         """Append access events of results near the top."""
         top = ranking.access_bump(found, ["query_id"], "score")
@@ -316,7 +336,7 @@ class Memory:
     def similar_schemas(self, bank: str, least: float = 0.7) -> DataFrame:
         """Pairs of a bank's schemas that may become hyper-schemas."""
         rows = self.store.read("schemas", bank).withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
-        return consolidation.pair_up(rows, "bank_id", "schema_id", least, 0)
+        return hyper.pair_up(rows, "bank_id", "schema_id", least, 0)
 
     def similarity(self, a: str, b: str) -> DataFrame:
         """Cosine of two units' vectors."""

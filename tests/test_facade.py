@@ -172,3 +172,15 @@ def test_protected_tables_need_a_schema():
     for sql in ("select 1 from Units", "SELECT * FROM memory.units JOIN links l", "UPDATE `units` SET a = 1", "DELETE FROM links;"):
         with pytest.raises(ValueError):
             check_qualified(sql, ["units", "links"])
+
+
+def test_alike_schemas_get_a_parent_once(spark, tmp_path):
+    m = Memory(Store(spark, str(tmp_path)))
+    rows = [("s1", "b", [1.0, 0.0], {"place": "Berlin", "who": "Anna"}, 3, "active"), ("s2", "b", [0.9, 0.1], {"place": "Oslo", "who": "Anna"}, 2, "active"), ("s3", "b", [0.9, 0.1], {"place": "Rome"}, 2, "archived"), ("s4", "c", [1.0, 0.0], {"place": "Rome"}, 1, "active")]
+    m.store.append({"schemas": spark.createDataFrame(rows, "schema_id string, bank_id string, centroid array<double>, properties map<string,string>, evidence long, status string")})
+    assert isinstance(m.consolidate(("restructure",), now=NOW)["restructure"], int)
+    (parent,) = m.store.read("schemas").filter("schema_id like 'hyper-%'").collect()
+    assert (parent.bank_id, parent.evidence, parent.properties) == ("b", 5, {"place": "Berlin|Oslo", "who": "Anna"})
+    assert {(r.src, r.dst, r.type) for r in m.store.read("schema_edges").collect()} == {(s, parent.schema_id, "specializes") for s in ("s1", "s2")}
+    assert isinstance(m.consolidate(("restructure",), now=NOW)["restructure"], int)
+    assert m.store.read("schemas").count() == 5 and m.store.read("schema_edges").count() == 2
