@@ -39,12 +39,14 @@ def token_budget(rows: DataFrame, by: list[str], order: list[Column], tokens: st
     """The leading rows of each set whose running token count stays within ``most``.
 
     A set is dealt into ``SPREAD`` parts first. A part's running count is never
-    above the set's (no row has fewer than no tokens), so rows beyond the budget
-    in their part go before the set's rows meet in one task.
+    above the set's (no row has fewer than no tokens), so rows behind the one that
+    crosses the budget in their part go before the set's rows meet in one task.
+    The crossing row stays until then: it keeps what comes after it, in any part,
+    beyond the budget.
     """
-    first = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.withColumn("_part", F.spark_partition_id() % SPREAD)
-    some = parts.withColumn("_run", F.sum(tokens).over(first)).filter(F.coalesce("_run", F.lit(0)) <= most).drop("_part", "_run")
+    some = parts.withColumn("_before", F.sum(tokens).over(first)).filter(F.coalesce("_before", F.lit(0)) <= most).drop("_part", "_before")
     run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return some.withColumn("running_tokens", F.sum(tokens).over(run)).filter(F.col("running_tokens") <= most)
 

@@ -297,6 +297,9 @@ def test_clean_facts(spark):
 def test_budgets(spark):
     df = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 4, 3, 1])], "q long, id long, tokens long")
     assert [r.id for r in ranking.token_budget(df, ["q"], [F.col("id")], "tokens", 10).collect()] == [0, 1]
+    # Rows beyond the budget in their own part still push what comes after them beyond it.
+    parts = spark.createDataFrame([(1, 0, 4), (1, 1, 20), (1, 2, 3), (1, 3, 2)], "q long, id long, tokens long").repartition(4, "id")
+    assert [(r.id, r.running_tokens) for r in ranking.token_budget(parts, ["q"], [F.col("id")], "tokens", 10).collect()] == [(0, 4)]
     t = spark.createDataFrame([(1, 0, "abcdef"), (1, 1, "ghij"), (1, 2, "k")], "q long, id long, t string")
     assert [r.t for r in ranking.text_budget(t, ["q"], [F.col("id")], "t", 8).orderBy("id").collect()] == ["abcdef", "gh"]
     e = spark.createDataFrame([(1, 0, "a", 0, 6), (1, 0, "a", 1, 6), (1, 1, "b", 0, 3), (1, 1, "b", 1, 2)], "query_id long, entity_no int, entity_id string, obs_no int, tokens int")
