@@ -150,24 +150,29 @@ def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pattern_search(s, s, event_links(spark, sf_dir)).select("query_id", "node", F.round("score", 9).alias("score"), "rank")
 
 
-def _pattern_sql() -> str:
-    """Each default pattern walked by itself."""
-    runs = [p for kind in PATTERNS["default"] for p in kind]
+def pattern_ctes(starts: tuple[str, str] = ("f0", "f0")) -> str:
+    """Each default pattern walked by itself, from the masses ``starts`` (of both kinds of seeds), and ``fused``."""
+    runs = [(start, p) for start, kind in zip(starts, PATTERNS["default"], strict=True) for p in kind]
     steps, lists = [], []
-    for n, (one, two) in enumerate(runs):
+    for n, (start, (one, two)) in enumerate(runs):
         hop = "SELECT query_id, dst AS node, sum(mass * 0.85 * share) AS mass FROM {0} JOIN shares ON src = node AND type = '{1}' WHERE mass >= 1e-6 GROUP BY ALL"
-        steps += [f"p{n}a AS ({hop.format('f0', one)})", f"p{n}b AS ({hop.format(f'p{n}a', two)})"]
-        kept = " UNION ALL ".join([f"SELECT query_id, node, mass * 0.15 AS mass FROM {t} WHERE mass >= 1e-6" for t in ("f0", f"p{n}a")] + [f"SELECT query_id, node, mass FROM p{n}b WHERE mass >= 1e-6"])
+        steps += [f"p{n}a AS ({hop.format(start, one)})", f"p{n}b AS ({hop.format(f'p{n}a', two)})"]
+        kept = " UNION ALL ".join([f"SELECT query_id, node, mass * 0.15 AS mass FROM {t} WHERE mass >= 1e-6" for t in (start, f"p{n}a")] + [f"SELECT query_id, node, mass FROM p{n}b WHERE mass >= 1e-6"])
         lists.append(f"SELECT query_id, {n} AS pattern, node, sum(mass) AS mass FROM ({kept}) GROUP BY ALL")
+    return f"""shares AS (SELECT src, dst, type, weight / sum(weight) OVER (PARTITION BY src, type) AS share FROM
+    (SELECT *, row_number() OVER (PARTITION BY src, type ORDER BY weight DESC, dst) AS r FROM links WHERE weight >= 0.1) WHERE r <= 20),
+{", ".join(steps)},
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, pattern ORDER BY round(mass, 12) DESC, node) AS place FROM ({" UNION ALL ".join(lists)})),
+walked AS (SELECT query_id, node, sum(1.0::DOUBLE / (60 + place)) AS score FROM placed GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM walked)"""
+
+
+def _pattern_sql() -> str:
     return f"""
 WITH {EVENT_LINKS}, {_SEEDS},
-shares AS (SELECT src, dst, type, weight / sum(weight) OVER (PARTITION BY src, type) AS share FROM
-    (SELECT *, row_number() OVER (PARTITION BY src, type ORDER BY weight DESC, dst) AS r FROM links WHERE weight >= 0.1) WHERE r <= 20),
 f0 AS (SELECT query_id, node, score / sum(score) OVER (PARTITION BY query_id) AS mass FROM seeds),
-{", ".join(steps)},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, pattern ORDER BY round(mass, 12) DESC, node) AS place FROM ({" UNION ALL ".join(lists)})),
-fused AS (SELECT query_id, node, sum(1.0::DOUBLE / (60 + place)) AS score FROM ranked GROUP BY ALL)
-SELECT query_id, node, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM fused) WHERE rank <= 50"""
+{pattern_ctes()}
+SELECT query_id, node, round(score, 9) AS score, rank::INTEGER AS rank FROM ordered WHERE rank <= 50"""
 
 
 def _spread_sql(hops: int = 3) -> str:

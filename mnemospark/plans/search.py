@@ -192,11 +192,16 @@ def tag_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(b, "item_id").select("doc_id", "item_id", F.size("tags").cast("long").alias("n_tags"), F.round(text.jaccard(F.col("tags"), F.col("wanted")), 6).alias("jaccard"))
 
 
-def _tag_sql() -> str:
+def tags_sql(column: str) -> str:
+    """The tags of a text."""
     from mnemospark.functions.constants import STOPWORDS
 
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
-    tags = f"list_filter(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')), lambda x: length(x) >= 3 AND x NOT IN ({stop}))"
+    return f"list_filter(list_distinct(regexp_extract_all(lower({column}), '\\p{{L}}+')), lambda x: length(x) >= 3 AND x NOT IN ({stop}))"
+
+
+def _tag_sql() -> str:
+    tags = tags_sql("text")
     return f"""
 WITH d AS (SELECT doc_id, doc_id % 40 AS item_id, {tags} AS tags FROM documents),
 b AS (SELECT item_id, {tags} AS wanted FROM benchmark)
