@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,15 +60,25 @@ def resolve(mentions: DataFrame, entities: DataFrame, company: DataFrame, least:
 
     mentions: bank, mention_id, name, nearby (array of names), seen; entities:
     bank, entity_id, canonical_name, last_seen; company: entity_id, names.
+
+    A score depends on what is said and known, not on ids, so mentions that are
+    alike are one row until the end, and of entities that are alike the smallest
+    id stands for all, as it wins their tie. A name that a bank has very often is
+    then one candidate and not the square of its copies.
     """
-    found = candidates(mentions, entities).join(mentions.select("mention_id", "nearby", "seen"), "mention_id").join(entities.select("entity_id", "last_seen"), "entity_id").join(company, "entity_id", "left")
+    said = ["bank", "name", "nearby", "seen"]
+    kinds = mentions.groupBy(*said).agg(F.min("mention_id").alias("mention_id"))
+    known = entities.join(company, "entity_id", "left").groupBy("bank", "canonical_name", "last_seen", "names").agg(F.min("entity_id").alias("entity_id"))
+    found = candidates(kinds, known).join(kinds.select("bank", "mention_id", "nearby", "seen"), ["bank", "mention_id"]).join(known.select("bank", "entity_id", "canonical_name", "last_seen", "names"), ["bank", "entity_id", "canonical_name"])
     near = F.array_distinct(F.transform("nearby", lambda x: F.lower(x)))
     shared = F.when(F.size(near) > 0, F.size(F.array_intersect(near, F.coalesce("names", F.array().cast("array<string>")))) / F.size(near))
     days = F.abs(scoring.seconds(F.col("seen")) - scoring.seconds(F.col("last_seen"))) / 86400
     rated = found.withColumn("score", scoring.resolution(name_ratio("name", "canonical_name"), shared, days))
-    best = rated.groupBy("mention_id").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("id"))).alias("best"))
-    best = best.filter(F.col("best.score") > least).select("mention_id", (-F.col("best.id")).alias("entity_id"), F.col("best.score").alias("score"))
-    return mentions.select("bank", "mention_id", "name").join(best, "mention_id", "left")
+    best = rated.groupBy("bank", "mention_id").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("id"))).alias("best"))
+    best = best.filter(F.col("best.score") > least).select("bank", "mention_id", (-F.col("best.id")).alias("entity_id"), F.col("best.score").alias("score"))
+    answers = kinds.join(best, ["bank", "mention_id"]).drop("mention_id")
+    alike = reduce(lambda a, b: a & b, (F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")) for c in said))
+    return mentions.alias("m").join(answers.alias("r"), alike, "left").select("m.bank", "m.mention_id", "m.name", "r.entity_id", "r.score")
 
 
 def ambiguous(entities: DataFrame, bank: str, name: str) -> DataFrame:

@@ -278,6 +278,17 @@ def test_resolution_and_candidates(spark):
     assert pairs == {(10, 1), (12, 2), (13, 4)}
 
 
+def test_copies_of_a_name_are_one_candidate(spark, monkeypatch):
+    at, pairs, found = datetime(2024, 1, 1), [], entities.candidates
+    monkeypatch.setattr(entities, "candidates", lambda m, e: pairs.append(found(m, e)) or pairs[-1])
+    known = spark.createDataFrame([("b", k, "Hot Bolt", at if k % 2 else at - timedelta(days=3), ["eve"] if k == 38 else None) for k in range(2, 42)], "bank string, entity_id long, canonical_name string, last_seen timestamp, names array<string>")
+    said = spark.createDataFrame([("b", 100 + k, "hot bolt", None if k == 7 else ["Eve"] if k == 8 else [], None if k == 9 else at) for k in range(40)] + [("b", 200, None, [], at)], "bank string, mention_id long, name string, nearby array<string>, seen timestamp")
+    got = {r.mention_id: (r.entity_id, r.score and round(r.score, 6)) for r in entities.resolve(said, known.drop("names"), known.select("entity_id", "names").filter("names is not null"), least=0.4).collect()}
+    near, far = 0.5 + 0.2, 0.5 + 0.3 + 0.2 * (1 - 3 / 7)
+    assert got == {100 + k: (38, round(far, 6)) if k == 8 else (2, 0.5) if k == 9 else (3, near) for k in range(40)} | {200: (None, None)}
+    assert pairs[0].count() <= 12  # 4 kinds of mentions, 3 of entities; 1,600 pairs before
+
+
 def test_chunks_round_trip():
     long = "\n\n".join(" ".join(f"word{k}." for k in range(n)) for n in (50, 900, 3)) + "x" * 7000
     parts = texts.split_text(long, 1000)
