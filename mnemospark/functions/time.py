@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = "january february march april may june july august september october november december".split()
@@ -81,9 +81,9 @@ def cell(at: Column) -> Column:
     return F.shiftright(F.unix_micros(at), CELL_BITS)
 
 
-def above(cell_: Column) -> Column:
-    """The nodes (level, node) of the time tree that hold a cell, one of each level."""
-    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(cell_, k * LEVEL_BITS).alias("node")) for k in range(LEVELS)))
+def above(cell_: Column, bits: int = LEVEL_BITS) -> Column:
+    """The nodes (level, node) of the time tree that hold a cell, one of each level; a node has 2**``bits`` of the level below."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(cell_, k * bits).alias("node")) for k in range(LEVELS * LEVEL_BITS // bits)))
 
 
 def cover(first: Column, last: Column) -> Column:
@@ -111,3 +111,17 @@ def cover(first: Column, last: Column) -> Column:
         some = up <= down
         found += [nodes(level, low, F.when(some, F.shiftleft(up, LEVEL_BITS) - 1).otherwise(high)), nodes(level, F.when(some, F.shiftleft(down + 1, LEVEL_BITS)).otherwise(high + 1), high)]
     return F.concat(*found)
+
+
+def covered(rows: DataFrame, first: str, last: str, bits: int) -> DataFrame:
+    """Each row once for each node (level, node) of ``cover``, of a tree whose nodes have 2**``bits`` of the level below.
+
+    For very many ranges: the fewer ``bits``, the fewer nodes (with 2, about one
+    and a half for each doubling of the range), and all of it is generated code.
+    """
+    up, down = (lambda n: f"shiftright({first} + shiftleft(1L, {bits} * ({n})) - 1, {bits} * ({n}))"), (lambda n: f"shiftright({last} + 1, {bits} * ({n})) - 1")
+    at = rows.filter(F.col(first) <= F.col(last)).selectExpr("*", f"explode(sequence(0, cast(log2({last} - {first} + 1) / {bits} + 0.001 AS int))) AS level")
+    at = at.selectExpr("*", f"{up('level')} AS _low", f"{down('level')} AS _high", f"{up('level + 1')} AS _up", f"{down('level + 1')} AS _down")
+    at = at.selectExpr("*", f"if(_up <= _down, shiftleft(_up, {bits}) - 1, _high) AS _left", f"if(_up <= _down, shiftleft(_down + 1, {bits}), _high + 1) AS _right")
+    none = "cast(array() AS array<bigint>)"
+    return at.selectExpr("*", f"explode(concat(if(_low <= _left, sequence(_low, _left), {none}), if(_right <= _high, sequence(_right, _high), {none}))) AS node").drop("_low", "_high", "_up", "_down", "_left", "_right")

@@ -20,6 +20,8 @@ GROUPS = 64
 QUERY_BYTES = 24 << 20
 #: Keyword queries that go to every worker at once; more take further passes.
 QUERIES_AT_ONCE = 4096
+#: A node of the tree that ranges stand in has 2 ** this many of the level below.
+RANGE_BITS = 2
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
 
 
@@ -223,9 +225,11 @@ def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, sta
     points = top_per(points, at, late, k).drop("rank")
     inside = q.select("query_id", "low", "high", "of", F.explode(time.cover(first + 1, last - 1)).alias("n")).select("query_id", "low", "high", "of", "n.*")
 
-    ranges = u.filter(F.col("s") < F.col("e")).withColumn("nodes", time.cover(time.cell(F.col("s")) + 1, time.cell(F.col("e")) - 1))
-    ranges = top_per(ranges.select(*node).select("of", "unit_id", "best", "n.*"), at, late, k).drop("rank")
-    begun = q.select("query_id", "low", "high", "of", F.explode(time.above(first)).alias("n")).select("query_id", "low", "high", "of", "n.*")
+    # A range stands at the nodes that cover it, so its tree has narrow nodes; and only where a window asks.
+    begun = q.select("query_id", "low", "high", "of", F.explode(time.above(first, RANGE_BITS)).alias("n")).select("query_id", "low", "high", "of", "n.*")
+    ranges = u.filter(F.col("s") < F.col("e")).select("of", "unit_id", "best", (time.cell(F.col("s")) + 1).alias("first"), (time.cell(F.col("e")) - 1).alias("last"))
+    ranges = time.covered(ranges, "first", "last", RANGE_BITS).drop("first", "last")
+    ranges = top_per(ranges.join(begun.select(*at).distinct(), at, "left_semi"), at, late, k).drop("rank")
 
     edges = q.select("query_id", "low", "high", "of", F.explode(F.array_distinct(F.array(first, last))).alias("cell"))
     beside = edges.join(u.select("*", F.explode(cells).alias("cell")), ["of", "cell"]).filter(time.overlaps(F.col("s"), F.col("e"), F.col("m"), F.col("low"), F.col("high")))

@@ -131,6 +131,23 @@ def test_time_windows_against_all_units(spark):
         assert [i for _, i in sorted(got.get(k, []))] == [x[1] for x in met[:7]], k
 
 
+def test_long_ranges_stand_at_few_nodes(spark):
+    """Every cell of a range once, at a few tens of nodes; a range of seven years had some hundreds."""
+    from mnemospark.functions import time
+
+    ranges = [(0, -3, -3), (1, 5, 4), (2, -5, 6), (3, 0, 255), (4, 1, 51_000), (5, -70_001, 13), (6, 1021, 1026), (7, 4**7, 4**8 - 1)]
+    got = {}
+    for r in time.covered(spark.createDataFrame(ranges, "id int, first long, last long"), "first", "last", retrieval.RANGE_BITS).collect():
+        got.setdefault(r.id, []).append((r.level, r.node))
+    for k, first, last in ranges:
+        nodes = got.get(k, [])
+        cells = sorted(c for level, n in nodes for c in range(n << retrieval.RANGE_BITS * level, (n + 1) << retrieval.RANGE_BITS * level))
+        assert cells == list(range(first, last + 1)) and len(nodes) <= 60
+    assert got[7] == [(7, 1), (7, 2), (7, 3)]
+    at = {(x.level, x.node) for x in spark.range(1).select(F.explode(time.above(F.lit(777).cast("long"), retrieval.RANGE_BITS)).alias("n")).select("n.*").collect()}
+    assert len(at & set(got[4])) == 1 and not at & set(got[3])
+
+
 def test_semantic_links_of_a_bank(spark):
     df = spark.createDataFrame([("b", "x", [1.0, 0.0]), ("b", "y", [0.8, 0.6]), ("b", "z", [0.0, 1.0]), ("c", "w", [1.0, 0.0])], "bank string, id string, v array<double>")
     got = {(r.a, r.b): round(r.weight, 6) for r in links.semantic_links(df.filter("id in ('x', 'w')"), df, "bank", "id", "v").collect()}
