@@ -89,10 +89,11 @@ def entity_links(unit_entities: DataFrame, unit: str, entity: str, order: list[C
     The cap is the operator's definition, and it bounds the pairs of a hot
     entity at ``cap`` squared before any are made.
     """
-    last = unit_entities.withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).filter(F.col("_n") <= cap)
-    a = last.select(F.col(entity).alias("entity"), F.col(unit).alias("a"))
-    b = last.select(F.col(entity).alias("entity"), F.col(unit).alias("b"))
-    return a.join(b, "entity").filter(F.col("a") != F.col("b")).select("a", "b", F.lit("entity").alias("type"), F.lit(1.0).alias("weight"), "entity").distinct()
+    last = unit_entities.filter(F.col(entity).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).filter(F.col("_n") <= cap)
+    # An entity's units are a set before they pair up, so no pair comes twice and none is compared again.
+    units = last.groupBy(F.col(entity).alias("entity")).agg(F.collect_set(unit).alias("units"))
+    pairs = units.select("entity", "units", F.explode("units").alias("a")).select("entity", "a", F.explode("units").alias("b")).filter(F.col("a") != F.col("b"))
+    return pairs.select("a", "b", F.lit("entity").alias("type"), F.lit(1.0).alias("weight"), "entity")
 
 
 def new_entity_links(new: DataFrame, stored: DataFrame, unit: str, entity: str, order: list[Column], cap: int = 50) -> DataFrame:

@@ -277,6 +277,24 @@ def test_new_entity_links(spark):
     assert links.new_entity_links(new.limit(0), stored, "unit", "entity", [F.desc("at")]).count() == 0
 
 
+def test_entity_links_are_not_compared_again(spark):
+    rows = [(f"u{k}", "e", k) for k in range(6)] + [("u5", "e", 5), ("v", "f", 1), (None, "f", 2), ("x", None, 1), ("y", None, 2)]
+    found = links.entity_links(spark.createDataFrame(rows, "unit string, entity string, at int"), "unit", "entity", [F.desc("at")], 3)
+    assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b, r.entity) for r in found.collect()) == [("u4", "u5", "e"), ("u5", "u4", "e")]  # u5 was said twice
+
+
+@pytest.mark.parametrize("item", ["many", "few"])
+def test_co_occurrences_are_dealt_by_their_number(spark, monkeypatch, item):
+    """Rows of 20 pairs a task: both the parts of entity_cooccurrence and the suppliers of co_activation."""
+    monkeypatch.setattr(links, "PAIRS_PER_TASK", 20)
+    rows = [(g, (g * 7 + k) % (50 if item == "many" else 5)) for g in range(40) for k in range(4)] + [(None, 1), (None, 2), (3, 21), (3, 21)]
+    found = links.co_occurrences(spark.createDataFrame(rows, f"g long, {item} long"), "g", item)
+    assert "RepartitionByExpression [g#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "], 13" in plan
+    want = Counter((a, b) for g in range(40) for a in {i for h, i in rows if h == g} for b in {i for h, i in rows if h == g} if a < b)
+    assert {(r.a, r.b): r.n for r in found.collect()} == want
+
+
 def test_complete_linkage():
     rng = np.random.default_rng(0)
     v = np.concatenate([c + rng.normal(scale=0.01, size=(10, 6)) for c in np.eye(6)[:3]])
