@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scoring
 from mnemospark.functions.constants import LINK_TYPES
 
+#: Pairs that one task makes and counts.
+PAIRS_PER_TASK = 250_000
+
 
 def near_in_time(left: DataFrame, right: DataFrame, bank: str, id_: str, ts: str, seconds: float, distinct: bool = True) -> DataFrame:
     """Pairs (a, b, gap in seconds) of a bank within ``seconds``.
@@ -132,11 +135,15 @@ def co_occurrences(groups: DataFrame, group: str, item: str, cap: int | None = N
 
     ``cap``: most items of a group that pair up (the session's window), by item.
     """
-    rows = groups.select(group, item).distinct()
+    rows = groups.select(group, item).filter(F.col(group).isNotNull())
+    # Pairs are many more than the rows they come from, so tasks are made by their number: Spark would see the rows only.
+    pairs = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    n = int(pairs // PAIRS_PER_TASK) + 1
+    rows = rows.repartition(n, group).distinct()
     if cap:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(item))).filter(F.col("_n") <= cap).drop("_n")
     a, b = rows.withColumnRenamed(item, "a"), rows.withColumnRenamed(item, "b")
-    return a.join(b, group).filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(b, group).filter(F.col("a") < F.col("b")).repartition(n, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def co_activation_weight(n: Column, least: int = 3) -> Column:
