@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +80,13 @@ class Context:
             else:
                 self.tiers[TIERS[level]][item] = (gained, at)
 
+    def replay(self, numbers: list, items: list, scores: list) -> None:
+        """Take in the recalls of some rows: by number, each from its best score on, ties by item."""
+        rows = [(n, math.nan if s is None else s, None if i is None else str(i)) for n, i, s in zip(numbers, items, scores, strict=True) if n is not None and n == n]
+        rows.sort(key=lambda r: (r[0], r[1] != r[1], -r[1] if r[1] == r[1] else 0.0, r[2] is None, r[2] or ""))
+        for n, part in groupby(rows, key=itemgetter(0)):
+            self.recall([(str(i), s) for _, s, i in part], int(n))
+
     def rows(self) -> list[tuple[str, str, float]]:
         return [(t, i, s) for t in TIERS for i, (s, _) in sorted(self.tiers[t].items())]
 
@@ -84,18 +95,18 @@ def working_contexts(recalls: DataFrame) -> DataFrame:
     """The tiers of every session after all its recalls: session_id, tier, item, relevance.
 
     recalls: session_id, recall_no, item, score. The order of recalls decides,
-    so a session is one group; a session's recalls are few.
+    so a session is one group; a session's recalls are few. Sessions are many, so
+    each is put in order as plain lists: a frame for each costs far more.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         context = Context()
-        for n, part in pdf.sort_values(["recall_no", "score", "item"], ascending=[True, False, True]).groupby("recall_no", sort=True):
-            context.recall(list(zip(part["item"].astype(str), part["score"], strict=True)), int(n))
-        out = pd.DataFrame(context.rows(), columns=["tier", "item", "relevance"])
-        out.insert(0, "session_id", str(pdf["session_id"].iloc[0]))
-        return out
+        context.replay(*(table.column(c).to_pylist() for c in ("recall_no", "item", "score")))
+        tiers, items, scores = zip(*context.rows(), strict=True) if context.rows() else ((), (), ())
+        of = pa.array([str(table.column("session_id")[0].as_py())] * len(tiers), pa.string())
+        return pa.Table.from_arrays([of, pa.array(tiers, pa.string()), pa.array(items, pa.string()), pa.array(scores, pa.float64())], ["session_id", "tier", "item", "relevance"])
 
-    return recalls.groupBy("session_id").applyInPandas(run, "session_id string, tier string, item string, relevance double")
+    return recalls.groupBy("session_id").applyInArrow(run, "session_id string, tier string, item string, relevance double")
 
 
 def working_context_stream(recalls: DataFrame, idle: str = "24 hours") -> DataFrame:
@@ -115,8 +126,7 @@ def working_context_stream(recalls: DataFrame, idle: str = "24 hours") -> DataFr
             for t, i, s, a in zip(*state.get, strict=True):
                 context.tiers[t][i] = (s, a)
         pdf = pd.concat(list(frames))
-        for n, part in pdf.sort_values(["recall_no", "score", "item"], ascending=[True, False, True]).groupby("recall_no", sort=True):
-            context.recall(list(zip(part["item"].astype(str), part["score"], strict=True)), int(n))
+        context.replay(*(pdf[c].tolist() for c in ("recall_no", "item", "score")))
         flat = [(t, i, s, a) for t in TIERS for i, (s, a) in context.tiers[t].items()]
         state.update(tuple(list(c) for c in zip(*flat, strict=True)))
         state.setTimeoutDuration(idle_ms)

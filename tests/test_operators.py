@@ -365,6 +365,21 @@ def test_context_capacity():
     assert "i5" in c.tiers["focus"] and len(c.tiers["focus"]) == 5
 
 
+def test_working_contexts_order_and_plan(spark):
+    """Sessions in plain lists, as frames put them: by number, score (none last) and item (none last)."""
+    rng = np.random.default_rng(11)
+    rows = [(int(s), int(n) if n < 9 else None, f"i{i}" if i < 13 else None, float(x) if x < 0.95 else None) for s, n, i, x in zip(rng.integers(0, 5, 400), rng.integers(0, 10, 400), rng.integers(0, 14, 400), np.round(rng.uniform(0, 1, 400), 1), strict=True)]
+    found = sessions.working_contexts(df := spark.createDataFrame(rows, "session_id long, recall_no int, item string, score double"))
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for s, pdf in df.toPandas().groupby("session_id"):
+        c = sessions.Context()
+        for n, part in pdf.sort_values(["recall_no", "score", "item"], ascending=[True, False, True]).groupby("recall_no", sort=True):
+            c.recall(list(zip(part["item"].astype(str), part["score"], strict=True)), int(n))
+        want += [(str(s), *r) for r in c.rows()]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+
+
 def test_streams_equal_batch(spark, tmp_path):
     at = datetime(2024, 1, 1)
     rows = [("s1", 1, "a", 0.9), ("s1", 1, "b", 0.5), ("s2", 1, "a", 0.2), ("s1", 2, "b", 0.8)]
