@@ -105,18 +105,23 @@ def _guests(pivots, radii, theta: float):
     return run
 
 
+def numbers(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix, without a Python object for each number."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(flat), -1)
+
+
 def _pairs(cut: float):
     """Pairs within the cut of a block of a cell's own rows and a block of all rows in it, from the smaller id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for of, own, all_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.array([r["node"] for r in own], np.int64), np.array([r["node"] for r in all_], np.int64)
-                d = np.round(1 - _unit([r["v"] for r in own]) @ _unit([r["v"] for r in all_]).T, 9)
-                i, j = np.nonzero((d <= cut) & (a[:, None] < b[None, :]))
-                for at in range(0, len(i), 100_000):
-                    x, y = i[at : at + 100_000], j[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([of] * len(x), pa.string()), pa.array(a[x]), pa.array(b[y]), pa.array(d[x, y])], ["of", "a", "b", "d"])
+    def run(own: pa.Table, all_: pa.Table) -> pa.Table:
+        if not len(own) or not len(all_):
+            return pa.Table.from_pydict({"of": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        a, b = own.column("node").to_numpy(), all_.column("node").to_numpy()
+        d = np.round(1 - _unit(numbers(own.column("v"))) @ _unit(numbers(all_.column("v"))).T, 9)
+        i, j = np.nonzero((d <= cut) & (a[:, None] < b[None, :]))
+        of = pa.repeat(own.column("of")[0], len(i))
+        return pa.Table.from_arrays([of, pa.array(a[i]), pa.array(b[j]), pa.array(d[i, j])], ["of", "a", "b", "d"])
 
     return run
 
@@ -149,14 +154,14 @@ def within(points: DataFrame, cut: float, cell: int = CELL, block: int = BLOCK)
     sizes = placed.groupBy("of", "cell").agg(F.ceil(F.count_if(F.col("home") == F.col("cell")) / block).cast("int").alias("n_own"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_all"))
 
     def dealt(rows: DataFrame, n: str, name: str) -> DataFrame:
-        put = rows.join(sizes.filter("n_own > 0"), ["of", "cell"]).withColumn(name, F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
-        return put.groupBy("of", "cell", "n_own", "n_all", name).agg(F.collect_list(F.struct("node", "v")).alias(f"{name}_rows"))
+        return rows.join(sizes.filter("n_own > 0"), ["of", "cell"]).withColumn(name, F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
 
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = dealt(placed.filter("home = cell"), "n_own", "own").withColumn("all", upto("n_all"))
-    all_ = dealt(placed, "n_all", "all").withColumn("own", upto("n_own"))
-    met = own.select("of", "cell", "own", "all", "own_rows").join(all_.select("of", "cell", "own", "all", "all_rows"), ["of", "cell", "own", "all"])
-    return met.select("of", "own_rows", "all_rows").mapInArrow(_pairs(cut), PAIRS)
+    met = ["of", "cell", "own", "all"]
+    own = dealt(placed.filter("home = cell"), "n_own", "own").withColumn("all", upto("n_all")).select(*(F.col(c).alias(c) for c in (*met, "node", "v")))
+    all_ = dealt(placed, "n_all", "all").withColumn("own", upto("n_own")).select(*met, "node", "v")
+    # A worker holds one pair of blocks at a time.
+    return own.groupBy(*met).cogroup(all_.groupBy(*met)).applyInArrow(_pairs(cut), PAIRS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,15 +221,13 @@ def linked(edges: DataFrame) -> DataFrame:
 
 
 def _together(cut: float):
-    """Whole components, each clustered by itself."""
+    """A whole component, clustered by itself."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for of, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.sort(key=lambda r: r["node"])
-                node = np.array([r["node"] for r in rows], np.int64)
-                label = complete_linkage(_unit([r["v"] for r in rows]), cut)
-                yield pa.RecordBatch.from_arrays([pa.array([of] * len(node), pa.string()), pa.array(node), pa.array(node[label])], ["of", "node", "cluster"])
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        node = rows.column("node").to_numpy()
+        label = complete_linkage(_unit(numbers(rows.column("v"))), cut)
+        return pa.Table.from_arrays([rows.column("of"), pa.array(node), pa.array(node[label])], ["of", "node", "cluster"])
 
     return run
 
@@ -246,7 +249,7 @@ def clusters(rows: DataFrame, bank: str, id_: str, vector_column: str, cut: floa
     parts = components(edges)
     sizes = parts.groupBy("of", "component").agg(F.count(F.lit(1)).alias("size"))
     small = parts.join(sizes.filter(F.col("size") <= most), ["of", "component"]).join(points.select("of", "node", "v"), ["of", "node"])
-    found = small.groupBy("of", "component").agg(F.collect_list(F.struct("node", "v")).alias("rows")).select("of", "rows").mapInArrow(_together(cut), "of string, node long, cluster long")
+    found = small.groupBy("of", "component").applyInArrow(_together(cut), "of string, node long, cluster long")
     large = checkpointed(sizes.filter(F.col("size") > most))
     if not large.isEmpty():
         inside = edges.join(parts.join(large, ["of", "component"], "left_semi").select("of", F.col("node").alias("a")), ["of", "a"], "left_semi")

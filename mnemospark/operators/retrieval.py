@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring, text, time
+from mnemospark.operators.clustering import numbers
 from mnemospark.operators.ranking import top_per
 
-#: Vectors in one block of a blocked search, and groups of blocks that a block of queries is dealt over.
+#: Vectors in one block of a blocked search.
 BLOCK = 2048
-GROUPS = 64
 #: Bytes of query vectors that go to every worker; more are searched block against block.
 QUERY_BYTES = 24 << 20
 #: Keyword queries that go to every worker at once; more take further passes.
@@ -82,15 +83,23 @@ def _by_batch(shared, k: int, least: float, metric: str):
 
 
 def _by_block(k: int, least: float, metric: str):
-    """Blocks of items against blocks of queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for items, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sides = (_unit([r["id"] for r in rows], [r["v"] for r in rows], metric) for rows in (items, queries))
-                (ids, x), (qids, q) = sides
-                if found := _match(ids, x, qids, q, k, least):
-                    yield _rows(found)
+    """A block of items against a block of queries; with a column ``least``, a query's own least score holds too."""
+
+    def matrix(rows: pa.Table) -> tuple[list[str], np.ndarray]:
+        rows = rows.filter(pc.is_valid(rows.column("v")))
+        m = numbers(rows.column("v")) if len(rows) else np.zeros((0, 0))
+        return _unit(rows.column("id").to_pylist(), list(m), metric)
+
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        (ids, x), (qids, q) = matrix(items), matrix(queries)
+        found = _match(ids, x, qids, q, k, least)
+        if not found:
+            return pa.Table.from_pydict({"query_id": pa.array([], pa.string()), "item_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        rows = pa.Table.from_batches([_rows(found)])
+        if "least" in queries.column_names:
+            own = dict(zip(queries.column("id").to_pylist(), queries.column("least").to_pylist(), strict=True))
+            rows = rows.filter(pa.array(rows.column("score").to_numpy() >= np.array([own[i] for i in rows.column("query_id").to_pylist()])))
+        return rows
 
     return run
 
@@ -101,7 +110,7 @@ def vector_search(items: DataFrame, queries: DataFrame, key: str, vector: str, k
     While the queries' vectors fit in ``QUERY_BYTES`` they go to every worker and
     items are read where they lie, a batch at a time. Beyond that both sides are
     dealt into blocks within their bank, and every pair of blocks is one matrix
-    product; a bank's blocks stand in many groups, so no bank is one task's work.
+    product and all that a worker holds at a time; no bank is one task's work.
     Only ``k`` rows a query leave a product. Columns: query_id, item_id
     (strings), score, rank. Ties go to the smaller id. ``metric``: cosine or dot.
     """
@@ -124,13 +133,12 @@ def vector_search(items: DataFrame, queries: DataFrame, key: str, vector: str, k
         sizes = blocks(i, "n_items").join(blocks(q, "n_queries"), "bank")
 
         def dealt(df: DataFrame, n: str, name: str) -> DataFrame:
-            rows = df.join(sizes, "bank").withColumn(name, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
-            return rows.groupBy("bank", "n_items", "n_queries", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+            return df.join(sizes, "bank").withColumn(name, F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
 
-        a = dealt(i, "n_items", "item").withColumn("query", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1))).withColumn("group", F.col("item") % GROUPS)
-        b = dealt(q, "n_queries", "query").withColumn("group", F.explode(F.sequence(F.lit(0), F.least(F.col("n_items"), F.lit(GROUPS)) - 1)))
-        found = a.select("bank", "query", "group", "item_rows").join(b.select("bank", "query", "group", "query_rows"), ["bank", "query", "group"])
-        found = found.select("item_rows", "query_rows").mapInArrow(_by_block(most, threshold - 1e-9, metric), schema)
+        met = ["bank", "query", "item"]
+        a = dealt(i, "n_items", "item").withColumn("query", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1))).select(*met, "id", "v")
+        b = dealt(q, "n_queries", "query").withColumn("item", F.explode(F.sequence(F.lit(0), F.col("n_items") - 1))).select(*met, "id", "v")
+        found = a.groupBy(*met).cogroup(b.groupBy(*met)).applyInArrow(_by_block(most, threshold - 1e-9, metric), schema)
     found = found.filter(F.col("score") >= threshold)
     if exclude_same:
         found = found.filter(F.col("query_id") != F.col("item_id"))

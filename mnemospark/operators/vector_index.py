@@ -63,7 +63,8 @@ class Index:
         least = F.greatest(F.coalesce("worst", F.lit(-1.0)), F.lit(threshold))
         more = asked.join(worst, "id", "left").withColumn("reach", F.acos(F.greatest(least - 2e-9, F.lit(-1.0))) + 1e-6)
         rest = F.transform(F.slice(F.arrays_zip("cells", "bounds"), probes + 1, F.greatest(F.size("cells") - probes, F.lit(0))), lambda c: F.struct(c["cells"].alias("cell"), c["bounds"].alias("bound")))
-        more = more.select("of", "id", "v", "reach", F.explode(rest).alias("c")).filter(F.col("c.bound") <= F.col("reach")).select("of", "id", "v", "c.cell")
+        # What is below a query's k-th score so far cannot come in, and does not leave the workers.
+        more = more.select("of", "id", "v", "reach", (least - 2e-9).alias("least"), F.explode(rest).alias("c")).filter(F.col("c.bound") <= F.col("reach")).select("of", "id", "v", "least", "c.cell")
         found = first.unionByName(self._found(more, most, threshold))
         if exclude_same:
             found = found.filter(F.col("query_id") != F.col("item_id"))
@@ -72,14 +73,17 @@ class Index:
     def _found(self, asked: DataFrame, most: int, threshold: float) -> DataFrame:
         """The best of the asked cells' rows for each query: blocks of a cell's rows against blocks of its queries."""
 
-        def dealt(rows: DataFrame, name: str) -> DataFrame:
-            sizes = rows.groupBy("of", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-            put = rows.join(sizes, ["of", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-            return put.groupBy("of", "cell", "block").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("block")
+        def dealt(rows: DataFrame, name: str, other: DataFrame, across: str) -> DataFrame:
+            """Rows with their own block, once for each block of the other side in their cell."""
+            blocks = lambda df, n: df.groupBy("of", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
+            put = rows.join(blocks(rows, "_own"), ["of", "cell"]).join(blocks(other, "_other"), ["of", "cell"])
+            return put.withColumn(name, F.pmod(F.xxhash64("id"), F.col("_own"))).withColumn(across, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1))).drop("_own", "_other")
 
         items = self.rows.join(asked.select("of", "cell").distinct(), ["of", "cell"], "left_semi")
-        met = dealt(items, "items").join(dealt(asked, "queries"), ["of", "cell"])
-        return met.select("items", "queries").mapInArrow(_by_block(most, threshold - 1e-9, "cosine"), "query_id string, item_id string, score double")
+        met = ["of", "cell", "item", "query"]
+        a, b = dealt(items, "item", asked, "query").groupBy(*met), dealt(asked, "query", items, "item").groupBy(*met)
+        # A worker holds one pair of blocks at a time.
+        return a.cogroup(b).applyInArrow(_by_block(most, threshold - 1e-9, "cosine"), "query_id string, item_id string, score double")
 
 
 def _shaped(rows: DataFrame, key: str, vector: str, bank: str | None) -> DataFrame:

@@ -295,6 +295,30 @@ def test_co_occurrences_are_dealt_by_their_number(spark, monkeypatch, item):
     assert {(r.a, r.b): r.n for r in found.collect()} == want
 
 
+def test_workers_hold_one_pair_of_blocks(spark, monkeypatch):
+    """Search by blocks, by cells and clusters get a pair of blocks at a time; an Arrow batch held up to 10,000 pairs before."""
+    seen = []
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(int(k), "b", [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(300, 4)))], "id long, bank string, v array<double>").cache()
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 0)
+    found = retrieval.vector_search(df, df, "id", "v", 3, block=64, bank="bank")
+    seen.append(found._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    by_cell = vector_index.build(df, "id", "v", bank="bank", cell=50).search(df, "id", "v", 3, bank="bank")
+    seen.append(by_cell._jdf.queryExecution().optimizedPlan().toString())
+    near = clustering.within(df.select(F.col("bank").alias("of"), F.col("id").alias("node"), "v"), 0.1, cell=50, block=16)
+    seen.append(near._jdf.queryExecution().optimizedPlan().toString())
+    assert all("FlatMapCoGroupsInArrow" in p and "MapInArrow" not in p for p in seen)
+    rows = lambda x: sorted((int(r.query_id), r["rank"], int(r.item_id)) for r in x.collect())
+    m = np.array([r.v for r in df.orderBy("id").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -9)
+    want = sorted((q, k + 1, int(i)) for q in range(300) for k, i in enumerate(np.lexsort((np.arange(300), -s[q].round(9)))[:3]))
+    assert rows(found) == want and rows(by_cell) == want
+    assert sorted((r.a, r.b) for r in near.collect()) == [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.round(1 - s, 9) <= 0.1, 1)), strict=True)]
+
+
 def test_complete_linkage():
     rng = np.random.default_rng(0)
     v = np.concatenate([c + rng.normal(scale=0.01, size=(10, 6)) for c in np.eye(6)[:3]])
