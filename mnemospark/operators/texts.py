@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,12 +59,12 @@ def split_turns(value: str, size: int = CHUNK) -> list[str] | None:
 
 
 def chunks(docs: DataFrame, bank: str, doc_id: str, column: str, size: int = CHUNK) -> DataFrame:
-    """chunk_id (bank_document_index), index and text of every chunk."""
-
-    @F.pandas_udf("array<string>")
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: (split_turns(v, size) or split_text(v, size)) if v else [])
+    """chunk_id (bank_document_index), index and text of every chunk.
 
+    A plain function gets some tens of texts at a time; an Arrow batch has
+    10,000, and texts are long.
+    """
+    cut = F.udf(lambda v: (split_turns(v, size) or split_text(v, size)) if v else [], "array<string>", useArrow=False)
     rows = docs.select(F.col(bank).alias("bank_id"), F.col(doc_id).alias("document_id"), F.posexplode(cut(column)).alias("chunk_index", "chunk_text"))
     return rows.select(F.concat_ws("_", "bank_id", "document_id", "chunk_index").alias("chunk_id"), "bank_id", "document_id", "chunk_index", "chunk_text")
 
@@ -104,12 +104,8 @@ def extract_facts(chunks_: DataFrame, extractor: Callable[[str], list[str]] = se
         mid = mid if mid > 0 else len(value) // 2
         return halves(value[:mid]) + halves(value[mid:])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(c, i, f) for c, t in zip(pdf["chunk_id"], pdf["chunk_text"], strict=True) for i, f in enumerate(halves(t or ""))]
-            yield pd.DataFrame(rows, columns=["chunk_id", "fact_index", "fact"])
-
-    return chunks_.select("chunk_id", "chunk_text").mapInPandas(run, "chunk_id string, fact_index int, fact string")
+    found = F.udf(lambda v: halves(v or ""), "array<string>", useArrow=False)
+    return chunks_.select("chunk_id", F.posexplode(found("chunk_text")).alias("fact_index", "fact"))
 
 
 def clean_facts(raw: DataFrame) -> DataFrame:

@@ -348,6 +348,18 @@ def test_copies_of_a_name_are_one_candidate(spark, monkeypatch):
     assert pairs[0].count() <= 12  # 4 kinds of mentions, 3 of entities; 1,600 pairs before
 
 
+def test_facts_come_a_few_texts_at_a_time(spark):
+    """Chunks and facts are made by plain functions: an Arrow batch of 10,000 long texts filled a worker before."""
+    docs = spark.createDataFrame([("s", 1, "One. Two!\n\nThree? " + "x" * 50), ("s", 2, None), ("s", 3, ""), ("s", 4, '[{"role": "user"}]')], "source string, doc_id long, text string")
+    c = texts.chunks(docs, "source", "doc_id", "text", 20)
+    found = texts.extract_facts(c, most=12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert "".join(r.chunk_text for r in c.filter("document_id = 1").orderBy("chunk_index").collect()) == "One. Two!\n\nThree? " + "x" * 50
+    got = [(r.chunk_id, r.fact_index, r.fact) for r in found.orderBy("chunk_id", "fact_index").collect()]
+    assert got[:3] == [("s_1_0", 0, "One."), ("s_1_0", 1, "Two!"), ("s_1_1", 0, "Three?")] and not any(i.startswith(("s_2", "s_3")) for i, _, _ in got)
+
+
 def test_chunks_round_trip():
     long = "\n\n".join(" ".join(f"word{k}." for k in range(n)) for n in (50, 900, 3)) + "x" * 7000
     parts = texts.split_text(long, 1000)
