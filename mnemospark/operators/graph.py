@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ def neighbours(links: DataFrame, fan: int = 20, least: float = 0.1) -> DataFrame
     return near.select("src", "dst", "type", "weight", (F.col("weight") / total).alias("share"))
 
 
-def walk(seeds: list[DataFrame], links: DataFrame, patterns: list[tuple[int, tuple[str, ...]]], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
+def walk(seeds: list[DataFrame], links: DataFrame | Callable[[DataFrame], DataFrame], patterns: list[tuple[int, tuple[str, ...]]], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
     """Forward push along several patterns of edge types at once: query_id, pattern (its number), node, mass.
 
     ``seeds``: frames of query_id, node and score; ``patterns``: the number of a
@@ -37,11 +38,16 @@ def walk(seeds: list[DataFrame], links: DataFrame, patterns: list[tuple[int, tup
     the prefix it has come along, and a hop is one join with the links, which are
     ranked once, whatever the number of patterns. The walk stops where the
     frontier is empty.
+
+    ``links`` may be a function that makes the links from given nodes (a
+    checkpointed frame of node, each once); then every hop makes those of its
+    frontier only, whatever the number of all links.
     """
-    near = checkpointed(neighbours(links, fan).select("src", "type", "dst", "share"))
+    ranked = lambda x: checkpointed(neighbours(x, fan).select("src", "type", "dst", "share"))
+    near = None if callable(links) else ranked(links)
     prefixes = sorted({(s, p[:k]) for s, p in patterns for k in range(len(p) + 1)})
     number = {x: n for n, x in enumerate(prefixes)}
-    spark = links.sparkSession
+    spark = seeds[0].sparkSession
     on = F.broadcast(spark.createDataFrame([(number[s, p[:-1]], p[-1], number[s, p]) for s, p in prefixes if p], "at int, hop string, to int"))
     says = F.broadcast(spark.createDataFrame([(number[s, p[:k]], n, 1.0 if k == len(p) else alpha) for n, (s, p) in enumerate(patterns) for k in range(len(p) + 1)], "at int, pattern int, share double"))
     w = Window.partitionBy("query_id")
@@ -51,7 +57,10 @@ def walk(seeds: list[DataFrame], links: DataFrame, patterns: list[tuple[int, tup
     frontier = checkpointed(reduce(DataFrame.unionByName, first).filter(F.col("mass") >= threshold))
     reached = [frontier]
     for _ in range(max((len(p) for _, p in patterns), default=0)):
-        step = frontier.join(on, "at").join(near.withColumnRenamed("share", "part"), (F.col("node") == F.col("src")) & (F.col("hop") == F.col("type")))
+        going = frontier.join(on, "at")
+        if callable(links):
+            near = ranked(links(checkpointed(going.select("node").distinct())))
+        step = going.join(near.withColumnRenamed("share", "part"), (F.col("node") == F.col("src")) & (F.col("hop") == F.col("type")))
         step = step.groupBy("query_id", F.col("to").alias("at"), F.col("dst").alias("node")).agg(F.sum(F.col("mass") * (1 - alpha) * F.col("part")).alias("mass"))
         frontier = checkpointed(step.filter(F.col("mass") >= threshold))
         if frontier.isEmpty():
@@ -60,12 +69,12 @@ def walk(seeds: list[DataFrame], links: DataFrame, patterns: list[tuple[int, tup
     return reduce(DataFrame.unionByName, reached).join(says, "at").groupBy("query_id", "pattern", "node").agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
 
 
-def push(seeds: DataFrame, links: DataFrame, pattern: tuple[str, ...], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
+def push(seeds: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], pattern: tuple[str, ...], threshold: float = 1e-6, alpha: float = ALPHA, fan: int = 20) -> DataFrame:
     """``walk`` along one pattern: query_id, node, mass."""
     return walk([seeds], links, [(0, pattern)], threshold, alpha, fan).drop("pattern")
 
 
-def pattern_search(semantic: DataFrame, temporal: DataFrame | None, links: DataFrame, mode: str = "default", budget: int = 50, k: int = 60) -> DataFrame:
+def pattern_search(semantic: DataFrame, temporal: DataFrame | None, links: DataFrame | Callable[[DataFrame], DataFrame], mode: str = "default", budget: int = 50, k: int = 60) -> DataFrame:
     """All patterns of a mode in one walk, fused by reciprocal rank: query_id, node, score, rank."""
     patterns = PATTERNS[mode]
     threshold, most = PUSH_THRESHOLD.get(mode, 1e-6), PUSH_TOP_K.get(mode, 50)

@@ -80,9 +80,12 @@ def temporal_pairs(new: DataFrame, bank: str, id_: str, ts: str, hours: float =
     return near.select("a", "b", F.lit("temporal").alias("type"), F.greatest(F.lit(0.3), 1 - F.col("gap") / (hours * 3600)).alias("weight"))
 
 
-def proximity_links(units: DataFrame, bank: str, id_: str, ts: str, minutes: float = 30) -> DataFrame:
-    """Unordered links between units mentioned within ``minutes``; weight falls to 0 at the edge, which is dropped."""
-    near = near_in_time(units, units, bank, id_, ts, minutes * 60).filter(F.col("a") < F.col("b"))
+def proximity_links(units: DataFrame, bank: str, id_: str, ts: str, minutes: float = 30, first: DataFrame | None = None) -> DataFrame:
+    """Unordered links between units mentioned within ``minutes``; weight falls to 0 at the edge, which is dropped.
+
+    With ``first``, some of the units, those links whose first (lesser) end is one of these.
+    """
+    near = near_in_time(units if first is None else first, units, bank, id_, ts, minutes * 60).filter(F.col("a") < F.col("b"))
     return near.select("a", "b", F.lit("temporal_proximity").alias("type"), (1 - F.col("gap") / (minutes * 60)).alias("weight")).filter("weight > 0").distinct()
 
 

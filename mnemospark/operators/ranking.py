@@ -13,6 +13,18 @@ from mnemospark.functions.constants import AGENT_WEIGHT, SHARED_WEIGHT
 
 #: Parts that one set's rows are dealt into before a budget is applied to it.
 SPREAD = 64
+#: Most bytes of keys that go to every worker; more are joined by shuffle.
+KEY_BYTES = 24 << 20
+
+
+def few(keys: DataFrame, row_bytes: int = 100) -> bool:
+    """Whether the rows of a checkpointed frame of keys may go to every worker."""
+    return keys.count() * row_bytes <= KEY_BYTES
+
+
+def members(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose ``on`` is among the (checkpointed) keys; they are read where they lie if the keys are few."""
+    return rows.join(F.broadcast(keys) if few(keys) else keys, on, "left_semi")
 
 
 def top_per(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

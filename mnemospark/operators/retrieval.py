@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring, text, time
 from mnemospark.operators.clustering import numbers
-from mnemospark.operators.ranking import top_per
+from mnemospark.operators.ranking import few, top_per
+from mnemospark.session import checkpointed
 
 #: Vectors in one block of a blocked search.
 BLOCK = 2048
@@ -24,6 +25,13 @@ QUERIES_AT_ONCE = 4096
 #: A node of the tree that ranges stand in has 2 ** this many of the level below.
 RANGE_BITS = 2
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+")
+_ASCII = bytes(b if chr(b).isalnum() or chr(b) == "_" else 32 for b in range(128)) + bytes(128)
+
+
+def _tokens(text_: str | None) -> list[str]:
+    """The lower-case tokens of a text; most texts are ASCII, and quicker without the expression."""
+    low = (text_ or "").lower()
+    return low.encode().translate(_ASCII).decode().split() if low.isascii() else _TOKEN.findall(low)
 
 
 def _unit(ids: list, vectors: list, metric: str) -> tuple[list[str], np.ndarray]:
@@ -170,7 +178,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
         index: dict[str, tuple[list[int], dict[str, list[int]]]] = {}
         for r in part.collect():
             ids, tokens = index.setdefault(r["bank"], ([], {}))
-            for t in set(_TOKEN.findall((r["text"] or "").lower())):
+            for t in set(_tokens(r["text"])):
                 tokens.setdefault(t, []).append(len(ids))
             ids.append(r["id"])
         index = {b: (ids, {t: np.array(x, np.int32) for t, x in tokens.items()}) for b, (ids, tokens) in index.items()}
@@ -188,7 +196,7 @@ def _hits(shared, k: int):
                 if b not in index:
                     continue
                 ids, tokens = index[b]
-                met = [x for w in _TOKEN.findall((text_ or "").lower()) if (x := tokens.get(w)) is not None]
+                met = [x for w in _tokens(text_) if (x := tokens.get(w)) is not None]
                 if met:
                     rows.setdefault(b, []).append((i, np.bincount(np.concatenate(met), minlength=len(ids)).astype(np.int32)))
             for b, found in rows.items():
@@ -215,23 +223,30 @@ def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, sta
     - dates and ends of ranges in the two cells that hold the window's own ends
       are compared with it as they are.
 
-    A node keeps its ``k`` latest units only, which loses nothing, as a window
-    takes a node whole. So a long window in a large bank meets ``k`` rows for each
+    Few windows go to every worker, and units that none of them can meet end
+    where they are read. A node keeps its ``k`` latest units only, which loses
+    nothing, as a window takes a node whole. So a long window in a large bank meets ``k`` rows for each
     of its nodes. With ``bank``, a column of both sides, a query meets the units
     of its bank. A window without an end, or that ends before it begins, meets none.
     """
     of = lambda c: F.lit("") if bank is None else F.col(c).cast("string")
     u = units.select(of(bank).alias("of"), F.col(id_).alias("unit_id"), F.coalesce(start, mentioned, end).alias("best"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(mentioned).alias("m"))
-    cells = F.array_distinct(F.filter(F.array(*(time.cell(F.col(c)) for c in "mse")), lambda c: c.isNotNull()))
-    q = queries.filter(F.col("low") <= F.col("high")).select(of(bank).alias("of"), "query_id", "low", "high")
+    cells = F.array_except(F.array(*(time.cell(F.col(c)) for c in "mse")), F.array(F.lit(None).cast("long")))
+    q = checkpointed(queries.filter(F.col("low") <= F.col("high")).select(of(bank).alias("of"), "query_id", "low", "high"))
     first, last = time.cell(F.col("low")), time.cell(F.col("high"))
     late = [F.col("best").desc(), F.col("unit_id")]
     at, node = ["of", "level", "node"], ["of", "unit_id", "best", F.explode("nodes").alias("n")]
 
+    inside = q.select("query_id", "low", "high", "of", F.explode(time.cover(first + 1, last - 1)).alias("n")).select("query_id", "low", "high", "of", "n.*")
+    asked = checkpointed(inside.select(*at).distinct())
+    near = few(q) and few(asked)
+    if near and bank is not None:
+        u = u.join(F.broadcast(q.select("of").distinct()), "of", "left_semi")
     points = u.filter(F.size(cells) > 0).select("of", "unit_id", "best", F.explode(cells).alias("cell"))
-    points = top_per(points, ["of", "cell"], late, k).select("of", "unit_id", "best", time.above(F.col("cell")).alias("nodes")).select(*node).select("of", "unit_id", "best", "n.*").distinct()
+    points = points if near else top_per(points, ["of", "cell"], late, k)
+    points = points.select("of", "unit_id", "best", time.above(F.col("cell")).alias("nodes")).select(*node).select("of", "unit_id", "best", "n.*")
+    points = points.join(F.broadcast(asked) if near else asked, at, "left_semi").distinct()
     points = top_per(points, at, late, k).drop("rank")
-    inside = q.select("query_id", "low", "high", "of", F.explode(time.cover(first + 1, last - 1)).alias("n")).select("query_id", "low", "high", "of", "n.*")
 
     # A range stands at the nodes that cover it, so its tree has narrow nodes; and only where a window asks.
     begun = q.select("query_id", "low", "high", "of", F.explode(time.above(first, RANGE_BITS)).alias("n")).select("query_id", "low", "high", "of", "n.*")
@@ -240,7 +255,7 @@ def temporal_entries(units: DataFrame, queries: DataFrame, k: int, id_: str, sta
     ranges = top_per(ranges.join(begun.select(*at).distinct(), at, "left_semi"), at, late, k).drop("rank")
 
     edges = q.select("query_id", "low", "high", "of", F.explode(F.array_distinct(F.array(first, last))).alias("cell"))
-    beside = edges.join(u.select("*", F.explode(cells).alias("cell")), ["of", "cell"]).filter(time.overlaps(F.col("s"), F.col("e"), F.col("m"), F.col("low"), F.col("high")))
+    beside = u.select("*", F.explode(cells).alias("cell")).join(F.broadcast(edges) if near else edges, ["of", "cell"]).filter(time.overlaps(F.col("s"), F.col("e"), F.col("m"), F.col("low"), F.col("high")))
     shown = ["query_id", "low", "high", "unit_id", "best"]
     met = inside.join(points, at).select(*shown).unionByName(begun.join(ranges, at).select(*shown)).unionByName(beside.select(*shown))
     # Every way's own k latest are enough, and a unit counts once however many ways it came.

@@ -30,12 +30,12 @@ def lists(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]
     q = e.join(b.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     alike = retrieval.vector_search(e, q, "vec_id", "embedding", MOST).select(F.col("query_id").cast("long").alias("query_id"), F.col("item_id").cast("long").alias("id"), "rank")
     words = retrieval.keyword_search(table(spark, sf_dir, "documents"), b, MOST).select("query_id", F.col("doc_id").alias("id"), "rank")
-    asked = b.join(events, F.col("item_id") == F.col("event_id")).select(F.col("item_id").alias("query_id"), F.col("user_id").alias("bank"), *((F.col("ts") + F.make_dt_interval(F.lit(d))).alias(n) for n, d in (("low", -DAYS), ("high", DAYS))))
+    asked = events.join(b.select("item_id"), F.col("item_id") == F.col("event_id")).select(F.col("item_id").alias("query_id"), F.col("user_id").alias("bank"), *((F.col("ts") + F.make_dt_interval(F.lit(d))).alias(n) for n, d in (("low", -DAYS), ("high", DAYS))))
     dated = events.select(F.col("event_id").alias("unit_id"), F.col("user_id").alias("bank"), F.col("ts").alias("s"), F.lit(None).cast("timestamp").alias("e"), F.lit(None).cast("timestamp").alias("m"))
     near = retrieval.temporal_entries(dated, asked, MOST, "unit_id", "s", "e", "m", bank="bank").select("query_id", F.col("unit_id").alias("id"), "proximity", "rank")
     alike, near = checkpointed(alike), checkpointed(near)
     start = lambda x: x.filter(F.col("rank") <= STARTS).select("query_id", F.col("id").alias("node"), (1 / F.col("rank")).alias("score"))
-    walked = graph.pattern_search(start(alike), start(near), event_links(spark, sf_dir), budget=MOST).select("query_id", F.col("node").alias("id"), "rank")
+    walked = graph.pattern_search(start(alike), start(near), lambda nodes: event_links(spark, sf_dir, nodes), budget=MOST).select("query_id", F.col("node").alias("id"), "rank")
     return [alike, words, walked, near.select("query_id", "id", "rank")], near.select("query_id", "id", "proximity")
 
 
@@ -45,9 +45,11 @@ def recall_channels(spark: SparkSession, sf_dir: str, mode: str = "precision") -
     Even ids are the agent's; odd ones and every third are the shared bank's.
     """
     found, near = lists(spark, sf_dir)
-    fused = ranking.normalise(ranking.rrf(found, ["query_id"], "id"), ["query_id"], "rrf", "rrf_norm")
-    items = _terms(engrams(spark, sf_dir)).select(F.col("engram_id").alias("id"), "strength", "recency", "strength_w", f"thalamus_{mode}", "tags")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    fused = checkpointed(ranking.normalise(ranking.rrf(found, ["query_id"], "id"), ["query_id"], "rrf", "rrf_norm"))
+    # Only what was found moves, not the tables.
+    ids = checkpointed(fused.select("id").distinct())
+    items = _terms(ranking.members(engrams(spark, sf_dir).withColumnRenamed("engram_id", "id"), ids, ["id"])).select("id", "strength", "recency", "strength_w", f"thalamus_{mode}", "tags")
+    docs = ranking.members(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ids, ["id"])
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     rows = fused.join(near, ["query_id", "id"], "left").join(items, "id", "left").join(docs, "id", "left").join(asked, "query_id")
     rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.coalesce("strength", F.lit(0.5)) >= STRENGTH_FLOOR[mode])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions import scoring
+from mnemospark.operators.ranking import members
+from mnemospark.session import checkpointed
 from mnemospark.sources.tables import table
 
 #: Sessions that every bank has had.
@@ -81,13 +84,23 @@ ORDER_RANGES = """ranges AS (
     FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS ended FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
-def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A links table over events: near in time within a bank, and next event of the same type."""
+def event_links(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    """A links table over events: near in time within a bank, and next event of the same type.
+
+    With ``nodes``, a checkpointed frame of node, the links from these events:
+    no link is longer than a day, so their banks' days beside them have all ends.
+    """
     from mnemospark.operators.links import proximity_links, temporal_links
 
-    e = table(spark, sf_dir, "events")
-    t = temporal_links(e, e, "user_id", "event_id", "ts").select("a", "b", "type", "weight")
-    p = proximity_links(e, "user_id", "event_id", "ts").select("a", "b", F.lit("semantic").alias("type"), "weight")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    some = e
+    if nodes is not None:
+        some = checkpointed(members(e, nodes.select(F.col("node").alias("event_id")), ["event_id"]))
+        day = F.floor(scoring.seconds(F.col("ts")) / 86400)
+        days = checkpointed(some.select("user_id", F.explode(F.array(day - 1, day, day + 1)).alias("day")).distinct())
+        e = checkpointed(members(e.withColumn("day", day), days, ["user_id", "day"]).drop("day"))
+    t = temporal_links(some, e, "user_id", "event_id", "ts").select("a", "b", "type", "weight")
+    p = proximity_links(e, "user_id", "event_id", "ts", first=some).select("a", "b", F.lit("semantic").alias("type"), "weight")
     return t.unionByName(p).select(F.col("a").alias("src"), F.col("b").alias("dst"), "type", "weight")
 
 

@@ -446,3 +446,53 @@ def test_flush_and_tier_decay(spark, tmp_path):
     assert sessions.flush(more, store, 1) and sessions.flush(more, store, 0, "other") and store.read("links").count() == 4
     df = spark.createDataFrame([("focus", 0.6, 1.0), ("focus", 0.2, 1.0), ("peripheral", 0.1, 1.0)], "tier string, relevance double, minutes double")
     assert sorted(r.tier for r in sessions.decayed(df, "precision").collect()) == ["focus", "peripheral"]
+
+
+def test_a_walk_makes_the_links_of_its_frontier_only(spark):
+    edges = spark.createDataFrame([("a", "b", "semantic", 0.8), ("a", "c", "semantic", 0.4), ("b", "d", "temporal", 1.0), ("x", "y", "semantic", 1.0), ("d", "x", "semantic", 1.0)], LINKS)
+    seeds, met = spark.createDataFrame([(1, "a", 3.0), (2, "b", 1.0), (2, "q", 1.0)], "query_id long, node string, score double"), []
+
+    def made(nodes):
+        met.append(sorted(r.node for r in nodes.collect()))
+        return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+
+    of = lambda x: sorted(map(tuple, graph.pattern_search(seeds, seeds, x).collect()))
+    assert of(made) == of(edges) and len(of(edges)) > 3
+    assert met == [["a", "b", "q"], ["b", "c", "d"]]
+
+
+def test_links_of_some_events(spark, sf):
+    """They are what all links have of these events, and the tables' other rows do not move."""
+    from mnemospark.plans.derived import event_links
+
+    nodes = spark.range(0, 1000, 7).withColumnRenamed("id", "node").checkpoint()
+    some, all_ = event_links(spark, sf, nodes), event_links(spark, sf)
+    want = sorted(map(tuple, all_.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select(*all_.columns).collect()))
+    assert sorted(map(tuple, some.collect())) == want and {x[2] for x in want} == {"temporal", "semantic"}
+
+
+def test_units_out_of_every_window_stay_where_they_are(spark, monkeypatch):
+    """Few windows are sent to the units; many are not, and find the same."""
+    at = datetime(2024, 1, 1)
+    u = spark.createDataFrame([("bcd"[k % 3], k, at + timedelta(hours=k % 500)) for k in range(1500)], "bank string, id long, s timestamp").withColumns({"e": F.lit(None).cast("timestamp"), "m": F.lit(None).cast("timestamp")})
+    q = spark.createDataFrame([("b", 1, at, at + timedelta(days=9)), ("c", 2, at + timedelta(days=3), at + timedelta(days=3, hours=1)), ("e", 3, at, at + timedelta(days=1))], "bank string, query_id long, low timestamp, high timestamp")
+    few = retrieval.temporal_entries(u, q, 7, "id", "s", "e", "m", bank="bank")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi, BuildRight") >= 2
+    monkeypatch.setattr(ranking, "KEY_BYTES", 0)
+    many = retrieval.temporal_entries(u, q, 7, "id", "s", "e", "m", bank="bank")
+    assert "Broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and {r.query_id for r in few.collect()} == {1, 2}
+
+
+def test_members_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows, keys = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id long, t string"), spark.createDataFrame([(1,), (3,)], "id long").checkpoint()
+    few = ranking.members(rows, keys, ["id"])
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranking, "KEY_BYTES", 0)
+    assert sorted(map(tuple, ranking.members(rows, keys, ["id"]).collect())) == sorted(map(tuple, few.collect())) == [(1, "a"), (1, "b")]
+
+
+def test_tokens_of_ascii_and_other_texts():
+    for t in (None, "", "A_b-c9\x1cD\x7f", "É_x Kelvin ½ ٣", "\x00a\n\tb"):
+        assert retrieval._tokens(t) == retrieval._TOKEN.findall((t or "").lower())
