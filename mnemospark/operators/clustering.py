@@ -29,8 +29,8 @@ PIVOT_BYTES = 24 << 20
 PAIRS = "of string, a long, b long, d double"
 
 
-def _unit(vectors: list) -> np.ndarray:
-    m = np.array(vectors, float)
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
+    m = np.asarray(vectors, float)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -126,8 +126,8 @@ def _pairs(cut: float):
     return run
 
 
-def within(points: DataFrame, cut: float, cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """of, a, b and d of every pair a < b of a bank whose distance is at most ``cut``, each once.
+def within(points: DataFrame, cut: float, cell: int = CELL, block: int = BLOCK, asks: DataFrame | None = None) -> DataFrame:
+    """of, a, b and d of every pair a < b of a bank whose distance is at most ``cut``, each once; with ``asks`` (of, node) those whose a is in it.
 
     points (checkpointed): of (bank), node, v (not zero). A bank of more than
     ``cell`` rows has a pivot for each ``cell`` of them; a row's home is the cell
@@ -151,14 +151,18 @@ def within(points: DataFrame, cut: float, cell: int = CELL, block: int = BLOCK)
     theta = float(np.arccos(np.clip(1 - cut, -1, 1)))
     placed = homes.select("of", "node", "v", "home").mapInArrow(_guests(shared, spark.sparkContext.broadcast(reach), theta), "of string, node long, v array<double>, home int, cells array<int>")
     placed = checkpointed(placed.select("of", "node", "v", "home", F.explode("cells").alias("cell")))
-    sizes = placed.groupBy("of", "cell").agg(F.ceil(F.count_if(F.col("home") == F.col("cell")) / block).cast("int").alias("n_own"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_all"))
+    owns = F.col("home") == F.col("cell")
+    if asks is not None:
+        placed = checkpointed(placed.join(asks.select("of", "node", F.lit(True).alias("asks")), ["of", "node"], "left"))
+        owns = owns & F.col("asks")
+    sizes = placed.groupBy("of", "cell").agg(F.ceil(F.count_if(owns) / block).cast("int").alias("n_own"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_all"))
 
     def dealt(rows: DataFrame, n: str, name: str) -> DataFrame:
         return rows.join(sizes.filter("n_own > 0"), ["of", "cell"]).withColumn(name, F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
 
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = ["of", "cell", "own", "all"]
-    own = dealt(placed.filter("home = cell"), "n_own", "own").withColumn("all", upto("n_all")).select(*(F.col(c).alias(c) for c in (*met, "node", "v")))
+    own = dealt(placed.filter(owns), "n_own", "own").withColumn("all", upto("n_all")).select(*(F.col(c).alias(c) for c in (*met, "node", "v")))
     all_ = dealt(placed, "n_all", "all").withColumn("own", upto("n_own")).select(*met, "node", "v")
     # A worker holds one pair of blocks at a time.
     return own.groupBy(*met).cogroup(all_.groupBy(*met)).applyInArrow(_pairs(cut), PAIRS)

@@ -1,48 +1,91 @@
 """Hyper-schemas: schemas of a bank that are alike but differ in properties get a common parent.
 
 Pairs are taken first fit in listing order, each schema once. Done one after
-another, that is the greedy matching over the pairs in order of (first, second);
-``matched`` makes the same one in rounds for all banks at once.
+another, that is the greedy matching over the pairs in order of (first, second).
+A schema's partner is the first free one behind it, so ``pairs`` compares it with
+those just behind it, and with more only while it has found none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import vector
-from mnemospark.operators.clustering import within
+from mnemospark.operators.clustering import PAIRS, _unit, numbers, within
 from mnemospark.session import Rewritten, checkpointed
 
 #: Least cosine and least number of differing properties of a pair.
 LEAST, DIFFERENCES = 0.7, 1
+#: Rows of a block: a schema is compared with its own block and the next, of a larger size in each round, then with all.
+BLOCKS = (256, 2048, 16384)
+#: Rows of a block that meet the other block's at a time.
+SLICE = 256
 #: Fixed value: how a parent is described, from its two schemas and the differing keys.
 DESCRIPTION = "HyperSchema über '%s' und '%s' (differing keys: %s)"
 PROPERTY = "key string, type string, count long, mean double, min double, max double, first_time string, last_time string, value string"
 
 
+def _first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges, in order, both of whose ends are free; what is kept is the taken ends that lie ahead."""
+    of, at, ahead = None, None, set()
+    for batch in batches:
+        taken = []
+        for k, (bank, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if bank != of:
+                of, at, ahead = bank, None, set()
+            if a != at:
+                at, free = a, a not in ahead
+                ahead.discard(a)
+            if free and b not in ahead:
+                free = False
+                ahead.add(b)
+                taken.append(k)
+        yield batch.take(pa.array(taken, pa.int64()))
+
+
 def matched(edges: DataFrame) -> DataFrame:
-    """The greedy matching of (of, a, b) by order of a, then b, within each ``of``.
-
-    In a round all edges are taken that are the first one left at both their
-    ends: nothing before them can take an end away, so the sequential matching
-    takes them too. Edges that lose an end go. Each round takes at least the
-    first edge of every ``of``; with ids in no particular order few rounds are
-    needed, and only a chain in which every edge waits for the one before it
-    needs one a pair.
+    """The greedy matching of (of, a, b), a < b, by order of a, then b, within each ``of``.
+
+    One pass over the edges in that order, bank by bank; the edges are sorted on
+    disk and the pass holds no more of them than a batch.
     """
-    table, taken = Rewritten(edges.sparkSession, "edges"), None
-    left = table.put(edges.select("of", "a", "b").distinct())
-    while not left.isEmpty():
-        edge = F.struct("a", "b")
-        ends = left.select("of", F.explode(F.array("a", "b")).alias("node"), edge.alias("edge")).groupBy("of", "node").agg(F.min("edge").alias("edge"))
-        now = checkpointed(ends.groupBy("of", "edge").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("of", "edge.*"))
-        taken = now if taken is None else taken.unionByName(now)
-        gone = now.select("of", F.explode(F.array("a", "b")).alias("node"))
-        for end in ("a", "b"):
-            left = left.join(gone.withColumnRenamed("node", end), ["of", end], "left_anti")
-        left = table.put(left.select("of", "a", "b"))
-    return left.select("of", "a", "b") if taken is None else taken
+    rows = edges.select("of", "a", "b")
+    return rows.repartition("of").sortWithinPartitions("of", "a", "b").mapInArrow(_first_fit, rows.schema)
+
+
+def _ahead(cut: float):
+    """Pairs within the cut of the rows that ask and a block, of those behind what they were compared with before."""
+
+    def run(own: pa.Table, all_: pa.Table) -> pa.Table:
+        none = pa.Table.from_pydict({"of": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        if not len(own) or not len(all_):
+            return none
+        b, others, parts = all_.column("node").to_numpy(), _unit(numbers(all_.column("v"))), [none]
+        for k in range(0, len(own), SLICE):
+            part = own.slice(k, SLICE)
+            a = part.column("node").to_numpy()
+            d = np.round(1 - _unit(numbers(part.column("v"))) @ others.T, 9)
+            i, j = np.nonzero((d <= cut) & (part.column("past").to_numpy()[:, None] < b[None, :]))
+            parts.append(pa.Table.from_arrays([pa.repeat(own.column("of")[0], len(i)), pa.array(a[i]), pa.array(b[j]), pa.array(d[i, j])], ["of", "a", "b", "d"]))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _next(rows: DataFrame, asks: DataFrame, cut: float, block: int) -> DataFrame:
+    """of, a, b and d of the pairs within the cut of ``asks`` (of, node, past) and rows behind ``past``, to the end of the next block."""
+    at = rows.select("of", "node", "v", F.expr(f"cast((node - 1) div {block} as int)").alias("block"))
+    upto = F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block")
+    asked = at.join(asks, ["of", "node"]).select("of", F.col("block").alias("own"), upto, "node", "past", "v")
+    others = at.join(asked.select("of", "own", "block").distinct(), ["of", "block"]).select("of", "own", "block", "node", "v")
+    by = ["of", "own", "block"]
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
+    return asked.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_ahead(cut), PAIRS)
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -57,14 +100,38 @@ def pairs(schemas: DataFrame, least: float = LEAST, least_differences: int = DIF
     Schemas without a bank, an id or a centroid, or with a centroid of zero length, pair with nothing;
     of rows that share an id in a bank one counts.
     """
-    rows = schemas.select(F.col("of").cast("string").alias("of"), F.col("id").cast("string").alias("id"), F.col("centroid").cast("array<double>").alias("v"), "summaries")
+    rows = schemas.select(F.col("of").cast("string").alias("of"), F.col("id").cast("string").alias("id"), F.col("centroid").cast("array<double>").alias("v"), F.array_sort(F.array_distinct("summaries")).alias("summaries"))
     rows = rows.filter(F.col("of").isNotNull() & F.col("id").isNotNull() & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0)).dropDuplicates(["of", "id"])
-    rows = checkpointed(rows.withColumn("node", F.row_number().over(Window.partitionBy("of").orderBy("id")).cast("long")))
-    near = within(rows.select("of", "node", "v"), 1 - least)
+    place = rows.select("of", "id", F.row_number().over(Window.partitionBy("of").orderBy("id")).cast("long").alias("node"), F.count(F.lit(1)).over(Window.partitionBy("of")).alias("rows"))
+    rows = checkpointed(rows.join(place, ["of", "id"]))
     side = lambda x: rows.select("of", F.col("node").alias(x), F.col("id").alias(f"id_{x}"), F.col("summaries").alias(f"s_{x}"))
-    both = near.join(side("a"), ["of", "a"]).join(side("b"), ["of", "b"]).withColumn("differing", _differing(F.col("s_a"), F.col("s_b")))
-    both = checkpointed(both.filter(F.size("differing") >= least_differences).select("of", "a", "b", "id_a", "id_b", (1 - F.col("d")).alias("similarity"), "differing"))
-    return both.join(matched(both), ["of", "a", "b"]).select("of", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity", "differing")
+    differing = _differing(F.col("s_a"), F.col("s_b"))
+    table, found, k = Rewritten(rows.sparkSession, "reach"), None, 0
+    reach = table.put(rows.select("of", "node", "rows", F.col("node").alias("past")))  # behind a node, up to ``past``, all of its pairs are known
+    asks = reach.filter("past < rows")
+    while True:
+        # First fit over the known pairs is first fit over all once every schema that found none was compared with all behind it.
+        if k < len(BLOCKS):
+            near, upto = _next(rows, asks, 1 - least, BLOCKS[k]), F.least("rows", (F.expr(f"(node - 1) div {BLOCKS[k]}") + 2) * BLOCKS[k])
+        else:
+            near = within(rows.select("of", "node", "v"), 1 - least, asks=asks)
+            near, upto = near.join(asks.select("of", F.col("node").alias("a"), "past"), ["of", "a"]).filter("b > past"), F.col("rows")
+        near = near.select("of", "a", "b", "d")
+        if least_differences > 0:
+            # Sets in order are equal if no key differs; keys are only listed where more than one is asked for.
+            near = near.join(side("a"), ["of", "a"]).join(side("b"), ["of", "b"]).filter(F.col("s_a") != F.col("s_b") if least_differences == 1 else F.size(differing) >= least_differences)
+        near = checkpointed(near.select("of", "a", "b", "d"))
+        found = near if found is None else found.unionByName(near)
+        taken = checkpointed(matched(found))
+        asked = asks.select("of", "node", F.lit(True).alias("asked"))
+        reach = table.put(reach.join(asked, ["of", "node"], "left").select("of", "node", "rows", F.when(F.col("asked"), F.greatest("past", upto)).otherwise(F.col("past")).alias("past")))
+        paired = taken.select("of", F.explode(F.array("a", "b")).alias("node"))
+        asks = checkpointed(reach.filter("past < rows").join(paired, ["of", "node"], "left_anti"))
+        k += 1
+        if asks.isEmpty():
+            break
+    both = found.join(taken, ["of", "a", "b"]).join(side("a"), ["of", "a"]).join(side("b"), ["of", "b"])
+    return both.select("of", F.col("id_a").alias("a"), F.col("id_b").alias("b"), (1 - F.col("d")).alias("similarity"), differing.alias("differing"))
 
 
 def pair_up(schemas: DataFrame, bank: str, id_: str, least: float = LEAST, least_differences: int = DIFFERENCES) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
 from mnemospark.operators import hyper
@@ -81,3 +82,40 @@ def test_parents_and_their_properties(spark):
     assert (got["mood"].type, got["mood"].value) == ("categorical_set", "bad|good")
     assert (got["kind"].type, got["kind"].value) == ("categorical_set", "k|1.5")
     assert (got["own"].mean, got["own"]["count"]) == (7, 2)
+
+
+def test_a_chain_is_matched_in_one_pass(spark):
+    """Every edge waits for the one before it: this took a round of jobs a pair."""
+    chain = spark.createDataFrame([("b", k, k + 1) for k in range(60)], "of string, a long, b long")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = hyper.matched(chain).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.a for r in got) == list(range(0, 60, 2))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 10
+
+
+@pytest.mark.parametrize("least, blocks", [(0.5, (2, 5)), (0.97, (4,)), (0.7, ())])
+def test_pairs_by_blocks_against_first_fit(spark, monkeypatch, least, blocks):
+    """Schemas that find no partner in their blocks look further, at last in the whole bank; each pair is compared once."""
+    monkeypatch.setattr(hyper, "BLOCKS", blocks)
+    monkeypatch.setattr(hyper, "SLICE", 3)
+    rng = np.random.default_rng(9)
+    rows = [{"bank": b, "id": f"s{k:02}", "centroid": rng.normal(size=4).round(1).tolist(), "properties": {"p": str(rng.integers(0, 2))}} for b in ("b", "c") for k in range(30 if b == "b" else 3)]
+    known, match = [], hyper.matched
+    monkeypatch.setattr(hyper, "matched", lambda edges: known.append(edges) or match(edges))
+    df = spark.createDataFrame(rows, "bank string, id string, centroid array<double>, properties map<string,string>")
+    got = sorted((r.bank, r.a, r.b) for r in hyper.pair_up(df, "bank", "id", least).collect())
+    assert got == _sequential(rows, least, 1)
+    pairs = [(r.of, r.a, r.b) for r in known[-1].collect()]
+    assert len(pairs) == len(set(pairs)) and len(known) > len(blocks) - 1
+
+
+def test_alike_schemas_are_compared_until_they_have_a_partner(spark, monkeypatch):
+    """300 schemas that are all alike have 44,850 pairs; a partner is found among the next few."""
+    monkeypatch.setattr(hyper, "BLOCKS", (8, 64), raising=False)
+    known, match = [], hyper.matched
+    monkeypatch.setattr(hyper, "matched", lambda edges: known.append(edges) or match(edges))
+    df = spark.createDataFrame([("b", f"s{k:03}", [1.0, k / 1000], {"p": str(k)}) for k in range(300)], "bank string, id string, centroid array<double>, properties map<string,string>")
+    got = sorted((r.a, r.b) for r in hyper.pair_up(df, "bank", "id").collect())
+    assert got == [(f"s{k:03}", f"s{k + 1:03}") for k in range(0, 300, 2)]
+    assert known[-1].count() < 300 * 16
