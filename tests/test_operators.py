@@ -267,6 +267,42 @@ def test_pairs_within_the_cut_are_found_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_clusters_write_no_pairs(spark, tmp_path):
+    """700 rows within the cut of each other have 244,650 pairs, which were written; the rows alone are under a megabyte."""
+    rng = np.random.default_rng(13)
+    rows = [("b", k, [1.0, *x]) for k, x in enumerate(rng.normal(scale=0.01, size=(700, 3)).tolist())]
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert clustered(spark, rows, 0.25, 1000) == {("b", k): 0 for k in range(700)}
+    finally:
+        spark.sparkContext.setCheckpointDir(before.removeprefix("file:"))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 1 << 20
+
+
+def test_merges_in_rounds_are_the_sequential_ones(monkeypatch):
+    rng = np.random.default_rng(14)
+    for k in range(60):
+        v = rng.normal(size=(int(rng.integers(1, 50)), int(rng.integers(2, 6)))).round(k % 3)  # ties
+        v[(v == 0).all(1)] = 1
+        m, cut = v / np.linalg.norm(v, axis=1, keepdims=True), (0.05, 0.3, 0.75, 2.0)[k % 4]
+        monkeypatch.setattr(clustering, "PRODUCTS", (1, 60, 1 << 19)[k % 3])
+        monkeypatch.setattr(clustering, "RANKS", (1, 2, 16)[k // 3 % 3])
+        assert (clustering.linked(m, np.arange(len(m)), cut) == clustering.complete_linkage(m, cut)).all()
+
+
+@pytest.mark.parametrize("spread", [0.5, 100])
+def test_large_banks_by_blocks_and_cells(spark, monkeypatch, spread):
+    """Rounds by many tasks until 30 rows are left: blocks of 8 in one cell, and in cells of twelve."""
+    for name, x in (("CELL", 12), ("WIDE", 8), ("SPREAD", spread)):
+        monkeypatch.setattr(clustering, name, x)
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(9, 6))
+    rows = [("b", 3 * k, (centres[k % 9] + 0.25 * rng.normal(size=6)).round(1).tolist()) for k in range(90)] + [("c", k, x.tolist()) for k, x in enumerate(rng.normal(size=(20, 6)))]
+    want = whole_bank(rows, 0.2)
+    assert len(want) > 40 and clustered(spark, rows, 0.2, 30) == want
+
+
 def test_new_entity_links(spark):
     schema = "unit string, entity string, at int"
     new = spark.createDataFrame([("n1", "e", 10), ("n2", "e", 11), ("n3", "e", 12), ("n1", "f", 10)], schema)
